@@ -86,4 +86,56 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+# ---- SQL of the operators that it can express ---------------------------------------------------
+
+_TWO = ", ".join(f"'{x}'" for x in urlrep.TWO_LABEL_SUFFIXES)
+
+
+def _last(n: int) -> str:
+    return f"array_to_string(string_split(host, '.')[-{n}:], '.')"
+
+
+def _strength(level: str) -> str:
+    """Method of moments over a level's rows with n, bad and prior mean m."""
+    return f"""(SELECT CASE WHEN x IS NULL OR x <= 0 THEN {urlrep.DEFAULT} WHEN d - v <= 0 THEN {urlrep.STRONGEST}
+      ELSE greatest({urlrep.WEAKEST}, least({urlrep.STRONGEST}, x / (d - v) - 1)) END::DOUBLE FROM
+      (SELECT sum(n * (bad / n - m) * (bad / n - m)) AS d, sum(m * (1 - m)) AS v, sum(m * (1 - m) * (n - 1)) AS x FROM {level} WHERE n > 1))"""
+
+
+def _rule(case: str) -> str:
+    ordered = sorted(urlrep.RULES, key=lambda r: (-len(r[0]) - len(r[1]), r))
+    fits = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    return "CASE " + " ".join(f"WHEN {fits.format(h=h, p=p)} THEN '{h + p if case == 'rule' else a}'" for h, p, a in ordered) + " END"
+
+
+SQL: dict[str, str] = {
+    "op4_pca_tiles": f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+      links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {embdedup.COSINE}),
+      reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+      SELECT a AS vec_id, (SELECT count(*) FROM links l WHERE l.a = r.a) AS n_links, min(b) AS component_id, a = min(b) AS kept FROM reach r GROUP BY a""",
+    "op7_host_reputation": f"""WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+      bad AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY 1),
+      h AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM (SELECT host, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1) AS BIGINT) AS doc_id FROM u) JOIN bad USING (doc_id) WHERE bad IS NOT NULL GROUP BY 1),
+      o AS (SELECT *, CASE WHEN {_last(2)} IN ({_TWO}) THEN {_last(3)} ELSE {_last(2)} END AS domain, CASE WHEN {_last(2)} IN ({_TWO}) THEN {_last(2)} ELSE {_last(1)} END AS suffix FROM h),
+      s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM o)::DOUBLE AS m FROM o GROUP BY 1),
+      s1 AS (SELECT *, (bad + s * m) / (n + s) AS mean FROM (SELECT *, {_strength('s0')} AS s FROM s0)),
+      d0 AS (SELECT domain, sum(o.n) AS n, sum(o.bad) AS bad, s1.mean AS m FROM o JOIN s1 USING (suffix) GROUP BY domain, suffix, s1.mean),
+      d1 AS (SELECT *, (bad + s * m) / (n + s) AS mean FROM (SELECT *, {_strength('d0')} AS s FROM d0)),
+      h0 AS (SELECT host, o.n, o.bad, d1.mean AS m FROM o JOIN d1 USING (domain)),
+      h1 AS (SELECT host, (bad + s * m) / (n + s) AS mean, n + s AS strength FROM (SELECT *, {_strength('h0')} AS s FROM h0))
+      SELECT page_id, host, path, {_rule('rule')} AS rule,
+        coalesce({_rule('action')}, CASE WHEN mean - {urlrep.QUANTILE}::DOUBLE * sqrt(mean * (1 - mean) / (strength + 1)) > {urlrep.THRESHOLD}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+      FROM u LEFT JOIN h1 USING (host)""",
+    "op8_extendible_hash": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents)
+      SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY n) AS group_size, row_number() OVER w = 1 AS kept, sha256(n) AS text_sha256
+      FROM d WINDOW w AS (PARTITION BY n ORDER BY length(t) DESC, doc_id)""",
+    "op9_mix_sources": r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+      s AS (SELECT *, CASE (at_ - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM (SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) AS at_ FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1))),
+      l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM s
+        WINDOW b AS (ORDER BY source_size / weight, at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      z AS (SELECT arg_min(level, (source_size / weight, at_)) FILTER (level * weight <= 2.0::DOUBLE * source_size) AS level FROM l),
+      t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce(z.level * weight, 2.0::DOUBLE * source_size)) AS target FROM l, z),
+      r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT) AS taken FROM r""",
+}
