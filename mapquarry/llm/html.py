@@ -23,7 +23,8 @@ from .scratch import sized
 HIDDEN = frozenset("script style noscript template svg math head iframe object canvas textarea select".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button header".split())
-CONTENT = frozenset("article main".split())
+CONTENT = {"article": 3, "main": 2}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -36,6 +37,8 @@ MARKS = frozenset(
     " promoted recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags"
     " teaser toolbar widget".split()
 )
+#: Words of class and id names that mark the text of a page without an article element.
+CONTENT_MARKS = frozenset("article body content entry main post story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: Frequent function words of English, German, French and Spanish.
 STOP = frozenset(
@@ -54,6 +57,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _NAME = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
@@ -62,15 +66,22 @@ class Block:
     linked: int
     section: int
     furniture: bool
-    content: bool
+    content: int  # 3 in an article element, 2 in main, 1 in a container named like content, 0 elsewhere
+    heading: bool = False
     label: str = ""
 
 
+def named(attributes: str, marks: frozenset[str]) -> bool:
+    return any(
+        name.lower() in ("class", "id") and not marks.isdisjoint(_NAME.findall((a or b or c).lower())) for name, a, b, c in _ATTRIBUTE.findall(attributes)
+    )
+
+
 def marks_furniture(attributes: str) -> bool:
+    if named(attributes, MARKS):
+        return True
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and not MARKS.isdisjoint(_NAME.findall(value)):
-            return True
         if name == "role" and value.strip() in ROLES or name == "aria-hidden" and value == "true":
             return True
     return name_is_hidden(attributes)
@@ -83,7 +94,7 @@ def name_is_hidden(attributes: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, with the share of linked text and the kind of place they stand in."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, hidden, furniture, content
+    stack: list[tuple[str, bool, bool, int]] = []  # name, hidden, furniture, content
     parts: list[str] = []
     linked = anchors = section = 0
 
@@ -91,7 +102,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text and not (stack and stack[-1][1]):
-            out.append(Block(text, linked, section, bool(stack) and stack[-1][2], bool(stack) and stack[-1][3]))
+            top = stack[-1] if stack else ("", False, False, 0)
+            out.append(Block(text, linked, section, top[2], top[3], any(x[0] in HEADINGS for x in stack[-2:])))
         parts.clear()
         linked = 0
 
@@ -139,58 +151,62 @@ def blocks(page: str) -> list[Block]:
         if name == "a":
             anchors += 1
             continue
-        up = stack[-1] if stack else ("", False, False, False)
-        content = up[3] or name in CONTENT
+        up = stack[-1] if stack else ("", False, False, 0)
+        content = max(up[3], CONTENT.get(name, 0), int(name not in ("body", "html") and named(m[3], CONTENT_MARKS)))
         # a header inside an article is its title; elsewhere it is the site's
-        furniture = up[2] or name in FURNITURE and not (name == "header" and content) or name not in ("body", "html") and marks_furniture(m[3])
+        furniture = up[2] or name in FURNITURE and not (name == "header" and content > 1) or name not in ("body", "html") and marks_furniture(m[3])
         if name in BLOCK or name in HIDDEN or name in FURNITURE:
             stack.append((name, up[1] or name in HIDDEN, furniture, content))
     close()
     return out
 
 
-def first_pass(b: Block) -> str:
-    words = [w.strip(".,;:!?\"'()").lower() for w in b.text.split()]
-    stop = sum(w in STOP for w in words) / len(words)
-    if b.furniture:
+def first_pass(b: Block, level: int) -> str:
+    """``level`` is the best content level on the page; with one above 0, what stands outside it is furniture."""
+    if b.furniture or b.linked > LINKS_MOST * len(b.text) or level > 1 and b.content < level:
         return "bad"
-    if b.linked > LINKS_MOST * len(b.text):
-        return "bad"
-    if b.content:
-        return "good" if len(b.text) >= SHORT else ""
+    if level and b.content >= level:
+        return "good" if len(b.text) >= SHORT and not b.heading else ""
     if len(b.text) < SHORT:
         return ""
+    words = _WORD.findall(b.text.lower())
+    stop = sum(w in STOP for w in words) / max(1, len(words))
     if stop >= STOP_HIGH:
         return "good"
-    if stop >= STOP_LOW:
-        return "good" if len(b.text) >= LONG else ""
-    return "bad" if len(b.text) >= LONG else ""
+    if len(b.text) < LONG:
+        return ""
+    return "good" if stop >= STOP_LOW else "bad"
 
 
 def second_pass(found: list[Block]) -> None:
     """Undecided blocks take the nearest decided label of their section, else of the page.
 
-    Of two neighbours at the same distance the good one counts. A block in an article that has no
-    decided neighbour there is good; one elsewhere, on a page without decided blocks, too.
+    Of two neighbours at the same distance the good one counts. In the page's content, furniture is
+    no neighbour and a block without decided neighbours is good, but a heading right above furniture
+    there (say, of the comments) is bad; elsewhere, a page without decided blocks is good.
     """
-    first = [first_pass(b) for b in found]
+    level = max((b.content for b in found if not b.furniture), default=0)
+    first = [first_pass(b, level) for b in found]
+    inside = [bool(level) and b.content >= level for b in found]
 
-    def nearest(labels: list[str], same: bool) -> list[tuple[int, str]]:
-        best = [(1 << 30, "")] * len(found)
+    def nearest(same: bool) -> list[tuple[int, bool, str]]:
+        best = [(1 << 30, True, "")] * len(found)
         for order in (range(len(found)), range(len(found) - 1, -1, -1)):
             last = None
             for i in order:
-                if labels[i] and not found[i].furniture or labels[i] and not same:
+                if first[i] and not (inside[i] and found[i].furniture):
                     last = i
                 elif last is not None and (not same or found[last].section == found[i].section):
-                    seen = (abs(i - last), labels[last])
-                    if (seen[0], seen[1] != "good") < (best[i][0], best[i][1] != "good"):
-                        best[i] = seen
+                    best[i] = min(best[i], (abs(i - last), first[last] != "good", first[last]))
         return best
 
-    within, anywhere = nearest(first, True), nearest(first, False)
+    within, anywhere = nearest(True), nearest(False)
     for i, b in enumerate(found):
-        b.label = first[i] or within[i][1] or ("good" if b.content else anywhere[i][1]) or "good"
+        nxt = found[i + 1] if i + 1 < len(found) else None
+        if not first[i] and b.heading and inside[i] and nxt and nxt.furniture and inside[i + 1]:
+            b.label = "bad"
+        else:
+            b.label = first[i] or (within[i][2] if not inside[i] or within[i][2] == "good" else "") or ("good" if inside[i] else anywhere[i][2]) or "good"
 
 
 def main_text(page: str | None) -> str:

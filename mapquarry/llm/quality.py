@@ -7,6 +7,7 @@ and a class prior ``pi`` estimated from the labelled share of positives.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ PIECE = 1 << 18
 THRESHOLD = 0.3
 
 _CLASS: list[np.ndarray] = []
-STATS = 22
+STATS = 24
 
 
 def _classes() -> np.ndarray:
@@ -59,7 +60,8 @@ def features(text: str | None) -> np.ndarray:
     words, lines = text.split(), text.split("\n")
     counts = Counter(words)
     n, w, chars = len(text) or 1, len(words) or 1, sum(map(len, words)) or 1
-    repeats = sum(a == b for a, b in zip(words[:-1], words[1:], strict=True)) if words else 0
+    same = [sum(1 for _ in g) for _, g in itertools.groupby(words)]
+    repeats = len(words) - len(same)
     line_counts = Counter(line for line in lines if line.strip())
     used = sum(line_counts.values()) or 1
     top = [c for _, c in counts.most_common(5)] + [0] * 5
@@ -71,6 +73,7 @@ def features(text: str | None) -> np.ndarray:
         (max(line_counts.values(), default=0) - 1) / used, np.log1p(w / used) / 5, marks / w, kinds[6 + ord("|") % 250] / w,
         sum(x.isupper() for x in words) / w, sum(not x[-1:].isalnum() for x in words) / w, sum(x[:1].isupper() for x in words) / w,
         np.log1p(max(map(len, words), default=0)) / 5, float(not words),
+        np.sqrt(repeats / w), np.log1p(max(same, default=0)) / 5,
     ]
     total = shapes.sum() or 1
     return np.concatenate([stats, np.sqrt(shapes / total)]).astype(np.float32)
@@ -89,7 +92,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = 150, seed: int = 5) -> Model:
+def fit(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = 100, seed: int = 5) -> Model:
     """Mini-batch Adam on the non-negative risk with the logistic loss.
 
     When a batch's negative risk falls below zero, the step ascends it instead (as the published
