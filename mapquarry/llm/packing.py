@@ -22,9 +22,9 @@ from .scratch import sized
 
 LENGTH, END = 4096, 2
 #: Cost in padding tokens of a cut at a sentence, and of one inside a sentence.
-SENTENCE_CUT, HARD_CUT = 24, 96
+SENTENCE_CUT, HARD_CUT = 8, 32
 #: A stretch without a sentence end gets a hard cut place each so many ids.
-STRIDE = 256
+STRIDE = 16
 #: Ids of documents that a task packs at once; a block ends at a document.
 BLOCK_IDS = 1 << 21
 #: Words a Python worker remembers the ids of; then it starts anew.
