@@ -98,12 +98,12 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = 100, seed: int
     When a batch's negative risk falls below zero, the step ascends it instead (as the published
     estimator does), which keeps the scorer from fitting single unlabelled rows.
     """
-    both = np.concatenate([p, u])
-    mean = both.mean(0)
-    scale = both.std(0) + 0.02
+    n = len(p) + len(u)
+    mean = ((p.sum(0, dtype=float) + u.sum(0, dtype=float)) / n).astype(np.float32)
+    scale = (np.sqrt((((p - mean) ** 2).sum(0, dtype=float) + ((u - mean) ** 2).sum(0, dtype=float)) / n) + 0.02).astype(np.float32)
     p, u = (p - mean) / scale, (u - mean) / scale
-    rng, w, b = np.random.default_rng(seed), np.zeros(p.shape[1]), 0.0
-    mw = vw = np.zeros(p.shape[1] + 1)
+    rng, w, b = np.random.default_rng(seed), np.zeros(p.shape[1], np.float32), 0.0
+    mw = vw = np.zeros(p.shape[1] + 1, np.float32)
     step = 0
     for epoch in range(epochs):
         up = rng.permutation(len(u))
@@ -119,7 +119,7 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = 100, seed: int
             step += 1
             mw, vw = 0.9 * mw + 0.1 * g, 0.999 * vw + 0.001 * g * g
             move = 0.05 * (1 - epoch / epochs) * (mw / (1 - 0.9**step)) / (np.sqrt(vw / (1 - 0.999**step)) + 1e-8)
-            w, b = w - move[:-1], b - move[-1]
+            w, b = (w - move[:-1]).astype(np.float32), b - float(move[-1])
     return Model(mean, scale, w, float(b), prior)
 
 
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column, positives: int =
         .unionByName(web.select(F.lit(0).alias("kind"), "text"))
     )
     got = sorted((r[0], r[1]) for r in rows.mapInArrow(_vectors, "kind int, x binary").collect())
-    x = np.frombuffer(b"".join(v for _, v in got), dtype=np.float32).reshape(len(got), STATS + SHAPES).astype(float)
+    x = np.frombuffer(b"".join(v for _, v in got), dtype=np.float32).reshape(len(got), STATS + SHAPES)
     kind = np.array([k for k, _ in got])
     if not (kind == 1).any():
         return None
