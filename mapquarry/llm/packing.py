@@ -39,7 +39,7 @@ class Words:
     """Ids by words between ASCII white space; equal to the tokenizer's own ids for whole texts.
 
     The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are its
-    words' ids in turn; marks behind a word of ASCII letters are a token run of their own.
+    words' ids in turn; marks behind a word of letters are a token run of their own.
     """
 
     def __init__(self, path: str):
@@ -55,6 +55,10 @@ class Words:
             self.ends[i] = token.removesuffix("</w>")[-1:] in (".", "!", "?", "…")
         self.known: dict[bytes, bytes] = {}
 
+    def _encode(self, text: str) -> list[int]:
+        """The tokenizer's ids, without the offsets that it also finds for single texts."""
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _learn(self, words: list[bytes]) -> None:
         """Plain words go to the tokenizer many to a text and are told apart by their closing ids."""
         odd, plain = [], []
@@ -63,7 +67,7 @@ class Words:
             (plain if s.isalpha() and s.lower() == s and len(s) < 200 else odd).append(s)
         for k in range(0, len(plain), 2000):
             part = plain[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self._encode(" ".join(part)), dtype="<u4")
             cut = np.flatnonzero(self.closes[ids]) + 1
             if len(cut) != len(part):
                 odd += part
@@ -74,7 +78,7 @@ class Words:
                 self.known[s.encode("utf-8", "surrogatepass")] = data[lo:hi]
                 lo = hi
         for s in odd:
-            ids = self.tokenizer.encode(s.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
+            ids = self._encode(s.encode("utf-8", "replace").decode())
             self.known[s.encode("utf-8", "surrogatepass")] = np.array(ids, dtype="<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -86,7 +90,7 @@ class Words:
             stems = {}
             for w in new:
                 stem = w.rstrip(MARKS)
-                if len(stem) < len(w) and stem.isalpha():  # bytes.isalpha: ASCII letters only
+                if len(stem) < len(w) and stem.decode("utf-8", "surrogatepass").isalpha():
                     stems[w] = (stem, w[len(stem) :])
             parts = (new - stems.keys()).union(*stems.values()).difference(self.known)
             self._learn(sorted(parts))
