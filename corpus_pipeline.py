@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapquarry.llm import exactdup, langid, mixing, packing, simhash
+from mapquarry.llm import exactdup, langid, mixing, packing, shingles
 from mapquarry.llm.queries import TOKENIZER, residue
 from mapquarry.llm.scratch import Scratch
 
@@ -27,9 +27,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group linked by five-word Jaccard similarities of 0.8 or more the document with the least id stays."""
+    scratch = Scratch(spark, "near")
+    keyed = scratch.write(docs.withColumn("row_key", F.monotonically_increasing_id()))
+    groups = shingles.near_components(keyed.select(F.col("row_key").alias("key"), "text"), scratch)
+    known = groups.join(keyed.select(F.col("row_key").alias("key"), "doc_id"), "key")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
+    best = known.groupBy("root").agg(F.min(order)["key"].alias("key"))
+    dropped = scratch.write(groups.select("key").join(best, "key", "left_anti"))
+    return keyed.join(dropped, F.col("row_key") == F.col("key"), "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
