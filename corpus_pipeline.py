@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapquarry.llm import exactdup, langid, mixing, packing, shingles
@@ -20,22 +21,57 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("lang_ambiguous")).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with a ``row_key`` that differs between all rows, whatever their ids: file and place in the file.
+
+    A table that isn't a plain scan of Parquet files is written first, so that a key always means the same row.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = scratch.write(docs)
+    try:
+        at = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        at = scratch.write(docs).select(*COLUMNS, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    names = sorted(r[0] for r in at.select("_file").distinct().collect())
+    files = docs.sparkSession.createDataFrame([(n, i << 40) for i, n in enumerate(names)], "_file string, _first long")
+    return at.join(F.broadcast(files), "_file").select(*COLUMNS, (F.col("_first") + F.col("_row")).alias("row_key"))
+
+
+def least(rows: DataFrame, group: str, *first: Column) -> DataFrame:
+    """The ``key`` of each group's row that stays: by ``first``, then the smallest doc_id (null last), then the first row."""
+    order = F.struct(*first, F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    return rows.groupBy(group).agg(F.min(order)["key"].alias("key"))
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    return rows.join(shingles.small(dropped), F.col("row_key") == F.col("key"), "left_anti").select(*COLUMNS)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    kept = exactdup.exact_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of equal texts stays: the longest, of these the least doc_id, null last.
+
+    Rows with a null doc_id are documents like others. Of rows that share a doc_id each is judged by
+    itself: equal ones leave one row, and a dropped row doesn't stay because another of its id does.
+    """
+    scratch = Scratch(spark, "exact_rows")
+    rows = keyed(docs, scratch)
+    judged = exactdup.exact_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text"))
+    groups = scratch.write(judged.where("group_size > 1").select(F.col("doc_id").alias("key"), F.col("keep_id").alias("root")))
+    known = rows.select(F.col("row_key").alias("key"), "doc_id", F.length("text").alias("size")).join(shingles.small(groups), "key")
+    best = least(known, "root", -F.coalesce("size", F.lit(0)))
+    return without(rows, scratch.write(groups.select("key").join(best, "key", "left_anti")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word Jaccard similarities of 0.8 or more the document with the least id stays."""
+    """Of each group linked by five-word Jaccard similarities of 0.8 or more the row with the least doc_id stays, null last.
+
+    Null and repeated ids count as in ``exact``.
+    """
     scratch = Scratch(spark, "near")
-    keyed = scratch.write(docs.withColumn("row_key", F.monotonically_increasing_id()))
-    groups = shingles.near_components(keyed.select(F.col("row_key").alias("key"), "text"), scratch)
-    known = groups.join(keyed.select(F.col("row_key").alias("key"), "doc_id"), "key")
-    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
-    best = known.groupBy("root").agg(F.min(order)["key"].alias("key"))
-    dropped = scratch.write(groups.select("key").join(best, "key", "left_anti"))
-    return keyed.join(dropped, F.col("row_key") == F.col("key"), "left_anti").select(*COLUMNS)
+    rows = keyed(docs, scratch)
+    groups = shingles.near_components(rows.select(F.col("row_key").alias("key"), "text"), scratch)
+    known = rows.select(F.col("row_key").alias("key"), "doc_id").join(shingles.small(groups), "key")
+    return without(rows, scratch.write(groups.select("key").join(least(known, "root"), "key", "left_anti")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

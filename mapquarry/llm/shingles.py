@@ -107,20 +107,20 @@ def near_components(rows: DataFrame, scratch: Scratch, tile: int = TILE) -> Data
     rows = rows.select(F.col("key").cast("long"), F.col("text").cast("string"))
     bands = scratch.write(rows.mapInArrow(_bands, "key long, val long"))
     shared = scratch.write(bands.groupBy("val").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("val", "first"))
-    stars = _with_roots(components(bands.join(_small(shared), "val").select(F.col("key").alias("a"), F.col("first").alias("b")), scratch), scratch)
+    stars = _with_roots(components(bands.join(small(shared), "val").select(F.col("key").alias("a"), F.col("first").alias("b")), scratch), scratch)
     sizes = stars.groupBy("root").agg(F.ceil(F.count("*") / tile).alias("tiles"))
     own = F.pmod(F.xxhash64("key", F.lit(7)), F.col("tiles"))
     dealt = (
-        stars.join(_small(scratch.write(sizes)), "root").withColumn("own", own)
+        stars.join(small(scratch.write(sizes)), "root").withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
         .select("key", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
     )
-    cells = rows.join(_small(scratch.write(dealt)), "key").select("cell", "key", "text")
+    cells = rows.join(small(scratch.write(dealt)), "key").select("cell", "key", "text")
     links = cells.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(_link, "a long, b long")
     return _with_roots(components(links, scratch), scratch)
 
 
-def _small(rows: DataFrame) -> DataFrame:
+def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
