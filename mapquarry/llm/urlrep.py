@@ -84,16 +84,37 @@ def _shrunk(level: DataFrame, key: str, parent: DataFrame | None, parent_key: st
     )
 
 
-def reputation(outcomes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``outcomes(host, n, bad)`` with one row a host -> host, n, bad, mean, strength, bound."""
+def _bounded(rows: DataFrame) -> DataFrame:
+    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
+    return rows.withColumn("bound", F.col("mean") - F.lit(QUANTILE) * sd).select("host", "n", "bad", "mean", "strength", "bound")
+
+
+def reputation(outcomes: DataFrame, scratch: Scratch, seen: DataFrame | None = None) -> DataFrame:
+    """``outcomes(host, n, bad)`` with one row a host -> host, n, bad, mean, strength, bound.
+
+    Distinct hosts of ``seen(host)`` without outcomes follow with n = 0: the posterior mean of their
+    registered domain, else of their suffix, else of the root. Their variance sums the priors of all
+    levels without outcomes, as hosts vary in a domain, domains in a suffix and suffixes at the root.
+    Without any outcome there is no posterior to take.
+    """
     o = scratch.write(outcomes.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
     domains = scratch.write(o.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     top = scratch.write(_shrunk(suffixes, "suffix", None, None))
     mid = scratch.write(_shrunk(domains, "domain", top, "suffix"))
     low = _shrunk(o.drop("suffix"), "host", mid, "domain")
-    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
-    return low.withColumn("bound", F.col("mean") - F.lit(QUANTILE) * sd).select("host", "n", "bad", "mean", "strength", "bound")
+    known = _bounded(low)
+    root = top.select("m").first()
+    if seen is None or root is None:
+        return known
+    hosts, in_suffix, at_root = (1 / (level.select("s").first()["s"] + 1) for level in (low, mid, top))
+    bare = seen.select("host").distinct().join(o.select("host"), "host", "left_anti")
+    bare = bare.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    bare = bare.join(mid.select("domain", F.col("mean").alias("by_domain")), "domain", "left").join(top.select("suffix", F.col("mean").alias("by_suffix")), "suffix", "left")
+    mean = F.coalesce("by_domain", "by_suffix", F.lit(root["m"]))
+    unsure = F.lit(hosts) + F.when(F.col("by_domain").isNull(), in_suffix).otherwise(0.0) + F.when(F.coalesce("by_domain", "by_suffix").isNull(), at_root).otherwise(0.0)
+    none = F.lit(0).cast("long")
+    return known.unionByName(_bounded(bare.select("host", none.alias("n"), none.alias("bad"), mean.alias("mean"), (1 / unsure - 1).alias("strength"))))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESHOLD, rules=RULES) -> DataFrame:
@@ -101,15 +122,17 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESH
 
     Returns page_id, host, path, rule, verdict, bad_rate, bound. A null url, or one without
     ``://``, has an empty host and path, which no rule fits and whose outcomes count as a host of
-    that name. A host without outcomes has no bound and is allowed. Repeated rows are judged
-    each; null outcomes are ignored; empty tables give none.
+    that name. A host without outcomes is judged by its registered domain, else its suffix, else all
+    outcomes; it has no bound and is allowed only if there is no outcome at all. Repeated rows are
+    judged each; null outcomes are ignored; empty tables give none.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     counted = (
         outcomes.where("bad is not null").groupBy(host_of(F.col("url")).alias("host"))
         .agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     )
-    hosts = scratch.write(reputation(counted, scratch).select(F.col("host").alias("_host"), "mean", "bound"))
+    seen = pages.select(host_of(F.col("url")).alias("host"))
+    hosts = scratch.write(reputation(counted, scratch, seen).select(F.col("host").alias("_host"), "mean", "bound"))
     if hosts.count() <= BROADCAST_ROWS:
         hosts = F.broadcast(hosts)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
