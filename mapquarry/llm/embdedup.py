@@ -6,24 +6,31 @@ cell: the leading coordinates' products plus the product of the suffix norms bou
 so most pairs stop after a quarter of the dimensions; survivors accumulate more coordinates
 and the rest are computed in full, in double precision, from the original vectors. A cell returns
 link counts and a spanning forest of its links, never its pairs.
+
+Each row is copied to as many cells as there are tiles within reach. Up to TILE_MOST times the
+square root of six times the shuffle partitions that number is set by the partitions alone; beyond
+it tiles stay at TILE_MOST rows, so copies grow with the table unless the first axis tells
+tiles apart: every copy then still pays for TILE_MOST comparisons.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import forest, runs
 from .components import components
 from .scratch import Scratch, sized
 
 COSINE = 0.95
-#: Vectors of a tile: about a sixteenth of all, within these limits.
-TILE_LEAST, TILE_MOST = 256, 4096
+#: Limits of a tile's vectors; a cell task holds two tiles.
+TILE_LEAST, TILE_MOST = 256, 32768
 #: Strips along the first axis, at most; the driver holds one bound and one count of each.
 STRIPS = 1024
 #: Rows of one side of a cell that are multiplied at once.
@@ -156,7 +163,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile: int | None
     spark = vectors.sparkSession
     sized(spark)
     scratch = Scratch(spark, "embeddings")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     good = F.col("vec_id").isNotNull() & usable(F.col("v"))
     alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     folded = scratch.write(rows.where(good).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
@@ -182,9 +190,10 @@ def _found(folded: DataFrame, dim: int, cosine: float, tile: int | None, scratch
     spark = folded.sparkSession
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     basis = axes(folded, dim)
-    placed = scratch.write(folded.mapInArrow(first_axis(basis), "id long, n long, v array<double>, y double"))
+    kind = folded.schema["v"].dataType.simpleString()
+    placed = scratch.write(folded.mapInArrow(first_axis(basis), f"id long, n long, v {kind}, y double"))
     total = placed.count()
-    tile = tile or int(min(TILE_MOST, max(TILE_LEAST, total / 16)))
+    tile = tile or int(min(TILE_MOST, max(TILE_LEAST, total / math.sqrt(6 * width))))
     strips = int(min(STRIPS, max(1, total // tile)))
     quantiles = placed.select(F.percentile_approx("y", [k / strips for k in range(1, strips)] or [0.5], 20_000)).first()[0] or [0.0]
     edges = sorted(set(quantiles)) if strips > 1 else []

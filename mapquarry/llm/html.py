@@ -1,9 +1,10 @@
 """Main text of web pages by two passes of block rules.
 
-Pass 1 labels blocks from where they stand (navigation, forms, page furniture), their link
-density, length and stop-word density: good, bad, or undecided when too short to tell. Pass 2
-gives undecided blocks the label of the nearest decided neighbours, first those of the same
-section of the page.
+Pass 1 labels blocks by link density, stop-word density and length: good, bad, or undecided when
+too short or too mixed to tell. Where a block stands is a feature of these rules: an article, main
+or content-named container lowers the density a block needs and text outside it needs more;
+page furniture (navigation, forms, comments) is bad. Pass 2 gives undecided blocks the label of the
+nearest decided neighbours, first those of the same section of the page.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ STOP = frozenset(
     " le la les de des du et en un une que est pour qui dans ce il au pas plus par sur se ne sont avec son ou comme mais on nous sa elle aux"
     " el los las del y que se con una por su para es al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre".split()
 )
+#: Elements that may stand in a head; any other ends it.
+HEAD_PARTS = frozenset("base link meta noscript script style template title".split())
 #: Pass 1: shares of linked text and of stop words, and lengths in characters.
 LINKS_MOST, STOP_LOW, STOP_HIGH, SHORT, LONG = 0.5, 0.15, 0.28, 70, 200
 
@@ -56,6 +59,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
+_NOTICE = re.compile(r"\s*(?:©|\(c\)|copyright\b)", re.I)
 _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -69,6 +74,7 @@ class Block:
     content: int  # 3 in an article element, 2 in main, 1 in a container named like content, 0 elsewhere
     heading: bool = False
     label: str = ""
+    rule: str = ""  # what decided: links, place, notice, density, length, neighbour or default
 
 
 def named(attributes: str, marks: frozenset[str]) -> bool:
@@ -96,7 +102,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, int]] = []  # name, hidden, furniture, content
     parts: list[str] = []
-    linked = anchors = section = 0
+    linked = section = 0
+    anchor: int | None = None  # depth of the stack at the open link
 
     def close() -> None:
         nonlocal linked
@@ -114,7 +121,7 @@ def blocks(page: str) -> list[Block]:
         if text and not (stack and stack[-1][1]):
             text = html.unescape(text)
             parts.append(text)
-            if anchors:
+            if anchor is not None:
                 linked += len(" ".join(text.split()))
         if not m:
             break
@@ -126,13 +133,19 @@ def blocks(page: str) -> list[Block]:
             if name in BLOCK:
                 close()
             if name == "a":
-                anchors = max(0, anchors - 1)
+                anchor = None
             if any(s[0] == name for s in stack):
+                was = stack[-1][2]
                 while stack.pop()[0] != name:
                     pass
+                section += was != bool(stack and stack[-1][2])
+                if anchor is not None and len(stack) < anchor:
+                    anchor = None
                 if name in FURNITURE or name in CONTENT or name == "section":
                     section += 1
             continue
+        if stack and stack[-1][0] == "head" and name not in HEAD_PARTS:
+            stack.pop()
         if name == "br":
             parts.append(" ")
             continue
@@ -140,6 +153,8 @@ def blocks(page: str) -> list[Block]:
             close()
             if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
+                if anchor is not None and len(stack) < anchor:
+                    anchor = None
         if name in FURNITURE or name in CONTENT or name == "section":
             section += 1
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
@@ -149,64 +164,98 @@ def blocks(page: str) -> list[Block]:
             at = end.end() if end else size
             continue
         if name == "a":
-            anchors += 1
+            anchor = len(stack) if _HREF.search(m[3]) else None
             continue
         up = stack[-1] if stack else ("", False, False, 0)
         content = max(up[3], CONTENT.get(name, 0), int(name not in ("body", "html") and named(m[3], CONTENT_MARKS)))
         # a header inside an article is its title; elsewhere it is the site's
         furniture = up[2] or name in FURNITURE and not (name == "header" and content > 1) or name not in ("body", "html") and marks_furniture(m[3])
         if name in BLOCK or name in HIDDEN or name in FURNITURE:
+            section += furniture != up[2]
             stack.append((name, up[1] or name in HIDDEN, furniture, content))
     close()
     return out
 
 
-def first_pass(b: Block, level: int) -> str:
-    """``level`` is the best content level on the page; with one above 0, what stands outside it is furniture."""
-    if b.furniture or b.linked > LINKS_MOST * len(b.text) or level > 1 and b.content < level:
-        return "bad"
-    if level and b.content >= level:
-        return "good" if len(b.text) >= SHORT and not b.heading else ""
-    if len(b.text) < SHORT:
-        return ""
-    words = _WORD.findall(b.text.lower())
-    stop = sum(w in STOP for w in words) / max(1, len(words))
+def stop_share(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP for w in words) / max(1, len(words))
+
+
+def first_pass(b: Block, level: int) -> tuple[str, str]:
+    """Label and rule. ``level`` is the best content level on the page, 0 if no container is named.
+
+    Inside content few stop words make a block good, and a long one without them stays undecided;
+    outside an article or main element even prose is at most undecided.
+    """
+    size, inside = len(b.text), bool(level) and b.content >= level
+    if b.linked > LINKS_MOST * size:
+        return "bad", "links"
+    if b.furniture:
+        return "bad", "place"
+    if not inside and size < LONG and _NOTICE.match(b.text):
+        return "bad", "notice"
+    if size < SHORT or inside and b.heading:
+        return "", ""
+    stop = stop_share(b.text)
+    if inside:
+        return ("good", "density") if stop >= STOP_LOW else ("", "")
+    if level > 1:
+        return ("", "") if stop >= STOP_HIGH and size >= LONG else ("bad", "density")
     if stop >= STOP_HIGH:
-        return "good"
-    if len(b.text) < LONG:
-        return ""
-    return "good" if stop >= STOP_LOW else "bad"
+        return "good", "density"
+    if size < LONG:
+        return "", ""
+    return ("good" if stop >= STOP_LOW else "bad"), "length"
 
 
 def second_pass(found: list[Block]) -> None:
     """Undecided blocks take the nearest decided label of their section, else of the page.
 
-    Of two neighbours at the same distance the good one counts. In the page's content, furniture is
-    no neighbour and a block without decided neighbours is good, but a heading right above furniture
-    there (say, of the comments) is bad; elsewhere, a page without decided blocks is good.
+    Only blocks on the same side count as neighbours: within an article or main element, or outside
+    it; furniture inside content is none. Of two neighbours at the same distance the good one counts.
+    Without decided neighbours a block is good, but bad outside the article of a page. A heading in
+    content that only furniture follows (say, of the comments) is bad. Where pass 1 makes nothing good
+    (a language without stop words here, a page of short lines) long blocks without links are good, else
+    those with stop words, else all but links, furniture and notices.
     """
     level = max((b.content for b in found if not b.furniture), default=0)
-    first = [first_pass(b, level) for b in found]
     inside = [bool(level) and b.content >= level for b in found]
+    for b in found:
+        b.label, b.rule = first_pass(b, level)
+    if not any(b.label == "good" for b in found):
+        rest = [b for i, b in enumerate(found) if b.rule not in ("links", "place", "notice") and (inside[i] or level < 2)]
+        for ok, rule in ((lambda b: len(b.text) >= LONG, "length"), (lambda b: stop_share(b.text) >= STOP_LOW, "density"), (lambda b: True, "default")):
+            for b in [b for b in rest if ok(b)]:
+                b.label, b.rule = "good", rule
+            if any(b.label == "good" for b in rest):
+                break
+    first = [b.label for b in found]
 
     def nearest(same: bool) -> list[tuple[int, bool, str]]:
         best = [(1 << 30, True, "")] * len(found)
         for order in (range(len(found)), range(len(found) - 1, -1, -1)):
-            last = None
+            last: dict[bool, int] = {}
             for i in order:
-                if first[i] and not (inside[i] and found[i].furniture):
-                    last = i
-                elif last is not None and (not same or found[last].section == found[i].section):
-                    best[i] = min(best[i], (abs(i - last), first[last] != "good", first[last]))
+                side = level > 1 and inside[i]
+                if first[i]:
+                    if not (inside[i] and found[i].furniture):
+                        last[side] = i
+                elif (at := last.get(side)) is not None and (not same or found[at].section == found[i].section):
+                    best[i] = min(best[i], (abs(i - at), first[at] != "good", first[at]))
         return best
 
     within, anywhere = nearest(True), nearest(False)
+    last_inside = max((i for i, b in enumerate(found) if inside[i] and not b.furniture), default=-1)
     for i, b in enumerate(found):
-        nxt = found[i + 1] if i + 1 < len(found) else None
-        if not first[i] and b.heading and inside[i] and nxt and nxt.furniture and inside[i + 1]:
-            b.label = "bad"
+        if first[i]:
+            continue
+        if b.heading and inside[i] and i == last_inside and i + 1 < len(found) and found[i + 1].furniture and inside[i + 1]:
+            b.label, b.rule = "bad", "neighbour"
+        elif near := within[i][2] or anywhere[i][2]:
+            b.label, b.rule = near, "neighbour"
         else:
-            b.label = first[i] or (within[i][2] if not inside[i] or within[i][2] == "good" else "") or ("good" if inside[i] else anywhere[i][2]) or "good"
+            b.label, b.rule = "bad" if level > 1 and not inside[i] else "good", "default"
 
 
 def main_text(page: str | None) -> str:

@@ -22,6 +22,8 @@ from .scratch import sized
 
 #: Labelled rows a language contributes to training, about; they are chosen by a hash of the id.
 ROWS_PER_LANGUAGE = 400
+#: Languages that are learned, the most frequent ones, and rows of all of them together (16 KB each).
+LANGUAGES, ROWS = 1000, 16_000
 DIM, ORDERS, UNKNOWN = 4096, (1, 2, 3), "und"
 #: A text is ambiguous when its best codeword's share of the top two is under this.
 AMBIGUOUS = 0.6
@@ -32,7 +34,7 @@ _LETTER: list[np.ndarray] = []
 
 def _letters() -> np.ndarray:
     if not _LETTER:
-        _LETTER.append(np.array([chr(i).isalpha() for i in range(0x20000)], dtype=bool))
+        _LETTER.append(np.array([chr(i).isalpha() for i in range(0x110000)], dtype=bool))
     return _LETTER[0]
 
 
@@ -42,7 +44,7 @@ def features(text: str | None) -> np.ndarray | None:
     table, total, seen = _letters(), np.zeros(DIM), False
     for lo in range(0, len(points), PIECE):
         c = points[max(0, lo - max(ORDERS) + 1) : lo + PIECE]
-        inside = table[np.minimum(c, len(table) - 1)]
+        inside = table[c]
         seen = seen or bool(inside.any())
         c = np.where(inside, c, 32).astype(np.uint32)
         c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
@@ -87,7 +89,7 @@ class Model:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best language's index, and its share against the others by softmin of the losses."""
         margin = x @ self.weights + self.bias
-        loss = np.logaddexp(0, -margin[:, None, :] * self.code) @ self.trust
+        loss = (np.logaddexp(0, -margin) * self.trust) @ (self.code > 0).T + (np.logaddexp(0, margin) * self.trust) @ (self.code < 0).T
         share = np.exp(loss.min(1, keepdims=True) - loss)
         share /= share.sum(1, keepdims=True)
         return loss.argmin(1), share.max(1)
@@ -120,12 +122,17 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, eligible: Column, per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
-    """Learn from ``docs(doc_id, text, lang)`` where ``eligible``; None when there is no such row."""
+    """Learn from ``docs(doc_id, text, lang)`` where ``eligible``; None when there is no such row.
+
+    Rows with a null lang or text teach nothing, nor does a language beyond the LANGUAGES most frequent
+    ones (ties by name). Repeated rows and a null doc_id are drawn like others.
+    """
     sized(docs.sparkSession)
     rows = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
+    per_language = min(per_language, ROWS // len(counts))
     rates = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, per_language / n))])
     coin = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = rows.where(coin < rates[F.col("lang")]).select("lang", "text").mapInArrow(_vectors, "lang string, x binary")

@@ -79,20 +79,32 @@ def copies(rate: Column, doc_id: Column, seed: str) -> Column:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as ``mix`` says, with the columns of ``docs``."""
+    """The documents themselves, each as often as ``mix`` says, with the columns of ``docs``.
+
+    Reads doc_id, text and source; all columns go through whatever their names. Nulls, ties and
+    repeated rows count as in ``mix``; an empty table gives an empty result.
+    """
     scratch = Scratch(docs.sparkSession, "mixed")
     rows = docs.select("source", words(F.col("text")).alias("size"))
     o = {"weights": (3, 1, 2), "share": 1.5, "cap": 2.0, "seed": "mix-1"} | options
+    of, rate, times, turn = (free(docs.columns, n) for n in ("source", "rate", "copies", "copy"))
     s = scratch.write(
         targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), o["weights"], o["share"], o["cap"])
-        .select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate"))
+        .select(F.col("source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(rate))
     )
     if s.count() <= BROADCAST_ROWS:
         s = F.broadcast(s)
     return (
-        docs.join(s, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_copies", copies(F.col("_rate"), F.col("doc_id"), o["seed"]))
-        .where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        docs.join(s, F.col("source").eqNullSafe(F.col(of)))
+        .withColumn(times, copies(F.col(rate), F.col("doc_id"), o["seed"]))
+        .where(F.col(times) > 0)
+        .withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
+
+
+def free(taken: list[str], name: str) -> str:
+    """``name`` with as many underscores before it as no column of ``taken`` has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name

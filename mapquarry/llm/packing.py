@@ -3,7 +3,9 @@
 Each scan task tokenizes its documents in the order read and cuts the stream of ids into windows
 of at most ``LENGTH`` ids. Windows end at documents or sentences, and inside stretches that have
 neither; the program minimises padding plus a penalty for each cut inside a document. The
-least ``cost[i] + position[i]`` of the cuts in reach is kept in a monotone queue. Nothing is shuffled.
+least ``cost[i] + position[i]`` of the cuts in reach is kept in a monotone queue; windows whose length is a
+power of two, which aren't padded, are a few more transitions. Nothing is shuffled. A task holds
+the ids of BLOCK_IDS tokens and one document, however long.
 """
 
 from __future__ import annotations
@@ -127,17 +129,32 @@ def cut_places(lengths: np.ndarray, ends: np.ndarray, stride: int = STRIDE) -> t
 def choose_cuts(at: np.ndarray, penalty: np.ndarray, most: int = LENGTH) -> list[int]:
     """Cut positions, first and last included, of least padding plus penalties.
 
-    A window is charged ``most - length``, or nothing if it is full; the monotone queue holds
-    the places in reach in order of ``cost + position``.
+    A window is charged its ``padding``. The monotone queue holds the places in reach in order of
+    ``cost + position``; places a power of two before are tried by themselves.
     """
     pos, pen = at.tolist(), penalty.tolist()
-    cost, back = [0] * len(pos), [0] * len(pos)
+    ends, begins = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for width in (1 << k for k in range(most.bit_length()) if 1 << k <= most):
+        i = np.searchsorted(at, at - width)
+        j = np.flatnonzero(at[i] == at - width)
+        ends.append(j)
+        begins.append(i[j])
+    order = np.argsort(np.concatenate(ends), kind="stable")
+    ends, begins = np.concatenate(ends)[order].tolist(), np.concatenate(begins)[order].tolist()
+    ends.append(len(pos))
+    cost, back, k = [0] * len(pos), [0] * len(pos), 0
     queue: deque[int] = deque([0])
     for j in range(1, len(pos)):
         while pos[queue[0]] < pos[j] - most:
             queue.popleft()
         i = queue[0]
-        cost[j], back[j] = cost[i] + pos[i] + most - pos[j] + pen[j], i
+        best = cost[i] + pos[i] + most - pos[j]
+        while ends[k] == j:
+            if cost[begins[k]] < best:
+                i = begins[k]
+                best = cost[i]
+            k += 1
+        cost[j], back[j] = best + pen[j], i
         key = cost[j] + pos[j]
         while queue and cost[queue[-1]] + pos[queue[-1]] >= key:
             queue.pop()

@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
 Candidates are found by one pattern and validated (check digits, octet ranges, calendar, number
-plans). A keyed Feistel network permutes each valid value within its own format: the two halves
+plans). Every repeat of a group is bounded, as the regular expression engine takes stack for each turn
+of one; repeats of a single class aren't groups. A keyed Feistel network permutes each valid value within its own format: the two halves
 of the value's rank are added, in turn, to a keyed hash of the other half modulo the half's size.
 The network is a bijection for a fixed key, so equal values get equal pseudonyms in every document
 and different values stay different. Check digits are recomputed.
@@ -19,17 +20,19 @@ KEY = "mapquarry-demo-key"
 
 # Patterns of the candidates.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}"
 IPV4 = rf"(?<![0-9A-Za-z.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}(?: ?(?=[A-Z]{0,3}[0-9])[A-Z0-9]{4}){1,6}(?: ?[0-9]{1,3})?(?![0-9A-Za-z])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 DATE_ISO = r"(?<![0-9A-Za-z/.-])[12][0-9]{3}[-/.](?:0?[1-9]|1[0-2])[-/.](?:0?[1-9]|[12][0-9]|3[01])(?![0-9]|[-/.][0-9])"
 DATE_DAY = r"(?<![0-9A-Za-z/.-])[0-9]{1,2}[-/.][0-9]{1,2}[-/.][12][0-9]{3}(?![0-9]|[-/.][0-9])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])"
-PHONE_WORLD = r"(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9A-Za-z])"
+PHONE_WORLD = r"(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])"
 ACCESS_KEY = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
-HEX_KEY = r"(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,}(?![0-9A-Za-z])"
+HEX_KEY = r"(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,256}+(?![0-9A-Za-z])"
+#: Country calling codes of one and two digits; all others have three.
+CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 #: One scan: most places fail at the first look-behind or at the first character of a group.
 ANY = (
     rf"(?<![0-9A-Za-z])(?:{EMAIL}|(?=[0-9+(])(?:{'|'.join((IPV4, SSN, DATE_ISO, DATE_DAY, PHONE, CARD, PHONE_WORLD))})"
@@ -141,9 +144,15 @@ def _phone(m: Column, key: Column) -> Column:
 
 
 def _phone_world(m: Column, key: Column) -> Column:
-    code = F.regexp_extract(m, r"^\+[0-9]", 0)
-    rest = F.substr(m, F.lit(3), F.length(m))
-    return F.concat(code, refill(rest, "0-9", permute(only(rest, "[^0-9]"), 10, key, "world")))
+    """Country code, separators, a trunk zero and the first national digit (the number plan's kind) stay.
+
+    A number has 7 to 15 digits and at least 4 of them after those that stay.
+    """
+    digits = only(m, "[^0-9]")
+    head = F.regexp_extract(digits, rf"^(?:{CODES}|[0-9]{{3}})0?[0-9]", 0)
+    tail = F.substr(digits, F.length(head) + 1, F.length(digits))
+    good = F.length(digits).between(7, 15) & (F.length(head) > 0) & (F.length(tail) >= 4)
+    return F.when(good, refill(m, "0-9", F.concat(head, permute(tail, 10, key, "world")))).otherwise(m)
 
 
 def _ssn(m: Column, key: Column) -> Column:
@@ -239,8 +248,11 @@ def pseudonym(m: Column, key: Column) -> tuple[Column, Column]:
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, text, n_replaced, kinds (of the replaced values, in order).
 
-    A null text stays null with 0 replacements. Whatever isn't a valid value stays as it is, to
-    the character. Repeated rows are rewritten each; other columns are ignored.
+    A null text stays null and an empty one empty, with 0 replacements. Whatever isn't a valid value
+    stays as it is, to the character: so do parts of runs too long for their kind (a local part of more
+    than 64 characters, a label of more than 63, a hexadecimal run of more than 256). Texts of any length are scanned whole. A null doc_id
+    stays null; repeated rows are rewritten each, alike; other columns are ignored; an empty table
+    gives none.
     """
     k = F.lit(key)
 

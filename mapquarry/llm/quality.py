@@ -33,7 +33,7 @@ STATS = 24
 def _classes() -> np.ndarray:
     """Code point -> 0 space, 1 newline, 2 lower, 3 upper, 4 digit, 5 other letter, else its own shape."""
     if not _CLASS:
-        table = np.zeros(0x3000, dtype=np.uint32)
+        table = np.zeros(0x110000, dtype=np.uint32)
         for i in range(len(table)):
             ch = chr(i)
             table[i] = (
@@ -50,13 +50,13 @@ def features(text: str | None) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     table, shapes, kinds = _classes(), np.zeros(SHAPES), np.zeros(256)
     for lo in range(0, len(points), PIECE):
-        k = table[np.minimum(points[max(0, lo - 4) : lo + PIECE], len(table) - 1)]
+        k = table[points[max(0, lo - 4) : lo + PIECE]]
         # runs of one class count once: word lengths are a statistic of their own
         k = k[np.concatenate([[True], (k[1:] != k[:-1]) | (k[1:] > 5)])]
         if len(k) >= 3:
             h = ((k[:-2] * np.uint32(31) + k[1:-1]) * np.uint32(1009) + k[2:]) * np.uint32(2654435761)
             shapes += np.bincount(h >> np.uint32(22), minlength=SHAPES)
-        kinds += np.bincount(table[np.minimum(points[lo : lo + PIECE], len(table) - 1)], minlength=256)[:256]
+        kinds += np.bincount(table[points[lo : lo + PIECE]], minlength=256)[:256]
     words, lines = text.split(), text.split("\n")
     counts = Counter(words)
     n, w, chars = len(text) or 1, len(words) or 1, sum(map(len, words)) or 1

@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def residue(n: int):
-    """CRC-32 of the doc_id's decimal text modulo ``n``; held-out folds are named by it."""
+    """CRC-32 of the doc_id's decimal text modulo ``n``; held-out folds are named by it. Null for a null id, which trains nothing."""
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
@@ -88,11 +88,19 @@ QUERIES = {
 
 # ---- SQL of the operators that it can express ---------------------------------------------------
 
-_TWO = ", ".join(f"'{x}'" for x in urlrep.TWO_LABEL_SUFFIXES)
+_ADDRESS = r"regexp_matches(key, '^(?:[0-9]+(?:\.[0-9]+){3}|\[.*)$')"
+_TWO = rf"regexp_matches(key, '(?:^|\.)(?:{'|'.join(urlrep.SECOND_LEVEL)})\.[a-z][a-z]$')"
 
 
 def _last(n: int) -> str:
-    return f"array_to_string(string_split(host, '.')[-{n}:], '.')"
+    return f"array_to_string(string_split(key, '.')[-{n}:], '.')"
+
+
+_DOMAIN = f"CASE WHEN {_ADDRESS} THEN key WHEN {_TWO} THEN {_last(3)} ELSE {_last(2)} END"
+_SUFFIX = f"CASE WHEN {_ADDRESS} THEN '' WHEN {_TWO} THEN {_last(2)} ELSE {_last(1)} END"
+#: Share of a beta distribution with mean and strength below x: the series of the incomplete beta function.
+_BELOW = """list_sum(list_transform(range(0, 4000), lambda i: exp(lgamma(strength + i) - lgamma(mean * strength + 1 + i)
+      - lgamma((1 - mean) * strength) + (mean * strength + i) * ln(x) + (1 - mean) * strength * ln(1 - x))))"""
 
 
 def _strength(level: str) -> str:
@@ -113,20 +121,28 @@ SQL: dict[str, str] = {
       links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {embdedup.COSINE}),
       reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
       SELECT a AS vec_id, (SELECT count(*) FROM links l WHERE l.a = r.a) AS n_links, min(b) AS component_id, a = min(b) AS kept FROM reach r GROUP BY a""",
-    "op7_host_reputation": f"""WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    "op7_host_reputation": rf"""WITH u AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(?::[0-9]*)?$', '') AS key FROM
+        (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)),
       bad AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY 1),
-      h AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM (SELECT host, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1) AS BIGINT) AS doc_id FROM u) JOIN bad USING (doc_id) WHERE bad IS NOT NULL GROUP BY 1),
-      o AS (SELECT *, CASE WHEN {_last(2)} IN ({_TWO}) THEN {_last(3)} ELSE {_last(2)} END AS domain, CASE WHEN {_last(2)} IN ({_TWO}) THEN {_last(2)} ELSE {_last(1)} END AS suffix FROM h),
-      s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM o)::DOUBLE AS m FROM o GROUP BY 1),
+      h AS (SELECT key, count(*) AS n, sum(bad) AS bad FROM (SELECT key, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1) AS BIGINT) AS doc_id FROM u) JOIN bad USING (doc_id) WHERE bad IS NOT NULL GROUP BY 1),
+      o AS (SELECT *, {_DOMAIN} AS domain, {_SUFFIX} AS suffix FROM h),
+      root AS (SELECT ((sum(bad) + 1) / (sum(n) + 2))::DOUBLE AS m FROM o),
+      s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT m FROM root) AS m FROM o GROUP BY 1),
       s1 AS (SELECT *, (bad + s * m) / (n + s) AS mean FROM (SELECT *, {_strength('s0')} AS s FROM s0)),
       d0 AS (SELECT domain, sum(o.n) AS n, sum(o.bad) AS bad, s1.mean AS m FROM o JOIN s1 USING (suffix) GROUP BY domain, suffix, s1.mean),
       d1 AS (SELECT *, (bad + s * m) / (n + s) AS mean FROM (SELECT *, {_strength('d0')} AS s FROM d0)),
-      h0 AS (SELECT host, o.n, o.bad, d1.mean AS m FROM o JOIN d1 USING (domain)),
-      h1 AS (SELECT host, (bad + s * m) / (n + s) AS mean, n + s AS strength FROM (SELECT *, {_strength('h0')} AS s FROM h0))
-      SELECT page_id, host, path, {_rule('rule')} AS rule,
-        coalesce({_rule('action')}, CASE WHEN mean - {urlrep.QUANTILE}::DOUBLE * sqrt(mean * (1 - mean) / (strength + 1)) > {urlrep.THRESHOLD}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
-      FROM u LEFT JOIN h1 USING (host)""",
+      h0 AS (SELECT key, o.n, o.bad, d1.mean AS m FROM o JOIN d1 USING (domain)),
+      h1 AS (SELECT key, (bad + s * m) / (n + s) AS mean, n + s AS strength FROM (SELECT *, {_strength('h0')} AS s FROM h0)),
+      b0 AS (SELECT DISTINCT key FROM u WHERE key NOT IN (SELECT key FROM h)),
+      b1 AS (SELECT key, {_DOMAIN} AS domain, {_SUFFIX} AS suffix FROM b0),
+      b2 AS (SELECT key, coalesce(d1.mean, s1.mean, root.m) AS mean,
+        1 / ({_strength('h0')} + 1) + CASE WHEN d1.mean IS NULL THEN 1 / ({_strength('d0')} + 1) ELSE 0 END + CASE WHEN d1.mean IS NULL AND s1.mean IS NULL THEN 1 / ({_strength('s0')} + 1) ELSE 0 END AS unsure
+        FROM b1 LEFT JOIN d1 USING (domain) LEFT JOIN s1 USING (suffix), root),
+      p AS (SELECT key, mean::DOUBLE AS mean, strength::DOUBLE AS strength FROM h1 UNION ALL SELECT key, mean, 1 / unsure - 1 FROM b2),
+      z AS (SELECT key, {_BELOW} AS below FROM p, (SELECT {urlrep.WORSE}::DOUBLE * m / (1 - m + {urlrep.WORSE}::DOUBLE * m) AS x FROM root))
+      SELECT page_id, host, path, {_rule('rule')} AS rule, coalesce({_rule('action')}, CASE WHEN below < {urlrep.TAIL}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+      FROM u LEFT JOIN z USING (key)""",
     "op8_extendible_hash": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents)
       SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY n) AS group_size, row_number() OVER w = 1 AS kept, sha256(n) AS text_sha256
       FROM d WINDOW w AS (PARTITION BY n ORDER BY length(t) DESC, doc_id)""",

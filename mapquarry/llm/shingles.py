@@ -1,7 +1,9 @@
 """Near copies by the Jaccard similarity of five-word shingle sets.
 
-1. Bands of minima of hashed shingles name candidates; rows that share a band are joined, and the
-   components of these links are the only places where links can be.
+1. SimHash fingerprints of the shingles within the pigeonhole's radius name candidates. At a similarity
+   of 0.8 fingerprints differ in about ten bits, more than can be probed, so bands of minima of the
+   hashed shingles name the others; rows that share a band are joined, and the components of all
+   these links are the only places where links can be.
 2. A component goes to cells of bounded size that hold each two of its rows together at least once.
 3. A cell intersects the whole shingle sets of its rows and returns a spanning forest of the pairs
    whose similarity reaches the threshold, in whole numbers.
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .blocks import forest, runs, starts
 from .components import BROADCAST_ROWS, components
 from .scratch import Scratch, sized
-from .simhash import LOWER
+from .simhash import LOWER, candidates
 
 WORDS, SEED = 5, 42
 #: A pair is linked if ``OF * common >= LEAST * all``.
@@ -107,7 +109,9 @@ def near_components(rows: DataFrame, scratch: Scratch, tile: int = TILE) -> Data
     rows = rows.select(F.col("key").cast("long"), F.col("text").cast("string"))
     bands = scratch.write(rows.mapInArrow(_bands, "key long, val long"))
     shared = scratch.write(bands.groupBy("val").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("val", "first"))
-    stars = _with_roots(components(bands.join(small(shared), "val").select(F.col("key").alias("a"), F.col("first").alias("b")), scratch), scratch)
+    banded = bands.join(small(shared), "val").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    stars = _with_roots(components(banded.unionByName(candidates(rows, scratch, WORDS)), scratch), scratch)
+    scratch.drop(bands)
     sizes = stars.groupBy("root").agg(F.ceil(F.count("*") / tile).alias("tiles"))
     own = F.pmod(F.xxhash64("key", F.lit(7)), F.col("tiles"))
     dealt = (

@@ -30,35 +30,38 @@ CELL = 768
 BITS = np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Majority of each bit over the XXH64 of all word shingles; 0 for a text without words."""
     found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not found:
         return 0
     flat = b" ".join(found)
-    if len(found) <= SHINGLE:
+    if len(found) <= shingle:
         hashes = [xxhash.xxh64_intdigest(flat, SEED)]
     else:
         ends = np.cumsum([len(w) + 1 for w in found]) - 1
-        begins = [0, *(ends[:-SHINGLE] + 1).tolist()]
-        hashes = [xxhash.xxh64_intdigest(flat[i:j], SEED) for i, j in zip(begins, ends[SHINGLE - 1 :].tolist(), strict=True)]
+        begins = [0, *(ends[:-shingle] + 1).tolist()]
+        hashes = [xxhash.xxh64_intdigest(flat[i:j], SEED) for i, j in zip(begins, ends[shingle - 1 :].tolist(), strict=True)]
     h, ones = np.array(hashes, dtype=">u8"), np.zeros(64, dtype=np.int64)
     for k in range(0, len(h), 8192):
         ones += np.unpackbits(h[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+def _sign(shingle: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+
+    return sign
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, fp)``; ``fp`` holds the 64 bits in a long."""
     sized(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_sign, "doc_id long, fp long")
+    return rows.mapInArrow(_sign(shingle), "doc_id long, fp long")
 
 
 # ---- partitions of correlated bits -------------------------------------------------------------
@@ -286,8 +289,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, cell: int = CELL) ->
     scratch = Scratch(docs.sparkSession, "simhash")
     signed = scratch.write(signatures(docs))
     fps = scratch.write(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = scratch.write(link_fingerprints(fps, scratch, radius, cell))
-    stars = components(edges, scratch)
+    stars = components(scratch.write(link_fingerprints(fps, scratch, radius, cell)), scratch)
     rooted = scratch.write(
         fps.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     )
@@ -296,3 +298,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, cell: int = CELL) ->
     return signed.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def candidates(rows: DataFrame, scratch: Scratch, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``rows(key, text)`` -> edges ``(a, b)`` of keys that connect exactly what links within ``radius`` connect."""
+    signed = scratch.write(signatures(rows.select(F.col("key").alias("doc_id"), "text"), shingle))
+    fps = scratch.write(signed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    linked = link_fingerprints(fps, scratch, radius)
+    first = lambda name: fps.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_key"))
+    between = linked.join(first("a"), "a").join(first("b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    within = signed.join(fps.where("n > 1"), "fp").where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    return scratch.write(between.unionByName(within))

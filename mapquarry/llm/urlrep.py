@@ -3,26 +3,33 @@
 Labelled outcomes of pages are counted by host, registered domain and suffix. Each level's bad
 rate is shrunk towards its parent's posterior mean by a beta-binomial prior whose strength the
 method of moments finds from the spread between siblings. A page is blocked when the lower
-posterior bound of its host's bad rate exceeds the threshold. All of it is DataFrame functions.
+posterior bound of its host's bad rate, a quantile of its beta posterior, exceeds the
+bad rate of all outcomes by a factor of their odds.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, sized
 
 #: Host, path, action. A rule fits its host and all subdomains where the path starts with its path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Bad rate above which the posterior bound blocks, and its one-sided normal quantile (95 %).
-THRESHOLD, QUANTILE = 0.3, 1.645
+#: Multiple of the odds of a bad outcome among all that a host must exceed, and the share of its posterior
+#: that may lie below that (a lower bound of 95 %).
+WORSE, TAIL = 1.5, 0.05
 #: Limits of the prior's strength in pseudo-counts, and the strength where siblings can't tell.
 WEAKEST, STRONGEST, DEFAULT = 1.0, 1000.0, 20.0
-#: Public suffixes of two labels that the registered domain counts as one.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
+#: Labels that form a public suffix together with a country's two letters (co.uk, com.au).
+SECOND_LEVEL = (
+    "ac", "co", "com", "edu", "gob", "gouv", "gov", "go", "govt", "id", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch", "web",
+)
 BROADCAST_ROWS = 50_000
 
 
@@ -36,14 +43,29 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def key_of(host: Column) -> Column:
+    """The host that a reputation belongs to: without user, port and the root's dot."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"\.?(?::[0-9]*)?$", "")
+
+
+def _two_labels(host: Column) -> Column:
+    return host.rlike(rf"(?:^|\.)(?:{'|'.join(SECOND_LEVEL)})\.[a-z][a-z]$")
+
+
+def _address(host: Column) -> Column:
+    return host.rlike(r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*)$")
+
+
 def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    """Public suffix of a key; numeric addresses have none."""
+    name = F.when(_two_labels(host), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
+    return F.when(_address(host), "").otherwise(name)
 
 
 def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    """The suffix and one more label; a numeric address is its own domain."""
+    name = F.when(_two_labels(host), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    return F.when(_address(host), host).otherwise(name)
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -84,9 +106,54 @@ def _shrunk(level: DataFrame, key: str, parent: DataFrame | None, parent_key: st
     )
 
 
+def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
+    x, a, b = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(x, a, b))
+    flip = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    tiny = 1e-300
+    keep = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(z), 1 / keep(1 - (p + q) * z / (p + 1))
+    f = d.copy()
+    for m in range(1, 2000):
+        even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+        before = f
+        for term in (even, odd):
+            d, c = 1 / keep(1 + term * d), keep(1 + term / c)
+            f = f * d * c
+        if np.all(np.abs(f - before) <= 1e-14 * np.abs(f)):
+            break
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = np.exp(_lgamma(p + q) - _lgamma(p) - _lgamma(q) + p * np.log(z) + q * np.log1p(-z)) / p
+    part = np.where(z <= 0, 0.0, np.nan_to_num(front) * f)
+    return np.clip(np.where(flip, 1 - part, part), 0, 1)
+
+
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def beta_quantile(tail: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The value that a share ``tail`` of each beta distribution lies below, by bisection."""
+    low, high = np.zeros(len(a)), np.ones(len(a))
+    for _ in range(60):
+        mid = (low + high) / 2
+        under = beta_cdf(mid, a, b) < tail
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    return (low + high) / 2
+
+
+def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        mean, strength = (b.column(n).to_numpy(zero_copy_only=False) for n in ("mean", "strength"))
+        bound = beta_quantile(TAIL, mean * strength, (1 - mean) * strength) if b.num_rows else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bound)], [*b.schema.names, "bound"])
+
+
 def _bounded(rows: DataFrame) -> DataFrame:
-    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
-    return rows.withColumn("bound", F.col("mean") - F.lit(QUANTILE) * sd).select("host", "n", "bad", "mean", "strength", "bound")
+    sized(rows.sparkSession)
+    kept = rows.select("host", F.col("n").cast("long"), F.col("bad").cast("long"), F.col("mean").cast("double"), F.col("strength").cast("double"))
+    return kept.mapInArrow(_bound, "host string, n long, bad long, mean double, strength double, bound double")
 
 
 def reputation(outcomes: DataFrame, scratch: Scratch, seen: DataFrame | None = None) -> DataFrame:
@@ -117,28 +184,34 @@ def reputation(outcomes: DataFrame, scratch: Scratch, seen: DataFrame | None = N
     return known.unionByName(_bounded(bare.select("host", none.alias("n"), none.alias("bad"), mean.alias("mean"), (1 / unsure - 1).alias("strength"))))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESHOLD, rules=RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, worse: float = WORSE, rules=RULES) -> DataFrame:
     """Judge ``pages(page_id, url)`` by ``outcomes(url, bad)``, where ``bad`` is 0, 1 or null.
 
     Returns page_id, host, path, rule, verdict, bad_rate, bound. A null url, or one without
     ``://``, has an empty host and path, which no rule fits and whose outcomes count as a host of
-    that name. A host without outcomes is judged by its registered domain, else its suffix, else all
-    outcomes; it has no bound and is allowed only if there is no outcome at all. Repeated rows are
-    judged each; null outcomes are ignored; empty tables give none.
+    that name. Reputations belong to hosts without user, port and final dot. A host without outcomes is
+    judged by its registered domain, else its suffix, else all outcomes; it has no bound and is allowed
+    only if there is no outcome at all. A bound above the rate whose odds are ``worse`` times those of all
+    outcomes blocks. Repeated rows are judged each; null outcomes and other columns are ignored; empty tables
+    give none.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     counted = (
-        outcomes.where("bad is not null").groupBy(host_of(F.col("url")).alias("host"))
+        outcomes.where("bad is not null").groupBy(key_of(host_of(F.col("url"))).alias("host"))
         .agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     )
-    seen = pages.select(host_of(F.col("url")).alias("host"))
-    hosts = scratch.write(reputation(counted, scratch, seen).select(F.col("host").alias("_host"), "mean", "bound"))
-    if hosts.count() <= BROADCAST_ROWS:
+    seen = pages.select(key_of(host_of(F.col("url"))).alias("host"))
+    found = scratch.write(reputation(counted, scratch, seen).select(F.col("host").alias("_host"), "n", "bad", "mean", "bound"))
+    row = found.agg(F.count("*").alias("hosts"), F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
+    odds = worse * ((row["bad"] or 0) + 1) / ((row["n"] or 0) - (row["bad"] or 0) + 1)
+    limit = odds / (1 + odds)
+    hosts = found.select("_host", "mean", "bound")
+    if row["hosts"] <= BROADCAST_ROWS:
         hosts = F.broadcast(hosts)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
-    judged = F.when(F.col("bound") > threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(hosts, F.col("host") == F.col("_host"), "left").select(
+    judged = F.when(F.col("bound") > F.lit(limit), F.lit("block")).otherwise(F.lit("allow"))
+    return rows.join(hosts, key_of(F.col("host")) == F.col("_host"), "left").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(action, judged).alias("verdict"),
         F.col("mean").alias("bad_rate"), "bound",
     )

@@ -71,7 +71,7 @@ def test_words_equal_the_tokenizer():
 def slow_cost(at, pen, most):
     best = {0: 0.0}
     for j in range(1, len(at)):
-        best[j] = min((best[i] + most - (at[j] - at[i]) + pen[j] for i in range(j) if at[j] - at[i] <= most), default=float("inf"))
+        best[j] = min((best[i] + packing.padding(at[j] - at[i], most) + pen[j] for i in range(j) if at[j] - at[i] <= most), default=float("inf"))
     return best[len(at) - 1]
 
 
@@ -84,7 +84,7 @@ def test_cuts_are_optimal(seed):
     cuts = packing.choose_cuts(at, pen, 64)
     where = {p: k for k, p in enumerate(at.tolist())}
     assert cuts[0] == 0 and cuts[-1] == lengths.sum() and max(np.diff(cuts)) <= 64
-    cost = sum(64 - (b - a) + pen[where[b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+    cost = sum(packing.padding(b - a, 64) + pen[where[b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
     assert cost == slow_cost(at.tolist(), pen.tolist(), 64)
 
 
@@ -131,9 +131,13 @@ def test_pack(spark):
 
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     import corpus_pipeline as cp
-    from mapquarry.llm.simhash import fingerprint
     from tests.llm.test_pairs import closure
 
+    def shingle_set(text):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).replace("\r", " ").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
+        words = [w for w in words if w]
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     stages = dict(cp.STAGES)
@@ -143,11 +147,17 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     rows = sorted(one.collect())
     seen, two = {}, []
     for r in sorted(rows, key=lambda r: (-len(r.text), r.doc_id)):
-        if seen.setdefault("".join(r.text.split()), r.doc_id) == r.doc_id:
+        if seen.setdefault(r.text.translate({ord(c): None for c in " \t\n\x0b\x0c\r"}), r.doc_id) == r.doc_id:
             two.append(r)
     two.sort()
-    fps = [fingerprint(r.text) for r in two]
-    label = closure(len(two), [(i, j) for i in range(len(two)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
+    sets = [shingle_set(r.text) for r in two]
+    links = []
+    for i in range(len(two)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                links.append((i, j))
+    label = closure(len(two), links)
     three = [r for i, r in enumerate(two) if label[i] == i]
     assert sorted(stages["near"](spark, stages["exact"](spark, one, sf), sf).collect()) == three
     mixed = stages["mix"](spark, spark.createDataFrame(three, docs.schema), sf).collect()

@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from mapquarry.llm import embdedup, exactdup, simhash
 from mapquarry.llm.blocks import forest
@@ -73,10 +74,41 @@ def test_exact_repeated_rows_and_null_ids(spark):
     assert exactdup.exact_duplicates(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def counter(hashes):
+    """Counts of prefixes below their parents, as the operator asks for them."""
+
+    def count(bits, parents):
+        out = defaultdict(int)
+        for h in hashes:
+            if bits <= exactdup.STEP or h >> (64 - (bits - 1) // exactdup.STEP * exactdup.STEP) in parents:
+                out[h >> (64 - bits)] += 1
+        return out
+
+    return count
+
+
 def test_directory_doubles():
-    slots, depths = exactdup.directory({0: 5, 1: 5, 15: 1}, capacity=6, max_depth=4)
-    assert len(slots) == 16 and slots[0] != slots[1] and slots[8] == slots[15] and max(depths) == 4
-    assert exactdup.directory({}, 1, 2)[1] == [0]
+    assert exactdup.directory(counter([]), 1).local == [0]
+    d = exactdup.directory(counter([0, 1 << 60, 2 << 60, 3 << 60, 15 << 60]), 2)
+    slots = d.slots.tolist()
+    assert d.depth == 3 and slots[0] != slots[1] and slots[2] == slots[3] and len(set(slots[4:])) == 1 and len(set(slots)) == 4
+    rng = random.Random(2)
+    crowded = [(5 << 58) | rng.getrandbits(44) for _ in range(3000)]  # 20 bits in common, 44 free
+    hashes = crowded + [rng.getrandbits(64) for _ in range(40_000)]
+    d = exactdup.directory(counter(hashes), 8)
+    assert 12 < d.depth <= exactdup.MAX_DEPTH and len(d.slots) == 1 << d.depth
+    sizes = defaultdict(int)
+    for h in hashes:
+        b = int(d.slots[h >> (64 - d.depth)])
+        sizes[b] += 1
+        assert h >> (64 - d.local[b]) == d.prefix[b] if d.local[b] else True
+    assert all(n <= 8 or d.local[b] == exactdup.MAX_DEPTH for b, n in sizes.items()) and max(d.local) > 12
+
+
+def test_bodies_travel_only_for_repeated_hashes(spark):
+    df = spark.createDataFrame([(i, i % 7 if i < 20 else i) for i in range(200)], "e long, k long").select(F.xxhash64("k").alias("h"))
+    bits = exactdup.bitmap(df)
+    assert int(np.unpackbits(bits).sum()) == 7
 
 
 def slow_fingerprint(text):
