@@ -15,7 +15,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter go, and those whose language the codewords can't tell; others stay whole."""
+    """Texts without a letter go, and those whose language the codewords can't tell; others stay whole.
+
+    So null and empty texts go. Null ids and repeated rows are judged by their text; columns other than
+    those of documents are dropped; an empty table stays empty.
+    """
     model = langid.train(docs, residue(4) != 2)
     found = langid.identify(docs.select(*COLUMNS), model)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("lang_ambiguous")).select(*COLUMNS)
@@ -65,7 +69,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word Jaccard similarities of 0.8 or more the row with the least doc_id stays, null last.
 
-    Null and repeated ids count as in ``exact``.
+    Operator 3's fingerprints, over five words, name candidates; its radius can't reach all of them at
+    this similarity, so bands of minima name the rest, and whole shingle sets decide. Null and repeated
+    ids count as in ``exact``; null and blank texts are copies of each other; an empty table stays empty.
     """
     scratch = Scratch(spark, "near")
     rows = keyed(docs, scratch)
@@ -75,11 +81,20 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for."""
+    """Each document as often as its source's target asks for.
+
+    Null and empty texts have no words and go only where the whole source has none; a null source is
+    a source, a null doc_id has a coin of its own and repeated ids share one. An empty table stays empty.
+    """
     return mixing.mixed(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 4096 ids.
+
+    A null or empty text is its end id alone; null ids, ties and repeated rows are packed each; a text of
+    any length is cut whole; other columns are ignored; an empty table gives an empty result.
+    """
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
