@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def ndcg(ranked: DataFrame, k: int = 10) -> DataFrame:
-    """``ranked(query_id, rank, rel)`` -> gains (2^rel - 1) / log2(rank + 1) of the first k over the ideal order's."""
-    gain = lambda rank: (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(rank + 1)
-    ideal = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "rank"))
-    rows = ranked.withColumn("ideal", ideal)
-    sums = rows.groupBy("query_id").agg(
-        F.sum(F.when(F.col("rank") <= k, gain(F.col("rank"))).otherwise(0.0)).alias("dcg"),
-        F.sum(F.when(F.col("ideal") <= k, gain(F.col("ideal"))).otherwise(0.0)).alias("best"),
-    )
-    return sums.select("query_id", F.when(F.col("best") > 0, F.col("dcg") / F.col("best")).otherwise(0.0).alias("ndcg"))
+def ndcg(ranked: DataFrame, pool: DataFrame, k: int = 10) -> DataFrame:
+    """Gains (2^rel - 1) / log2(rank + 1) of the first ``k`` of ``ranked(query_id, rank, rel)`` over the best ones.
+
+    ``pool(query_id, rel, n)`` counts the judged rows of each grade, retrieved or not; the ideal order
+    takes the highest grades first. A query whose pool has no gain gets 0; one without results too.
+    """
+    gain = (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("rank") + 1)
+    got = ranked.where(F.col("rank") <= k).groupBy("query_id").agg(F.sum(gain).alias("dcg"))
+    # discounts of the ranks up to r are one number each, so that a grade's rows need no row of their own
+    sums = [0.0]
+    for r in range(1, k + 1):
+        sums.append(sums[-1] + 1 / math.log2(r + 1))
+    upto = lambda r: F.element_at(F.array(*map(F.lit, sums)), (F.least(r, F.lit(k)) + 1).cast("int"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("rel")).rowsBetween(Window.unboundedPreceding, 0)
+    graded = pool.withColumn("to", F.sum("n").over(w))
+    share = (F.pow(F.lit(2.0), F.col("rel")) - 1) * (upto(F.col("to")) - upto(F.col("to") - F.col("n")))
+    best = graded.groupBy("query_id").agg(F.sum(share).alias("best"))
+    return best.join(got, "query_id", "left").select(
+        "query_id", F.when(F.col("best") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("best")).otherwise(0.0).alias("ndcg")
+    )
 
 
 def recall(ranked: DataFrame, relevant: DataFrame, k: int = 20) -> DataFrame:

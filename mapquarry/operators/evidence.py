@@ -23,6 +23,12 @@ def bundles(datasets: DataFrame, relations: dict[str, DataFrame]) -> DataFrame:
     return out.select("id", "title", *[F.coalesce(n, F.lit("")).alias(n) for n in relations])
 
 
+def citation(title: Column, sources: Column, times: Column) -> Column:
+    """``title. source. begin/end.`` of what is known."""
+    known = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(c, F.lit("."))) for c in (title, sources, times)]
+    return F.concat_ws(" ", *known)
+
+
 def node(kind: str, key: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), key.cast("string"))
 

@@ -1,37 +1,63 @@
-"""Text search over a corpus: BM25 and keyword lookup."""
+"""Text search over a corpus: BM25 with exact pruning, and keyword lookup."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .retrieve import top_per_group
+from .tables import materialise
 
 K1, B = 1.2, 0.75
+#: Query terms that are broadcast to filter the corpus' tokens where they are read; more are joined.
+VOCABULARY = 200_000
+#: Terms of a query that find its first candidates, those that can add most.
+FIRST = 6
 
 
-def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf) with terms of a-z, 0-9 in lower case."""
-    words = F.explode(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " ")).alias("term")
-    return rows.select(key, words).where("term != ''").groupBy(key, "term").agg(F.count("*").alias("tf"))
+def tokens(text: Column) -> Column:
+    """Runs of a-z and 0-9 in lower case."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda t: t != "")
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``corpus(doc_id, text)``, ``queries(query_id, text)`` -> the k best documents of each query.
 
-    Only postings of query terms leave the term count; the corpus' size and mean length are two
-    numbers. ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``.
+    ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``; doc_id is a key. Tokens that no query asks for stay where
+    they are read. A query's first terms give k documents and so a score that the k-th best reaches; terms
+    whose greatest parts together stay below it (stop words) can't bring a new document in and are only
+    added to the candidates of the others. Nothing is cut that could be among the k best.
     """
-    tf = terms(corpus, "doc_id", "text")
-    asked = terms(queries, "query_id", "text").select("query_id", "term")
-    lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("n"))
-    n_docs, mean = lengths.agg(F.count("*"), F.avg("n")).first()
-    post = tf.join(asked.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    docs = corpus.select("doc_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+    asked = materialise(asked)
+    vocabulary = asked.select("term").distinct()
+    if vocabulary.count() <= VOCABULARY:
+        vocabulary = F.broadcast(vocabulary)
+    n_docs, mean = docs.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+    tf = (
+        docs.select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
+        .groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("n").alias("n"))
+    )
+    post = materialise(tf)
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(mean)))
-    scored = (
-        post.join(df, "term").join(lengths, "doc_id").select("doc_id", "term", part.alias("part"))
-        .join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(mean)))
+    stats = post.groupBy("term").agg(F.count("*").alias("df"), F.max(weight).alias("most")).select("term", idf.alias("idf"), (idf * F.col("most")).alias("most"))
+    known = materialise(asked.join(stats, "term").withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "term"))))
+    part = F.sum(F.col("idf") * weight)
+
+    def scores(terms: DataFrame) -> DataFrame:
+        return post.join(terms.select("query_id", "term", "idf"), "term").groupBy("query_id", "doc_id").agg(part.alias("part"))
+
+    first = top_per_group(scores(known.where(F.col("place") <= FIRST)), "query_id", k, F.desc("part"))
+    reached = first.groupBy("query_id").agg(F.count("*").alias("found"), F.min("part").alias("least")).select("query_id", F.when(F.col("found") >= k, F.col("least")).otherwise(0.0).alias("least"))
+    rest = F.sum("most").over(Window.partitionBy("query_id").orderBy("most", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0))
+    marked = materialise(known.withColumn("rest", rest).join(reached, "query_id", "left").withColumn("needed", F.coalesce(F.col("rest") >= F.col("least") - 1e-5, F.lit(True))))
+    candidates = materialise(scores(marked.where("needed")))
+    more = (
+        candidates.select("query_id", "doc_id").join(marked.where("not needed").select("query_id", "term", "idf"), "query_id")
+        .join(post, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(part.alias("part"))
     )
+    scored = candidates.unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_per_group(scored, "query_id", k, F.desc("score"), F.asc("doc_id"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a model call.
@@ -28,21 +28,27 @@ def create_topic(texts: list[str]) -> list[str]:
 
 
 def answer(rows: DataFrame, text: str, name: str, provider: Provider, batch: int = BATCH) -> DataFrame:
-    """Adds the provider's answer to each row in batches of a partition; an error leaves null in its batch."""
+    """Adds the provider's answer to each row in batches of a partition, and ``<name>_error``.
+
+    An error leaves null in its batch and its text beside it.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out: list[str | None] = []
+            errors: list[str | None] = []
             for k in range(0, len(f), batch):
                 part = f[text].iloc[k : k + batch].tolist()
                 try:
                     out += provider(part)
-                except Exception:
+                    errors += [None] * len(part)
+                except Exception as e:
                     out += [None] * len(part)
-            yield f.assign(**{name: out})
+                    errors += [f"{type(e).__name__}: {e}"[:500]] * len(part)
+            yield f.assign(**{name: out, f"{name}_error": errors})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(run, f"{schema}, `{name}` string")
+    return rows.mapInPandas(run, f"{schema}, `{name}` string, `{name}_error` string")
 
 
 def embedding_states(rows: DataFrame, text: str, vectors: DataFrame | None) -> DataFrame:
@@ -56,6 +62,20 @@ def embedding_states(rows: DataFrame, text: str, vectors: DataFrame | None) -> D
     ).drop("_got")
 
 
+def reserve(rows: DataFrame, limit: int, now: Column, stuck_after: str = "1 HOUR") -> DataFrame:
+    """Marks the next ``limit`` rows IN_PROGRESS at ``now``: rows without a status, or stuck in progress for longer.
+
+    ``rows(id, embedding_status, reserved_at, ...)``; least ids first.
+    """
+    free = F.col("embedding_status").isNull() | (F.col("embedding_status") == "IN_PROGRESS") & (F.col("reserved_at") < now - F.expr(f"INTERVAL {stuck_after}"))
+    taken = rows.where(free).select("id").orderBy("id").limit(limit).withColumn("_taken", F.lit(True))
+    marked = rows.join(taken, "id", "left")
+    return (
+        marked.withColumn("embedding_status", F.when(F.col("_taken"), "IN_PROGRESS").otherwise(F.col("embedding_status")))
+        .withColumn("reserved_at", F.when(F.col("_taken"), now).otherwise(F.col("reserved_at"))).drop("_taken")
+    )
+
+
 def select_top(ranked: DataFrame, choices: DataFrame | None, n: int = 10) -> DataFrame:
     """Datasets that a model chose, by its rank, with 3 reasons at most; the first ``n`` ranked when it gave none."""
     if choices is None:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import geo
-from ..functions import times
+from ..functions import geo, similarity, times
+from .tables import materialise
 
 #: Entities of a dimension that are scored, in order of their score; the union filter uses all.
 SCORED = {"Topic": 100, "Keyword": 100, "Format": 50, "License": 50, "Organization": 50}
@@ -38,14 +38,74 @@ def source_filter(provides: DataFrame, sources: Sequence[str]) -> DataFrame:
     return provides.where(F.col("entity_id").isin(*sources)).select("dataset_id").distinct()
 
 
-def check_portals(portals: dict[str, bool] | None) -> list[str] | None:
-    """Names of the selected portals; None when all are (no filter). All false is an error."""
-    if portals is None or all(portals.values()) and portals:
+#: Source ids of the catalogs that a request may switch on.
+PORTALS = {
+    "datagov": "data.gov", "pasda": "pasda", "stacGoogle": "3886fcaf359f302ca7255a9b71b265b33662f88b", "stacDedl": "7148d4a5544f0896e63775cc95908897fa0e8a36",
+    "stacMicrosoft": "32c3d214ac192b3316cef7a5996e3cba84989ffd", "stacPaituli": "c923746393499b170b2172f45ffe2f8037be3a9e",
+}
+
+
+def portal_sources(portals: dict[str, bool] | None, ids: dict[str, str] = PORTALS) -> list[str] | None:
+    """Source ids of the switched-on portals; None when all are on or none is named (no filter). All off is an error."""
+    if not portals:
         return None
-    chosen = [k for k, on in portals.items() if on]
-    if not chosen:
+    if not any(portals.values()):
         raise ValueError("select at least one catalog")
-    return chosen
+    if all(portals.get(k, False) for k in ids):
+        return None
+    return [ids[k] for k, on in portals.items() if on and k in ids]
+
+
+def text_hits(dataset: DataFrame, text: str, limit: int = 150, has_keyword: DataFrame | None = None) -> DataFrame:
+    """(dataset_id) whose title, notes or, if given, a keyword holds the text; ``limit`` at most, least ids first."""
+    q = text.lower()
+    holds = F.coalesce(F.lower("title").contains(q), F.lit(False)) | F.coalesce(F.lower("notes").contains(q), F.lit(False))
+    found = dataset.where(holds).select(F.col("id").alias("dataset_id"))
+    if has_keyword is not None:
+        found = found.unionByName(has_keyword.where(F.lower("entity_id").contains(q)).select("dataset_id")).distinct()
+    return found.orderBy("dataset_id").limit(limit)
+
+
+#: The property that a text search looks into, by kind of node; the first that a table has.
+SEARCHED = {
+    "Topic": ("name",), "Keyword": ("name",), "Format": ("name",), "Source": ("title", "name"), "Organization": ("title", "name"), "License": ("title", "name"),
+    "Dataset": ("title", "notes"),
+}
+
+
+def searched(nodes: DataFrame, label: str) -> Column:
+    return F.coalesce(*[F.col(c) for c in SEARCHED[label] if c in nodes.columns])
+
+
+def vector_candidates(nodes: DataFrame, probe: Sequence[float], k: int, threshold: float, mode: str = "index") -> DataFrame:
+    """The ``k`` nodes ``(id, embedding)`` nearest to ``probe`` whose score exceeds the threshold; null embeddings are skipped.
+
+    ``mode`` index scores (1 + cosine) / 2, exact scores the cosine itself: thresholds differ.
+    """
+    close = similarity.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in probe]))
+    score = F.round((1 + close) / 2 if mode == "index" else close, 6)
+    return nodes.where("embedding is not null").select("id", score.alias("score")).where(F.col("score") > threshold).orderBy(F.desc("score"), "id").limit(k)
+
+
+def confident(score: Column, threshold: float) -> Column:
+    """``proceed`` from the threshold on, else ``ask``; nothing known asks."""
+    return F.when(F.coalesce(score >= threshold, F.lit(False)), "proceed").otherwise("ask")
+
+
+def in_blocks(asked: DataFrame, rows: DataFrame, asked_key: str, row_key: str, most: int = SELECTION) -> DataFrame:
+    """Every row beside every row of ``asked``, a stated set of queries, in blocks of at most about ``most`` queries.
+
+    A set of at most ``most`` (counted here) is broadcast. Else rows go to each block and are dealt by
+    their own hash within it, so that no task gets a whole block's rows.
+    """
+    n = asked.count()
+    if n <= most:
+        zero = F.explode(F.sequence(F.lit(0), F.lit(0)))
+        return rows.withColumn("_block", zero).join(F.broadcast(asked.withColumn("_block", F.lit(0))), "_block").drop("_block")
+    blocks, shares = -(-n // most), max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    left = asked.withColumn("_block", F.pmod(F.xxhash64(asked_key), F.lit(blocks))).withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    right = rows.withColumn("_share", F.pmod(F.xxhash64(row_key), F.lit(shares))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return right.join(left, ["_block", "_share"]).drop("_block", "_share")
 
 
 def expand(edges: DataFrame, chosen: DataFrame, hard: DataFrame | None = None) -> DataFrame:
@@ -68,13 +128,22 @@ def contribution(links: DataFrame, dim: str, weight: float, missing: float = 0.5
 
 
 def total(parts: Sequence[DataFrame]) -> DataFrame:
-    """Sum over dimensions, each contribution capped at 1, and the share of the best sum."""
+    """Sum over dimensions, each contribution capped at 1, and the share of the best sum.
+
+    The sums are written once; the best one is read from there.
+    """
     rows = reduce(DataFrame.unionByName, parts)
-    summed = rows.groupBy("dataset_id").agg(F.sum(F.least(F.lit(1.0), "contribution")).alias("total"))
+    summed = materialise(rows.groupBy("dataset_id").agg(F.sum(F.least(F.lit(1.0), "contribution")).alias("total")))
     best = summed.agg(F.max("total").alias("best")).first()["best"]
     return summed.withColumn("score", F.col("total") / F.lit(best) if best else F.col("total"))
 
 
+def raw_scores(contributions: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Adds ``raw``, the score before weighting: contribution over the dimension's weight, 1 at most."""
+    weight = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("dim")]
+    return contributions.withColumn("raw", F.least(F.lit(1.0), F.when(weight > 0, F.col("contribution") / weight).otherwise(0.0)))
+
+
 def space_contribution(space: DataFrame, ids: DataFrame, box: geo.Box, weight: float) -> DataFrame:
     f1 = geo.box_f1(*(F.col(c) for c in ("west", "south", "east", "north")), box)
     return space.join(ids, "dataset_id", "left_semi").select("dataset_id", F.lit("Space").alias("dim"), (f1 * weight).alias("contribution")).where("contribution > 0")
@@ -107,11 +176,16 @@ def top_per_group(rows: DataFrame, group: str, k: int, *order: Column) -> DataFr
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def range_join(boxes: DataFrame, space: DataFrame, cell: float = 20.0) -> DataFrame:
+#: Spaces of a grid cell that one task joins; a fuller cell is dealt to several.
+CELL_ROWS = 50_000
+
+
+def range_join(boxes: DataFrame, space: DataFrame, cell: float = 10.0) -> DataFrame:
     """Batch of query boxes ``(query_id, qw, qs, qe, qn)`` against all spaces by shared grid cells.
 
     Both sides are dealt to the cells they cover; a pair that shares several cells is kept in the
-    one that holds the corner of its intersection, so no distinct is needed.
+    one that holds the corner of its intersection, so no distinct is needed. Cells are counted first (a
+    world of them, at most 703 at 10 degrees); the spaces of a crowded one are dealt to several tasks.
     """
 
     def cover(lo: str, hi: str, name: str) -> Column:
@@ -119,6 +193,13 @@ def range_join(boxes: DataFrame, space: DataFrame, cell: float = 20.0) -> DataFr
 
     q = boxes.select("*", cover("qw", "qe", "cx")).select("*", cover("qs", "qn", "cy"))
     s = space.select("*", cover("west", "east", "cx")).select("*", cover("south", "north", "cy"))
+    held = s.groupBy("cx", "cy").count().where(F.col("count") > CELL_ROWS).collect()
+    parts = F.lit(1)
+    if held:
+        table = F.create_map(*[x for r in held for x in (F.lit(f"{r['cx']},{r['cy']}"), F.lit(-(-r["count"] // CELL_ROWS)))])
+        parts = F.coalesce(F.try_element_at(table, F.concat_ws(",", "cx", "cy")), F.lit(1))
+    s = s.withColumn("share", F.pmod(F.xxhash64("dataset_id"), parts))
+    q = q.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
     hit = (F.col("west") <= F.col("qe")) & (F.col("east") >= F.col("qw")) & (F.col("south") <= F.col("qn")) & (F.col("north") >= F.col("qs"))
     corner = (F.floor(F.greatest("west", "qw") / cell) == F.col("cx")) & (F.floor(F.greatest("south", "qs") / cell) == F.col("cy"))
-    return q.join(s, ["cx", "cy"]).where(hit & corner).select("query_id", "dataset_id")
+    return q.join(s, ["cx", "cy", "share"]).where(hit & corner).select("query_id", "dataset_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +12,10 @@ from ..functions.text import shorten
 STAGES = ("intent", "normalise", "match", "filter", "score", "evidence", "select", "answer")
 
 
+#: Dimensions that a title names, in order.
+TITLED = ("topic", "format", "license", "organization", "source", "space", "time")
+
+
 def next_index(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     n = turns.groupBy("conv_id").agg(F.max("turn").alias("m"))
     return conversations.join(n, "conv_id", "left").select("conv_id", F.coalesce(F.col("m") + 1, F.lit(0)).cast("long").alias("next_turn"))
@@ -47,6 +51,17 @@ def visible(conversations: DataFrame, user: str) -> DataFrame:
     return conversations.where(~F.col("deleted") & (F.col("shareable") | (F.col("api_key") == user)))
 
 
+def listed(conversations: DataFrame) -> DataFrame:
+    """Conversations in the order of their listing: newest first, ties by id."""
+    return conversations.orderBy(F.desc("created_at"), "conv_id")
+
+
+def title(intent: Column, n: int = 100) -> Column:
+    """Title of a conversation from a struct of texts by dimension: the known ones in order, cut at ``n`` characters."""
+    parts = [F.when(F.coalesce(F.trim(intent[d]), F.lit("")) != "", F.trim(intent[d])) for d in TITLED]
+    return shorten(F.concat_ws(" | ", *parts), n)
+
+
 def latest_state(feed: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return feed.groupBy(key).agg(F.max_by(value, order).alias(value))
 

@@ -5,19 +5,45 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only when the session names no shared folder (local sessions, tests).
 LOCAL_DEFAULT = "/tmp/checkpoints/mapquarry"
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session may do without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return LOCAL_DEFAULT
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table in the folder that driver and executors share."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` returned and that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._table_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def active(rows: DataFrame, since: str | None = None) -> DataFrame:
+    """Rows whose ``status`` is ACTIVE or missing and, with ``since``, whose ``created_at`` string isn't before it."""
+    kept = rows.where(F.coalesce("status", F.lit("ACTIVE")) == "ACTIVE")
+    return kept if since is None else kept.where(F.col("created_at") >= since)
 
 
 def last_wins(rows: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.similarity import jaro_winkler, token_jaccard
-from .tables import materialise
+from .components import components
+from .tables import active, materialise
 
 #: Gate to the decision provider: frequency, Jaro-Winkler and token Jaccard of the best hit.
 GATE = (5, 0.90, 0.60)
@@ -26,28 +27,70 @@ def seeds(freq: DataFrame, k: int = 2000) -> DataFrame:
     return freq.orderBy(F.desc("freq"), F.asc("canonical")).limit(k)
 
 
+def similar(names: DataFrame, topics: DataFrame, least: float = GATE[2]) -> DataFrame:
+    """``names(canonical)`` and ``topics(topic)`` whose token sets reach the Jaccard similarity: canonical, topic, jaccard.
+
+    Sets that similar share one of the ``n - ceil(least * n) + 1`` rarest tokens of each, so only those
+    are joined: a token that many names hold is nobody's rare one.
+    """
+    words = lambda df, c: df.select(F.col(c).alias("name"), F.array_distinct(F.split(c, " ")).alias("tokens")).distinct()
+    left, right = words(names, "canonical"), words(topics, "topic")
+    held = left.select(F.explode("tokens").alias("token")).unionByName(right.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("held"))
+
+    def rare(rows: DataFrame, name: str) -> DataFrame:
+        spread = rows.select("name", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(held, "token")
+        place = F.row_number().over(Window.partitionBy("name").orderBy("held", "token"))
+        return spread.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("token", F.col("name").alias(name))
+
+    pairs = rare(left, "canonical").join(rare(right, "topic"), "token").select("canonical", "topic").distinct()
+    return pairs.withColumn("jaccard", token_jaccard(F.col("canonical"), F.col("topic"))).where(F.col("jaccard") >= least)
+
+
 def resolve(freq: DataFrame, topics: DataFrame) -> DataFrame:
     """Pending names against active topics: ``existing`` on equal canonical names, else gated.
 
     The best hit of a name is the topic that shares most tokens with it (ties: smallest name);
-    a name that passes all gates is up for ``decide``, others ``create`` a topic.
+    a name that passes all gates is up for ``decide``, others ``create`` a topic. Topics with a
+    ``status`` count only if it is ACTIVE or missing.
     """
-    known = topics.select(F.col("canonical").alias("topic"))
+    known = (active(topics) if "status" in topics.columns else topics).select(F.col("canonical").alias("topic"))
     exact = freq.join(known, F.col("canonical") == F.col("topic"), "left")
     open_ = exact.where("topic is null").select("canonical", "freq")
-    tokens = lambda df, c, a: df.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("token")).withColumnRenamed(c, a)
-    shared = tokens(open_, "canonical", "canonical").join(tokens(known, "topic", "topic"), "token").select("canonical", "topic").distinct()
-    scored = shared.withColumn("jaccard", token_jaccard(F.col("canonical"), F.col("topic")))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("canonical").orderBy(F.desc("jaccard"), "topic"))).where("r = 1").drop("r")
-    judged = open_.join(best, "canonical", "left").withColumn(
-        "jw", F.when((F.col("freq") >= GATE[0]) & (F.col("jaccard") >= GATE[2]), jaro_winkler(F.col("canonical"), F.col("topic")))
-    )
-    passed = F.coalesce(F.col("jw") >= GATE[1], F.lit(False))
+    scored = similar(open_.where(F.col("freq") >= GATE[0]), known)
+    best = scored.groupBy("canonical").agg(F.min_by("topic", F.struct(-F.col("jaccard"), "topic")).alias("topic"))
+    judged = open_.join(best, "canonical", "left")
+    passed = F.coalesce(jaro_winkler(F.col("canonical"), F.col("topic")) >= GATE[1], F.lit(False))
     return exact.where("topic is not null").select("canonical", "freq", "topic", F.lit("existing").alias("action")).unionByName(
         judged.select("canonical", "freq", F.when(passed, F.col("topic")).alias("topic"), F.when(passed, "decide").otherwise("create").alias("action"))
     )
 
 
+def resolutions(resolved: DataFrame) -> DataFrame:
+    """RESOLVES_TO: each pending name's topic; a name that creates one is a topic of its own."""
+    return resolved.select("canonical", F.coalesce("topic", "canonical").alias("topic"))
+
+
+def materialised(pending: DataFrame, resolved: DataFrame) -> DataFrame:
+    """HAS_TOPIC edges of ``pending(dataset_id, canonical)`` by their resolutions, as a set."""
+    return pending.join(resolutions(resolved), "canonical").select("dataset_id", F.col("topic").alias("topic_id")).distinct()
+
+
+def renamed(topics: DataFrame, names: DataFrame) -> DataFrame:
+    """``topics(id, canonical, ...)`` with the canonical names of ``names(id, canonical)`` where those are free.
+
+    A name that another topic holds, or that two topics ask for, isn't given (of two askers the least id gets it).
+    """
+    asked = names.groupBy("canonical").agg(F.min("id").alias("id")).join(topics.select("canonical"), "canonical", "left_anti")
+    return topics.join(asked.select("id", F.col("canonical").alias("_free")), "id", "left").withColumn("canonical", F.coalesce("_free", "canonical")).select(*topics.columns)
+
+
+def deprecated(topics: DataFrame, final: DataFrame) -> DataFrame:
+    """``topics`` with ``status`` DEPRECATED and ``merged_into`` for the sources of ``final(src, dst)``; others keep their status."""
+    marked = topics.join(final.select(F.col("src").alias("id"), F.col("dst").alias("merged_into")), "id", "left")
+    old = F.coalesce("status", F.lit("ACTIVE")) if "status" in topics.columns else F.lit("ACTIVE")
+    return marked.withColumn("status", F.when(F.col("merged_into").isNotNull(), "DEPRECATED").otherwise(old))
+
+
 def keys(topics: DataFrame) -> DataFrame:
     """``(id, canonical, name, aliases)`` -> the namespaced keys under which topics are similar."""
     canon, name = X.canonical_topic(F.col("canonical")), X.canonical_topic(F.col("name"))
@@ -61,23 +104,15 @@ def keys(topics: DataFrame) -> DataFrame:
 
 
 def groups(keyed: DataFrame) -> DataFrame:
-    """Connected components of topics that share a key: (id, group), group = least id of a component of two or more.
+    """Connected components of topics that share a key: (id, group, size), group = least id of a component of two or more.
 
-    Labels travel over the bipartite graph of topics and keys: a key takes the least label of its
-    topics, a topic the least of its keys, until nothing changes. No pair of topics is built.
+    Every topic of a key is linked with the key's least topic, so no pair of topics is built.
     """
-    labels = keyed.select("id", F.col("id").alias("group")).distinct()
-    before = None
-    while True:
-        low = keyed.join(labels, "id").groupBy("key").agg(F.min("group").alias("low"))
-        step = materialise(keyed.join(low, "key").groupBy("id").agg(F.min("low").alias("group")))
-        now = step.agg(F.sum(F.xxhash64("id", "group").cast("decimal(38,0)"))).first()[0]
-        labels = step
-        if now == before:
-            break
-        before = now
-    sizes = labels.groupBy("group").agg(F.count("*").alias("size")).where("size >= 2")
-    return labels.join(sizes, "group").select("id", "group", "size")
+    least = keyed.groupBy("key").agg(F.min("id").alias("least"))
+    stars = components(keyed.join(least, "key").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    roots = stars.select(F.col("root").alias("id"), F.col("root").alias("group")).distinct()
+    labels = stars.select(F.col("node").alias("id"), F.col("root").alias("group")).unionByName(roots)
+    return labels.join(labels.groupBy("group").agg(F.count("*").alias("size")), "group").select("id", "group", "size")
 
 
 def chunks(grouped: DataFrame, name: Column, size: int = CHUNK) -> DataFrame:

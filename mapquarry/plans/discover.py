@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.geo import Box
 from ..functions.similarity import contains_score
 from ..operators import retrieve as R
+from ..operators.tables import materialise
 from .catalog import Catalog
 
 # Default weights of the dimensions.
@@ -25,6 +27,9 @@ class Parameters:
     similarity: float = 0.5
     confidence: float = 0.5
     portals: dict[str, bool] | None = None
+    portal_ids: dict[str, str] = field(default_factory=lambda: dict(R.PORTALS))
+    keyword_search: bool = True
+    vector_top: int = 50
 
     def normalised(self) -> dict[str, float]:
         total = sum(self.weights.values())
@@ -39,64 +44,104 @@ class Parameters:
 
 @dataclass
 class Intent:
-    """Text by dimension, a box and a closed span; what isn't set doesn't constrain."""
+    """Text by dimension, a box, a closed span, sources, vectors of the texts; what isn't set doesn't constrain."""
 
     text: dict[str, str] = field(default_factory=dict)
     box: Box | None = None
     span: tuple[str, str] | None = None
     sources: list[str] = field(default_factory=list)
+    vectors: dict[str, list[float]] = field(default_factory=dict)
 
 
 FLAGSHIP = Intent({"Topic": "widget"}, (-80.0, 20.0, 40.0, 60.0), ("19970101 00:00:00", "19981231 23:59:59"))
 
 
-def candidates(nodes: DataFrame, q: str, threshold: float) -> DataFrame:
-    """Entities whose name holds the text with a score over the threshold: (id, score)."""
-    return nodes.select("id", F.round(contains_score(F.col("name"), q), 6).alias("score")).where(F.col("score") > threshold)
+def candidates(nodes: DataFrame, q: str, threshold: float, label: str = "Topic", vector: list[float] | None = None, k: int = 50) -> DataFrame:
+    """Entities whose searched property holds the text with a score over the threshold: (id, score).
 
+    With a vector and embedded nodes, the nearest ones join them; the greater score of an entity counts.
+    """
+    by_name = nodes.select("id", F.round(contains_score(R.searched(nodes, label), q), 6).alias("score")).where(F.col("score") > threshold)
+    if vector is None or "embedding" not in nodes.columns:
+        return by_name
+    both = by_name.unionByName(R.vector_candidates(nodes, vector, k, threshold))
+    return both.groupBy("id").agg(F.max("score").alias("score"))
 
-def discover(catalog: Catalog, intent: Intent, parameters: Parameters | None = None, top: int = TOP) -> DataFrame:
-    """Ranked datasets (dataset_id, score, rank), ties at the last rank kept.
 
-    Scores are shares of the best sum over all scored datasets, taken before datasets without a
-    selected entity are dropped; scoring uses the first entities of a dimension, the drop all.
-    """
-    p = parameters or Parameters()
-    p.check()
+def text_contributions(catalog: Catalog, intent: Intent, p: Parameters, hard: DataFrame | None) -> DataFrame | None:
+    """(dataset_id, dim, contribution) of datasets linked to any candidate; null where only unscored entities link it."""
+    w = p.normalised()
+    nodes = {
+        "Topic": (catalog.topic, catalog.has_topic), "Keyword": (catalog.keyword, catalog.has_keyword), "License": (catalog.license, catalog.has_license),
+        "Organization": (catalog.organization, catalog.published_by), "Format": (catalog.format, None),
+    }
+    out = None
+    for dim, q in intent.text.items():
+        links = None
+        for kind in ("Topic", "Keyword") if dim == "Topic" and p.keyword_search else (dim,):
+            table, edges = nodes[kind]
+            found = candidates(table, q, p.similarity, kind, intent.vectors.get(dim), p.vector_top)
+            best = R.selection(found, R.SCORED[kind]).select("id", F.lit(True).alias("used"))
+            chosen = found.join(best, "id", "left")
+            got = R.expand_formats(catalog.has_resource, catalog.has_format, chosen, hard) if kind == "Format" else R.expand(edges, chosen, hard)
+            got = got.select("dataset_id", F.when(F.col("used"), F.col("score")).alias("score"))
+            links = got if links is None else links.unionByName(got)
+        part = links.groupBy("dataset_id").agg((F.max("score") * w[dim]).alias("contribution")).select("dataset_id", F.lit(dim).alias("dim"), "contribution")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def contributions(catalog: Catalog, intent: Intent, p: Parameters) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """All weighted contributions, those of the text alone (written, so that each expansion runs once), and the hard set."""
     w = p.normalised()
     hard = R.hard_filter(catalog.space, catalog.time, intent.box, intent.span)
-    if intent.sources:
-        chosen = R.source_filter(catalog.provides, intent.sources)
+    sources = sorted({*intent.sources, *(R.portal_sources(p.portals, p.portal_ids) or [])})
+    if sources:
+        chosen = R.source_filter(catalog.provides, sources)
         hard = chosen if hard is None else hard.join(chosen, "dataset_id", "left_semi")
-    nodes = {"Topic": (catalog.topic, catalog.has_topic), "Keyword": (catalog.keyword, catalog.has_keyword), "License": (catalog.license, catalog.has_license), "Organization": (catalog.organization, catalog.published_by)}
-    scored: dict[str, DataFrame] = {}
-    linked = []
-    for dim, q in intent.text.items():
-        for kind in ("Topic", "Keyword") if dim == "Topic" else (dim,):
-            if kind == "Format":
-                found = candidates(catalog.format, q, p.similarity)
-                links = R.expand_formats(catalog.has_resource, catalog.has_format, found, hard)
-            else:
-                found = candidates(nodes[kind][0], q, p.similarity)
-                links = R.expand(nodes[kind][1], found, hard)
-            best = R.selection(found, R.SCORED[kind]).select(F.col("id").alias("entity_id"))
-            used = links.join(best, "entity_id", "left_semi")
-            scored[dim] = scored[dim].unionByName(used) if dim in scored else used
-            linked.append(links)
-    parts = [R.contribution(links, dim, w[dim], p.similarity) for dim, links in scored.items()]
-    ids = R.linked_to_any(*linked) if linked else None
+    text = text_contributions(catalog, intent, p, hard)
+    if text is not None:
+        text = materialise(text)
+    ids = text.select("dataset_id").distinct() if text is not None else None
     if hard is not None:
         ids = hard if ids is None else ids.unionByName(hard).distinct()
+    parts = [] if text is None else [text.where("contribution is not null")]
     if intent.box and ids is not None:
         parts.append(R.space_contribution(catalog.space, ids, intent.box, w["Space"]))
     if intent.span and ids is not None:
         parts.append(R.time_contribution(catalog.time, ids, intent.span, w["Time"]))
-    if not parts:
+    return (reduce(DataFrame.unionByName, parts) if parts else None), text, hard
+
+
+def discover(catalog: Catalog, intent: Intent, parameters: Parameters | None = None, top: int = TOP) -> DataFrame:
+    """Ranked datasets (dataset_id, score, rank), ties at the last rank kept.
+
+    Scores are shares of the best sum over all scored datasets, taken before datasets without a
+    selected entity are dropped; scoring uses the first entities of a dimension, the drop all. Where
+    nothing scores, datasets whose text holds the topic count 0.1 each (within the hard set), and where
+    those fail too, the hard set counts 1.0 each.
+    """
+    p = parameters or Parameters()
+    p.check()
+    rows, text, hard = contributions(catalog, intent, p)
+    ranked = R.total([rows]) if rows is not None else None
+    if ranked is not None and text is not None and not ranked.isEmpty():
+        ranked = ranked.join(text.select("dataset_id").distinct(), "dataset_id", "left_semi")
+    elif ranked is None or ranked.isEmpty():
+        ranked = fallback(catalog, intent, p, hard)
+    if ranked is None:
         return catalog.dataset.select(F.col("id").alias("dataset_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    ranked = R.total(parts)
-    if linked:
-        ranked = ranked.join(R.linked_to_any(*linked), "dataset_id", "left_semi")
     key = F.round("score", 6)
     best = R.top_with_ties(ranked, top, key)
     # at most ``top`` rows and the ties of the last one meet in this window
     return best.select("dataset_id", key.alias("score"), F.rank().over(Window.orderBy(F.desc(key))).alias("rank"))
+
+
+def fallback(catalog: Catalog, intent: Intent, p: Parameters, hard: DataFrame | None) -> DataFrame | None:
+    """Scores of a request that nothing scored: (dataset_id, score), or None without topic text and hard filters."""
+    if intent.text.get("Topic"):
+        hits = R.text_hits(catalog.dataset, intent.text["Topic"], 150, catalog.has_keyword if p.keyword_search else None)
+        hits = materialise(hits.join(hard, "dataset_id", "left_semi") if hard is not None else hits)
+        if not hits.isEmpty():
+            return R.total([hits.select("dataset_id", F.lit("Topic").alias("dim"), F.lit(0.1).alias("contribution"))])
+    return hard.select("dataset_id", F.lit(1.0).alias("score")) if hard is not None else None

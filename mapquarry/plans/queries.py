@@ -139,9 +139,12 @@ def token_jaccard(c: Catalog) -> DataFrame:
 
 @query
 def jaro_winkler_gate(c: Catalog) -> DataFrame:
-    """Pairs of topic names with a common first token; scores of at least 0.9, where both engines' forms agree."""
-    t = c.topic.select(F.col("name").alias("a"), F.split("name", " ")[0].alias("k"))
-    pairs = t.join(t.withColumnRenamed("a", "b"), "k").where("a < b")
+    """Every topic name asked against all topic names, in blocks; scores of at least 0.9, where both engines' forms agree.
+
+    No shared token or letter is a bound for this similarity, so nothing is blocked by a key.
+    """
+    t = c.topic.select(F.col("name").alias("a"))
+    pairs = R.in_blocks(t, t.withColumnRenamed("a", "b"), "a", "b").where("a < b")
     return pairs.select("a", "b", six(M.jaro_winkler(F.col("a"), F.col("b"))).alias("score")).where("score >= 0.9")
 
 
@@ -156,20 +159,18 @@ def cosine_topk(c: Catalog) -> DataFrame:
     return scored.orderBy(F.desc("score"), "vec_id").limit(10)
 
 
-@query
-def cosine_topk_per_query(c: Catalog) -> DataFrame:
-    """Five nearest vectors of each vector whose id is divisible by 100, against all vectors in blocks.
-
-    The queries are a stated set of at most ``R.SELECTION`` rows, checked before they are broadcast.
-    """
-    e = c.table("embeddings")
+def neighbours(c: Catalog, k: int) -> DataFrame:
+    """The ``k`` nearest vectors of each vector whose id is divisible by 100, against all vectors in blocks."""
+    e = c.table("embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    n = q.count()
-    blocks = q.withColumn("block", F.pmod(F.col("query_id"), F.lit(max(1, -(-n // R.SELECTION)))))
-    rows = e.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-n // R.SELECTION) - 1)).cast("long"))))
-    both = rows.join(F.broadcast(blocks) if n <= R.SELECTION else blocks, "block").where("vec_id != query_id")
+    both = R.in_blocks(q, e, "query_id", "vec_id").where("vec_id != query_id")
     scored = both.select("query_id", "vec_id", six(M.cosine(F.col("embedding"), F.col("q"))).alias("score"))
-    return R.top_per_group(scored, "query_id", 5, F.desc("score"), F.asc("vec_id"))
+    return R.top_per_group(scored, "query_id", k, F.desc("score"), F.asc("vec_id"))
+
+
+@query
+def cosine_topk_per_query(c: Catalog) -> DataFrame:
+    return neighbours(c, 5)
 
 
 @query
@@ -241,6 +242,34 @@ def hardfilter_only(c: Catalog) -> DataFrame:
     return R.hard_filter(c.space, c.time, BOX, SPAN).select("dataset_id", F.lit(1.0).alias("score"))
 
 
+@query
+def discover_fallback(c: Catalog) -> DataFrame:
+    """No topic or keyword holds the text, so datasets whose title, notes or keywords do count 0.1 each."""
+    return D.discover(c, D.Intent({"Topic": "not specified"}))
+
+
+@query
+def discover_hard_only(c: Catalog) -> DataFrame:
+    return D.discover(c, D.Intent({"Topic": "no such text"}, sources=["ASIA"]))
+
+
+REGIONS = {"africa": "AFRICA", "america": "AMERICA", "asia": "ASIA", "europe": "EUROPE", "east": "MIDDLE EAST"}
+
+
+@query
+def discover_portals(c: Catalog) -> DataFrame:
+    on = D.Parameters(portals={k: k in ("asia", "europe") for k in REGIONS}, portal_ids=REGIONS)
+    return D.discover(c, D.Intent({"Topic": "widget"}), on)
+
+
+@query
+def raw_scores(c: Catalog) -> DataFrame:
+    """Contributions of the flagship request by dimension, with the scores before weighting."""
+    p = D.Parameters()
+    rows, _, _ = D.contributions(c, D.FLAGSHIP, p)
+    return R.raw_scores(rows, p.normalised()).select("dataset_id", "dim", six("contribution").alias("contribution"), six("raw").alias("raw"))
+
+
 # ---- ranking ---------------------------------------------------------------------------------
 
 
@@ -302,7 +331,7 @@ def pending_freq(c: Catalog) -> DataFrame:
 
 @query
 def seed_topics(c: Catalog) -> DataFrame:
-    return topics.seeds(freq(c), 50)
+    return topics.seeds(freq(c))
 
 
 @query
@@ -319,25 +348,48 @@ def resolve_actions(c: Catalog) -> DataFrame:
 
 @query
 def materialize_has_topic(c: Catalog) -> DataFrame:
-    """Pending names whose two last tokens name a topic lead their datasets to it."""
-    tail = F.substring_index("canonical", " ", -2)
-    moved = c.pending.select("dataset_id", tail.alias("canonical")).join(vocabulary(c), "canonical")
-    return moved.select("dataset_id", F.col("id").alias("topic_id")).distinct()
+    """Datasets of pending names lead to the topics that the names resolve to, new ones included."""
+    return topics.materialised(c.pending, topics.resolve(freq(c), vocabulary(c)))
+
+
+@query
+def resolves_to(c: Catalog) -> DataFrame:
+    return topics.resolutions(topics.resolve(freq(c), vocabulary(c)))
+
+
+@query
+def similar_topics(c: Catalog) -> DataFrame:
+    """Pending names and topics that share three fifths of their tokens."""
+    found = topics.similar(freq(c), vocabulary(c).select(F.col("canonical").alias("topic")))
+    return found.select("canonical", "topic", six("jaccard").alias("jaccard"))
+
+
+@query
+def topic_merge_states(c: Catalog) -> DataFrame:
+    """After the merges: sources are deprecated; of the rest, those whose name in capitals' first token is free take it."""
+    kept = topics.deprecated(vocabulary(c), topics.redirects(merges(c)))
+    names = kept.where("status = 'ACTIVE'").select("id", F.substring_index("canonical", " ", 1).alias("canonical"))
+    return topics.renamed(kept, names).select("id", "canonical", "status", "merged_into")
 
 
 @query
 def topic_components(c: Catalog) -> DataFrame:
-    """Components of pending names that share a canonical form, a token signature or a six-letter prefix."""
-    t = c.pending.select("canonical").distinct().select(F.col("canonical").alias("id"), "canonical", F.lit(None).cast("string").alias("name"), F.lit(None).cast("array<string>").alias("aliases"))
-    keyed = topics.keys(t).where("key not like 'p3|%'")
-    return topics.groups(keyed).select("id", "group", F.col("size").cast("long").alias("size"))
+    """Components of pending names that share any key: canonical form, name, alias, token signature, prefixes of three and six letters.
+
+    The name is the type, the alias the part's name behind it.
+    """
+    words = F.split("canonical", " ")
+    name = F.upper(F.array_join(F.slice(words, 1, F.size(words) - 2), " "))
+    alias = F.array_join(F.slice(words, -2, 2), " ")
+    t = c.pending.select("canonical").distinct().select(F.col("canonical").alias("id"), "canonical", name.alias("name"), F.array(alias).alias("aliases"))
+    return topics.groups(topics.keys(t)).select("id", "group", F.col("size").cast("long").alias("size"))
 
 
 def merges(c: Catalog) -> DataFrame:
     """Each name of a colour is merged into the next one with the same noun, in order of names."""
     t = c.topic.select("id", F.substring_index("id", " ", -1).alias("noun"))
     nxt = F.lead("id").over(Window.partitionBy("noun").orderBy("id"))
-    return t.select(F.col("id").alias("src"), nxt.alias("dst")).where("dst is not null and src < 'o'")
+    return t.select(F.col("id").alias("src"), nxt.alias("dst")).where("dst is not null")
 
 
 @query
@@ -375,18 +427,27 @@ def upsert_keep_old(c: Catalog) -> DataFrame:
 # ---- evidence --------------------------------------------------------------------------------
 
 
-def picked(c: Catalog) -> DataFrame:
-    return c.dataset.where("id % 50 = 0")
-
-
 @query
 def bundle_join(c: Catalog) -> DataFrame:
     rel = {"topics": c.has_topic, "keywords": c.has_keyword, "organizations": c.published_by, "licenses": c.has_license, "sources": c.provides}
-    return evidence.bundles(picked(c), rel)
+    return evidence.bundles(c.dataset, rel)
+
+
+@query
+def bundle_full(c: Catalog) -> DataFrame:
+    """All eight relations of every dataset, with the formats of its resources and a citation."""
+    whole = [F.col(x).cast("long") for x in ("west", "south", "east", "north")]
+    rel = {
+        "topics": c.has_topic, "keywords": c.has_keyword, "organizations": c.published_by, "licenses": c.has_license, "sources": c.provides,
+        "spaces": c.space.select("dataset_id", F.concat_ws(" ", *whole).alias("entity_id")), "times": c.time.select("dataset_id", F.concat_ws("/", "begin", "end").alias("entity_id")),
+        "resources": c.has_resource.select("dataset_id", F.col("resource_id").alias("entity_id")),
+        "formats": c.has_resource.join(c.has_format, "resource_id").select("dataset_id", "entity_id"),
+    }
+    return evidence.bundles(c.dataset, rel).withColumn("citation", evidence.citation(F.col("title"), F.col("sources"), F.col("times")))
 
 
 def subgraph(c: Catalog) -> DataFrame:
-    ids = picked(c).select(F.col("id").alias("dataset_id"))
+    ids = c.dataset.select(F.col("id").alias("dataset_id"))
     links = [("HAS_TOPIC", "Topic", c.has_topic), ("HAS_LICENSE", "License", c.has_license), ("PROVIDES", "Source", c.provides)]
     return evidence.subgraph_edges(ids, links, c.has_resource, c.has_format)
 
@@ -403,7 +464,8 @@ def subgraph_nodes(c: Catalog) -> DataFrame:
 
 @query
 def subgraph_filter(c: Catalog) -> DataFrame:
-    keep = picked(c).where("id % 200 = 0").select(evidence.node("Dataset", F.col("id")).alias("node"))
+    """The subgraph induced by the datasets that pass the hard filters."""
+    keep = R.hard_filter(c.space, c.time, BOX, SPAN).select(evidence.node("Dataset", F.col("dataset_id")).alias("node"))
     return evidence.induced(subgraph(c), keep).select("edge_id", "src", "type", "dst")
 
 
@@ -494,8 +556,7 @@ def turns(c: Catalog) -> DataFrame:
 
 @query
 def turn_index_next(c: Catalog) -> DataFrame:
-    known = turns(c).select("conv_id").distinct()
-    return sessions.next_index(turns(c).where("conv_id % 3 != 0"), known)
+    return sessions.next_index(turns(c), turns(c).select("conv_id").distinct())
 
 
 @query
@@ -551,29 +612,38 @@ def status_counts(c: Catalog) -> DataFrame:
 
 
 def judged(c: Catalog) -> DataFrame:
-    """Neighbours of every hundredth vector, graded by whether the labels agree."""
+    """Twenty neighbours of every hundredth vector, graded by whether the labels agree."""
     e = c.table("embeddings").select("vec_id", "label")
-    near = cosine_topk_per_query(c)
+    near = neighbours(c, 20)
     rows = near.join(e, "vec_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want")), "query_id")
     return rows.select("query_id", "rank", (F.col("label") == F.col("want")).cast("int").alias("rel"), "want")
 
 
+def relevant(c: Catalog) -> DataFrame:
+    """How many other vectors have the label of each hundredth vector."""
+    e = c.table("embeddings")
+    totals = e.groupBy("label").agg((F.count("*") - 1).alias("total"))
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(totals, "label").select("query_id", "total")
+
+
+def ndcg10(c: Catalog) -> DataFrame:
+    pool = relevant(c).select("query_id", F.lit(1).alias("rel"), F.col("total").alias("n"))
+    return evaluate.ndcg(judged(c), pool, 10)
+
+
 @query
 def ndcg_at_10(c: Catalog) -> DataFrame:
-    return evaluate.ndcg(judged(c), 10).withColumn("ndcg", six("ndcg"))
+    return ndcg10(c).withColumn("ndcg", six("ndcg"))
 
 
 @query
 def recall_at_20(c: Catalog) -> DataFrame:
-    e = c.table("embeddings")
-    totals = e.groupBy("label").agg((F.count("*") - 1).alias("total"))
-    want = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(totals, "label").select("query_id", "total")
-    return evaluate.recall(judged(c), want, 20).withColumn("recall", six("recall"))
+    return evaluate.recall(judged(c), relevant(c), 20).withColumn("recall", six("recall"))
 
 
 @query
 def mean_by_level(c: Catalog) -> DataFrame:
-    rows = evaluate.ndcg(judged(c), 10).withColumn("level", F.concat(F.lit("Level "), (F.floor(F.col("query_id") / 100) % 4 + 1).cast("string")))
+    rows = ndcg10(c).withColumn("level", F.concat(F.lit("Level "), (F.floor(F.col("query_id") / 100) % 4 + 1).cast("string")))
     return evaluate.mean_by(rows, "level", "ndcg").withColumn("ndcg", six("ndcg"))
 
 
@@ -596,8 +666,7 @@ def stage_durations_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ..streaming import durations
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tables.LOCAL_DEFAULT).rstrip("/")
-    base = f"{root}/stream-{uuid.uuid4().hex}"
+    base = f"{tables.shared_root(spark)}/stream-{uuid.uuid4().hex}"
     return durations.run_once(spark, f"{sf_dir}/events.parquet*", f"{base}/out", f"{base}/state")
 
 

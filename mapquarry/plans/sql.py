@@ -58,25 +58,38 @@ TF1 = (
 )
 LINKS = f"(SELECT dataset_id, score FROM has_topic JOIN {found('topic', 'red')} f ON f.id = entity_id UNION ALL SELECT dataset_id, score FROM has_keyword JOIN {found('keyword', 'brand#1')} f ON f.id = entity_id)"
 FREQ = "(SELECT canonical, count(DISTINCT dataset_id) AS freq FROM pending GROUP BY 1)"
-MERGES = "(SELECT src, dst FROM (SELECT id AS src, lead(id) OVER (PARTITION BY string_split(id, ' ')[-1] ORDER BY id) AS dst FROM topic) WHERE dst IS NOT NULL AND src < 'o')"
+MERGES = "(SELECT src, dst FROM (SELECT id AS src, lead(id) OVER (PARTITION BY string_split(id, ' ')[-1] ORDER BY id) AS dst FROM topic) WHERE dst IS NOT NULL)"
+SIMILAR = """alike AS (SELECT *, len(list_intersect(a, b)) / len(list_distinct(a || b))::DOUBLE AS jaccard FROM
+  (SELECT canonical, string_split(canonical, ' ') AS a FROM (SELECT DISTINCT canonical FROM pending)) JOIN (SELECT id AS topic, string_split(id, ' ') AS b FROM topic) ON len(list_intersect(a, b)) / len(list_distinct(a || b))::DOUBLE >= 0.6::DOUBLE)"""
+# Jaro-Winkler letter by letter: transpositions are halves here, which the engine's own function rounds down.
+RESOLVED = f"""hit AS (SELECT canonical, arg_min(topic, (-jaccard, topic)) AS topic FROM alike GROUP BY 1),
+letters AS (SELECT canonical AS a, topic AS b, greatest(0, greatest(length(canonical), length(topic)) // 2 - 1) AS reach, 1 AS i, []::BIGINT[] AS used, '' AS mine FROM hit
+  UNION ALL SELECT a, b, reach, i + 1, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END, CASE WHEN j IS NULL THEN mine ELSE mine || substr(a, i, 1) END FROM
+  (SELECT *, list_filter(range(greatest(1, i - reach), least(length(b), i + reach) + 1), lambda x: substr(b, x, 1) = substr(a, i, 1) AND NOT list_contains(used, x))[1] AS j FROM letters WHERE i <= length(a))),
+jaro AS (SELECT a, b, CASE WHEN m = 0 THEN 0.0 ELSE (m / length(a) + m / length(b) + (m - t) / m) / 3.0::DOUBLE END AS jaro, CASE WHEN substr(a, 1, 4) = substr(b, 1, 4) THEN 4 WHEN substr(a, 1, 3) = substr(b, 1, 3) THEN 3 WHEN substr(a, 1, 2) = substr(b, 1, 2) THEN 2 WHEN substr(a, 1, 1) = substr(b, 1, 1) THEN 1 ELSE 0 END AS front
+  FROM (SELECT a, b, len(used)::DOUBLE AS m, len(list_filter(range(1, len(used) + 1), lambda k: substr(mine, k, 1) <> substr(b, list_sort(used)[k], 1))) / 2.0::DOUBLE AS t FROM letters WHERE i = length(a) + 1)),
+resolved AS (SELECT canonical, freq, CASE WHEN canonical IN (SELECT id FROM topic) THEN canonical WHEN ok THEN topic END AS topic, CASE WHEN canonical IN (SELECT id FROM topic) THEN 'existing' WHEN ok THEN 'decide' ELSE 'create' END AS action
+  FROM (SELECT f.canonical, f.freq, hit.topic, coalesce(freq >= 5 AND jaro + front * 0.1::DOUBLE * (1 - jaro) >= 0.9::DOUBLE, false) AS ok FROM {FREQ} f LEFT JOIN hit USING (canonical) LEFT JOIN jaro ON a = canonical AND b = topic))"""
 FINAL = f"""walk AS (SELECT src, dst, 1 AS d FROM {MERGES} UNION ALL SELECT w.src, m.dst, d + 1 FROM walk w JOIN {MERGES} m ON w.dst = m.src WHERE d < 40),
 final AS (SELECT src, arg_max(dst, d) AS dst FROM walk GROUP BY src)"""
 NEAR = """near AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM
   (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) QUALIFY rank <= 5)"""
-JUDGED = NEAR + """, judged AS (SELECT query_id, rank, (e.label = q.label)::INT AS rel FROM near JOIN embeddings e ON e.vec_id = near.vec_id JOIN embeddings q ON q.vec_id = query_id),
-ideal AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS ideal FROM judged),
-ndcg AS (SELECT query_id, CASE WHEN sum((pow(2.0, rel) - 1) / log2(ideal + 1)) > 0 THEN sum((pow(2.0, rel) - 1) / log2(rank + 1)) / sum((pow(2.0, rel) - 1) / log2(ideal + 1)) ELSE 0.0 END AS ndcg FROM ideal GROUP BY 1)"""
+NEAR20 = NEAR.replace("rank <= 5", "rank <= 20")
+JUDGED = NEAR20 + """, judged AS (SELECT query_id, rank, (e.label = q.label)::INT AS rel FROM near JOIN embeddings e ON e.vec_id = near.vec_id JOIN embeddings q ON q.vec_id = query_id),
+pool AS (SELECT q.vec_id AS query_id, (e.label = q.label)::INT AS rel, row_number() OVER (PARTITION BY q.vec_id ORDER BY (e.label = q.label)::INT DESC) AS ideal FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+best AS (SELECT query_id, sum((pow(2.0, rel) - 1) / log2(ideal + 1)) AS best FROM pool WHERE ideal <= 10 GROUP BY 1),
+ndcg AS (SELECT query_id, CASE WHEN best > 0 THEN coalesce((SELECT sum((pow(2.0, rel) - 1) / log2(rank + 1)) FROM judged j WHERE j.query_id = best.query_id AND rank <= 10), 0.0) / best ELSE 0.0 END AS ndcg FROM best)"""
 FEED = """feed AS (SELECT user_id AS session, (props->>'$.k')::BIGINT % 8 AS stage, CASE event_type WHEN 'view' THEN 'active' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'skipped' END AS status, epoch_us(ts) AS at_, event_id
   FROM events WHERE event_type IN ('view', 'purchase', 'error')),
 isle AS (SELECT *, coalesce(sum((status <> 'active')::INT) OVER (PARTITION BY session, stage ORDER BY at_, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM feed),
 dur AS (SELECT session, stage, status, stop - start_ AS micros, stop FROM (SELECT session, stage, island, min(at_) FILTER (status = 'active') AS start_, max(at_) FILTER (status <> 'active') AS stop, max(status) FILTER (status <> 'active') AS status FROM isle GROUP BY ALL)
   WHERE start_ IS NOT NULL AND stop IS NOT NULL)"""
 EDGES = """edges AS (SELECT sha1(src || '|' || type || '|' || dst) AS edge_id, src, type, dst FROM (
-  SELECT 'Dataset:' || dataset_id AS src, 'HAS_TOPIC' AS type, 'Topic:' || entity_id AS dst FROM has_topic WHERE dataset_id % 50 = 0
-  UNION SELECT 'Dataset:' || dataset_id, 'HAS_LICENSE', 'License:' || entity_id FROM has_license WHERE dataset_id % 50 = 0
-  UNION SELECT 'Dataset:' || dataset_id, 'PROVIDES', 'Source:' || entity_id FROM provides WHERE dataset_id % 50 = 0
-  UNION SELECT 'Dataset:' || dataset_id, 'HAS_RESOURCE', 'Resource:' || resource_id FROM has_resource WHERE dataset_id % 50 = 0
-  UNION SELECT 'Resource:' || resource_id, 'HAS_FORMAT', 'Format:' || entity_id FROM has_format JOIN has_resource USING (resource_id) WHERE dataset_id % 50 = 0))"""
+  SELECT 'Dataset:' || dataset_id AS src, 'HAS_TOPIC' AS type, 'Topic:' || entity_id AS dst FROM has_topic
+  UNION SELECT 'Dataset:' || dataset_id, 'HAS_LICENSE', 'License:' || entity_id FROM has_license
+  UNION SELECT 'Dataset:' || dataset_id, 'PROVIDES', 'Source:' || entity_id FROM provides
+  UNION SELECT 'Dataset:' || dataset_id, 'HAS_RESOURCE', 'Resource:' || resource_id FROM has_resource
+  UNION SELECT 'Resource:' || resource_id, 'HAS_FORMAT', 'Format:' || entity_id FROM has_format JOIN has_resource USING (resource_id)))"""
 
 
 def graph(body: str, *more: str, recursive: bool = False) -> str:
@@ -94,6 +107,13 @@ ORDER_RAW = (
 )
 TERMS = "SELECT {k}, unnest(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) AS term FROM {t}"
 
+FLAG = (
+    f"cand AS (SELECT 'Topic' AS k, id, score FROM {found('topic', 'widget', 0.5)} UNION ALL SELECT 'Keyword', id, score FROM {found('keyword', 'widget', 0.5)})",
+    f"links AS (SELECT dataset_id, entity_id FROM has_topic WHERE entity_id IN (SELECT id FROM cand WHERE k = 'Topic') AND dataset_id IN {HARD} UNION ALL SELECT dataset_id, entity_id FROM has_keyword WHERE entity_id IN (SELECT id FROM cand WHERE k = 'Keyword') AND dataset_id IN {HARD})",
+    f"""parts_ AS (SELECT dataset_id, 'Topic' AS dim, max(score) * (0.3::DOUBLE / 1.0::DOUBLE) AS c, 0.3::DOUBLE AS w FROM links JOIN cand ON id = entity_id GROUP BY 1
+      UNION ALL SELECT dataset_id, 'Space', {F1} * 0.2::DOUBLE, 0.2::DOUBLE FROM space WHERE dataset_id IN {HARD} AND {F1} > 0
+      UNION ALL SELECT dataset_id, 'Time', {TF1} * 0.2::DOUBLE, 0.2::DOUBLE FROM time_ WHERE dataset_id IN {HARD} AND {TF1} > 0)""",
+)
 SQL: dict[str, str] = {
     "discover_flagship": graph(
         """SELECT dataset_id, score, rank FROM (SELECT dataset_id, score, rank() OVER (ORDER BY score DESC) AS rank FROM (
@@ -105,6 +125,23 @@ SQL: dict[str, str] = {
           UNION ALL SELECT dataset_id, {F1} * 0.2::DOUBLE FROM space WHERE dataset_id IN {HARD} AND {F1} > 0
           UNION ALL SELECT dataset_id, {TF1} * 0.2::DOUBLE FROM time_ WHERE dataset_id IN {HARD} AND {TF1} > 0) GROUP BY 1)""",
     ),
+    "raw_scores": graph("SELECT dataset_id, dim, round(c, 6) AS contribution, round(least(1.0::DOUBLE, c / w), 6) AS raw FROM parts_", *FLAG),
+    "discover_fallback": graph("SELECT id AS dataset_id, 1.0::DOUBLE AS score, 1 AS rank FROM dataset WHERE contains(lower(title), 'not specified') OR contains(lower(notes), 'not specified') OR id IN (SELECT dataset_id FROM has_keyword WHERE contains(lower(entity_id), 'not specified')) ORDER BY id LIMIT 150"),
+    "discover_hard_only": graph("SELECT dataset_id, 1.0::DOUBLE AS score, 1 AS rank FROM provides WHERE entity_id = 'ASIA'"),
+    "discover_portals": graph(
+        f"""SELECT dataset_id, score, rank FROM (SELECT *, rank() OVER (ORDER BY score DESC) AS rank FROM (SELECT dataset_id, round(s / max(s) OVER (), 6) AS score FROM
+        (SELECT dataset_id, max(score) * (0.3::DOUBLE / 1.0::DOUBLE) AS s FROM has_topic JOIN {found('topic', 'widget', 0.5)} f ON f.id = entity_id WHERE dataset_id IN (SELECT dataset_id FROM provides WHERE entity_id IN ('ASIA', 'EUROPE')) GROUP BY 1))) WHERE rank <= 20"""
+    ),
+    "bundle_full": graph(
+        """SELECT id, title, coalesce(topics, '') AS topics, coalesce(keywords, '') AS keywords, coalesce(organizations, '') AS organizations, coalesce(licenses, '') AS licenses, coalesce(sources, '') AS sources,
+        coalesce(spaces, '') AS spaces, coalesce(times, '') AS times, coalesce(resources, '') AS resources, coalesce(formats, '') AS formats,
+        title || '.' || CASE WHEN coalesce(sources, '') <> '' THEN ' ' || sources || '.' ELSE '' END || CASE WHEN coalesce(times, '') <> '' THEN ' ' || times || '.' ELSE '' END AS citation FROM dataset d LEFT JOIN """
+        + " LEFT JOIN ".join(gathered(t, n) for t, n in (
+            ("has_topic", "topics"), ("has_keyword", "keywords"), ("published_by", "organizations"), ("has_license", "licenses"), ("provides", "sources"),
+            ("(SELECT dataset_id, concat_ws(' ', west::BIGINT, south::BIGINT, east::BIGINT, north::BIGINT) AS entity_id FROM space)", "spaces"), ("(SELECT dataset_id, begin_ || '/' || end_ AS entity_id FROM time_)", "times"),
+            ("(SELECT dataset_id, resource_id AS entity_id FROM has_resource)", "resources"), ("(SELECT dataset_id, entity_id FROM has_resource JOIN has_format USING (resource_id))", "formats"),
+        ))
+    ),
     "bbox_filter": graph(f"SELECT dataset_id FROM space WHERE {BOXED}"),
     "time_overlap_filter": graph(f"SELECT dataset_id FROM time_ WHERE {SPANNED}"),
     "bbox_time_filter": graph(f"SELECT dataset_id FROM {HARD}"),
@@ -123,7 +160,7 @@ SQL: dict[str, str] = {
     "lexical_score": graph("""SELECT id, round(least(1.0::DOUBLE, len(list_intersect(q, c)) / len(list_distinct(q || c))::DOUBLE + CASE WHEN starts_with(name, 'red widget new') OR starts_with('red widget new', name) THEN 0.2 WHEN contains(name, 'red widget new') OR contains('red widget new', name) THEN 0.15 ELSE 0.0 END::DOUBLE), 6) AS score
         FROM (SELECT id, name, string_split(name, ' ') AS c, ['red', 'widget', 'new'] AS q FROM topic)"""),
     "token_jaccard": graph("SELECT canonical, round(len(list_intersect(string_split(canonical, ' '), ['economy', 'red', 'widget'])) / len(list_distinct(string_split(canonical, ' ') || ['economy', 'red', 'widget']))::DOUBLE, 6) AS score FROM (SELECT DISTINCT canonical FROM pending)"),
-    "jaro_winkler_gate": graph("SELECT a.name AS a, b.name AS b, round(jaro_winkler_similarity(a.name, b.name), 6) AS score FROM topic a JOIN topic b ON a.name < b.name AND string_split(a.name, ' ')[1] = string_split(b.name, ' ')[1] WHERE round(jaro_winkler_similarity(a.name, b.name), 6) >= 0.9"),
+    "jaro_winkler_gate": graph("SELECT a.name AS a, b.name AS b, round(jaro_winkler_similarity(a.name, b.name), 6) AS score FROM topic a JOIN topic b ON a.name < b.name WHERE round(jaro_winkler_similarity(a.name, b.name), 6) >= 0.9"),
     "cosine_topk": "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10",
     "cosine_topk_per_query": f"WITH {NEAR} SELECT query_id, vec_id, score, rank::INT AS rank FROM near",
     "bm25_topk": f"""WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM ({TERMS.format(k='doc_id', t='documents')}) WHERE term <> '' GROUP BY ALL),
@@ -152,13 +189,25 @@ SQL: dict[str, str] = {
     "candidate_union": graph(f"SELECT id, 'Topic' AS label, score FROM {found('topic', 'red')} UNION ALL SELECT id, 'Keyword', score FROM {found('keyword', 'brand#1')}"),
     "group_chunks": graph("""SELECT id, grp AS "group", prefix, ((row_number() OVER (PARTITION BY grp, prefix ORDER BY id) - 1) // 24)::INT AS chunk FROM (SELECT id, grp, CASE WHEN count(*) OVER (PARTITION BY grp) > 24 THEN substr(id, 1, 6) ELSE '' END AS prefix FROM (SELECT DISTINCT canonical AS id, substr(canonical, 1, 3) AS grp FROM pending))"""),
     "pending_freq": graph(f"SELECT canonical, freq FROM {FREQ}"),
-    "seed_topics": graph(f"SELECT canonical, freq FROM {FREQ} ORDER BY freq DESC, canonical LIMIT 50"),
+    "seed_topics": graph(f"SELECT canonical, freq FROM {FREQ} ORDER BY freq DESC, canonical LIMIT 2000"),
     "resolve_exact": graph("SELECT canonical, freq, id AS topic FROM (SELECT canonical, count(DISTINCT dataset_id) AS freq FROM (SELECT entity_id AS canonical, dataset_id FROM has_topic UNION ALL SELECT canonical, dataset_id FROM pending) GROUP BY 1) JOIN topic ON id = canonical"),
-    "materialize_has_topic": graph("SELECT DISTINCT dataset_id, id AS topic_id FROM pending JOIN topic ON id = array_to_string(string_split(canonical, ' ')[-2:], ' ')"),
+    "similar_topics": graph("SELECT canonical, topic, round(jaccard, 6) AS jaccard FROM alike", SIMILAR),
+    "resolve_actions": graph("SELECT canonical, freq, topic, action FROM resolved", SIMILAR, RESOLVED, recursive=True),
+    "resolves_to": graph("SELECT canonical, coalesce(topic, canonical) AS topic FROM resolved", SIMILAR, RESOLVED, recursive=True),
+    "materialize_has_topic": graph("SELECT DISTINCT dataset_id, coalesce(topic, canonical) AS topic_id FROM pending JOIN resolved USING (canonical)", SIMILAR, RESOLVED, recursive=True),
+    "topic_merge_states": graph(
+        """SELECT k.id, coalesce(g.canonical, k.canonical) AS canonical, status, merged_into FROM kept k LEFT JOIN
+        (SELECT canonical, min(id) AS id FROM (SELECT id, string_split(canonical, ' ')[1] AS canonical FROM kept WHERE status = 'ACTIVE') WHERE canonical NOT IN (SELECT canonical FROM kept) GROUP BY 1) g USING (id)""",
+        FINAL, "kept AS (SELECT id, id AS canonical, CASE WHEN dst IS NULL THEN 'ACTIVE' ELSE 'DEPRECATED' END AS status, dst AS merged_into FROM topic LEFT JOIN (SELECT * FROM final WHERE src <> dst) f ON src = id)", recursive=True,
+    ),
     "topic_components": graph(
-        """SELECT id, grp AS "group", size FROM (SELECT id, min(other) AS grp FROM reach GROUP BY 1) JOIN (SELECT grp, count(*) AS size FROM (SELECT id, min(other) AS grp FROM reach GROUP BY 1) GROUP BY 1) USING (grp) WHERE size >= 2""",
-        """keyed AS (SELECT id, 'p6|' || substr(id, 1, 6) AS key FROM (SELECT DISTINCT canonical AS id FROM pending) UNION SELECT id, 'sig|' || array_to_string(list_sort(string_split(id, ' ')), '_') FROM (SELECT DISTINCT canonical AS id FROM pending) WHERE len(string_split(id, ' ')) BETWEEN 2 AND 8)""",
-        "reach AS (SELECT DISTINCT id, id AS other FROM keyed UNION SELECT r.id, k2.id FROM reach r JOIN keyed k1 ON k1.id = r.other JOIN keyed k2 ON k1.key = k2.key)",
+        """SELECT id, grp AS "group", size FROM grouped JOIN (SELECT grp, count(*) AS size FROM grouped GROUP BY 1) USING (grp) WHERE size >= 2""",
+        """c AS (SELECT DISTINCT canonical AS id, string_split(canonical, ' ') AS w FROM pending)""",
+        """keyed AS (SELECT id, 'canon|' || id AS key FROM c UNION SELECT id, 'name|' || array_to_string(w[:-3], ' ') FROM c WHERE len(w) > 2 UNION SELECT id, 'alias|' || array_to_string(w[-2:], ' ') FROM c
+        UNION SELECT id, 'p3|' || substr(id, 1, 3) FROM c UNION SELECT id, 'p6|' || substr(id, 1, 6) FROM c UNION SELECT id, 'sig|' || array_to_string(list_sort(w), '_') FROM c WHERE len(w) BETWEEN 2 AND 8)""",
+        """beside AS (SELECT DISTINCT a.id, b.id AS other FROM keyed a JOIN keyed b USING (key))""",
+        "reach AS (SELECT id, other FROM beside UNION SELECT r.id, b.other FROM reach r JOIN beside b ON b.id = r.other)",
+        "grouped AS (SELECT id, min(other) AS grp FROM reach GROUP BY 1)",
         recursive=True,
     ),
     "merge_redirects": graph("SELECT src, dst FROM final WHERE src <> dst", FINAL, recursive=True),
@@ -166,10 +215,13 @@ SQL: dict[str, str] = {
     "alias_union": graph("SELECT id, array_to_string(list_sort(list(DISTINCT a)), ',') AS aliases FROM (SELECT coalesce(dst, id) AS id, upper(name) AS a FROM topic LEFT JOIN final ON src = id UNION SELECT dst, name FROM topic JOIN final ON src = id) GROUP BY 1", FINAL, recursive=True),
     "upsert_last_wins": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC) = 1",
     "upsert_keep_old": graph("SELECT id, CASE WHEN id < '3' AND id <> '1-URGENT' THEN lower(name) ELSE name END AS title FROM license"),
-    "bundle_join": graph("SELECT id, title, coalesce(topics, '') AS topics, coalesce(keywords, '') AS keywords, coalesce(organizations, '') AS organizations, coalesce(licenses, '') AS licenses, coalesce(sources, '') AS sources FROM (SELECT * FROM dataset WHERE id % 50 = 0) d LEFT JOIN " + " LEFT JOIN ".join(gathered(t, n) for t, n in (("has_topic", "topics"), ("has_keyword", "keywords"), ("published_by", "organizations"), ("has_license", "licenses"), ("provides", "sources")))),
+    "bundle_join": graph("SELECT id, title, coalesce(topics, '') AS topics, coalesce(keywords, '') AS keywords, coalesce(organizations, '') AS organizations, coalesce(licenses, '') AS licenses, coalesce(sources, '') AS sources FROM dataset d LEFT JOIN " + " LEFT JOIN ".join(gathered(t, n) for t, n in (("has_topic", "topics"), ("has_keyword", "keywords"), ("published_by", "organizations"), ("has_license", "licenses"), ("provides", "sources")))),
     "subgraph_edges": graph("SELECT edge_id, src, type, dst FROM edges", EDGES),
     "subgraph_nodes": graph("SELECT node, string_split(node, ':')[1] AS label FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges)", EDGES),
-    "subgraph_filter": graph("SELECT edge_id, src, type, dst FROM edges WHERE starts_with(src, 'Dataset:') AND substr(src, 9)::BIGINT % 200 = 0 OR type = 'HAS_FORMAT' AND src IN (SELECT dst FROM edges WHERE type = 'HAS_RESOURCE' AND substr(src, 9)::BIGINT % 200 = 0)", EDGES.replace("substr", "substr")),
+    "subgraph_filter": graph(
+        "SELECT edge_id, src, type, dst FROM edges WHERE src IN (SELECT node FROM kept) OR type = 'HAS_FORMAT' AND src IN (SELECT dst FROM edges WHERE type = 'HAS_RESOURCE' AND src IN (SELECT node FROM kept))",
+        EDGES, f"kept AS (SELECT 'Dataset:' || dataset_id AS node FROM {HARD})",
+    ),
     "resource_formats": graph("SELECT resource_id, array_to_string(list_sort(list(DISTINCT entity_id)), ',') AS formats FROM has_format GROUP BY 1"),
     "canonicalize_topic": f"SELECT p_partkey, trim(regexp_replace(lower({RAW}), '[^a-z0-9]+', ' ', 'g')) AS topic, trim(regexp_replace(lower({RAW}), '[^a-z0-9_/-]+', ' ', 'g')) AS keyword, trim(regexp_replace(lower({RAW}), '[ \\t\\n]+', ' ', 'g')) AS format FROM part",
     "url_normalize": "SELECT page_id, regexp_replace(url || '//', '/+$', '') AS url, CASE WHEN contains(lower(url), 'fullmetadatadisplay.aspx') THEN 'metadata' WHEN contains(lower(url), 'download') THEN 'download' WHEN contains(lower(url), 'preview') THEN 'preview' WHEN regexp_matches(lower(url), 'mapserver|featureserver|imageserver') THEN 'service' ELSE 'link' END AS type FROM pages",
@@ -186,7 +238,7 @@ SQL: dict[str, str] = {
     "kv_to_map": """SELECT l_orderkey, max(v) FILTER (k = 'A') AS a, max(v) FILTER (k = 'N') AS n, max(v) FILTER (k = 'R') AS r FROM (SELECT l_orderkey, l_returnflag AS k, l_linestatus AS v FROM lineitem
         QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_partkey DESC, l_suppkey DESC, l_linestatus DESC) = 1) GROUP BY 1""",
     "token_signatures": graph("SELECT canonical, CASE WHEN len(string_split(canonical, ' ')) BETWEEN 2 AND 8 THEN array_to_string(list_sort(string_split(canonical, ' ')), '_') ELSE '' END AS sig FROM (SELECT DISTINCT canonical FROM pending)"),
-    "turn_index_next": "SELECT conv_id, coalesce(max(turn) FILTER (conv_id % 3 <> 0) + 1, 0)::BIGINT AS next_turn FROM conversations GROUP BY 1",
+    "turn_index_next": "SELECT conv_id, (max(turn) + 1)::BIGINT AS next_turn FROM conversations GROUP BY 1",
     "conversation_preview": "SELECT conv_id, CASE WHEN length(t) > 100 THEN substr(t, 1, 100) || '...' ELSE t END AS preview FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY 1)",
     "recent_turns": "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS recent FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2) GROUP BY 1",
     "last_assistant_turn": "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1",

@@ -22,9 +22,9 @@ SCHEMA = (
 )
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Packages of a dump; one without an id gets a hash of its content, so reruns agree."""
-    raw = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
+def read(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Packages of a dump, an array or one a line (which splits); one without an id gets a hash of its content, so reruns agree."""
+    raw = spark.read.schema(SCHEMA).option("multiLine", not lines).json(path)
     return raw.withColumn("id", F.coalesce("id", F.sha1(F.to_json(F.struct("name", "title", "notes", "url")))))
 
 

@@ -45,6 +45,13 @@ def metadata(pages: DataFrame) -> DataFrame:
     )
 
 
+def topic_text(meta: DataFrame) -> DataFrame:
+    """Text for topic extraction: title, notes and 18 keywords at most, 2500 characters."""
+    words = F.filter("keywords", lambda k: k.isNotNull())
+    line = F.when(F.size(words) > 0, F.concat(F.lit("Keywords: "), F.array_join(F.transform(F.slice(words, 1, 18), lambda k: F.concat(k, F.lit("; "))), "")))
+    return meta.select("url", F.substring(F.trim(F.concat_ws("\n", "title", "notes", line)), 1, 2500).alias("topic_text"))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """Resources linked from summary pages, absolute, each once, with name, type and format by their URL."""
     link = F.explode(F.array_distinct(F.transform(urls.hrefs(F.col("html")), lambda h: urls.strip_slash(urls.resolve(F.col("url"), h))))).alias("link")

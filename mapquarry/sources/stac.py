@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,20 +18,53 @@ SCHEMA = (
     "type string, id string, stac_version string, stac_extensions array<string>, title string, description string, license string,"
     " keywords array<string>, providers array<struct<name:string,url:string,roles:array<string>>>,"
     " extent struct<spatial:struct<bbox:array<array<double>>>,temporal:struct<interval:array<array<string>>>>,"
-    " links array<struct<rel:string,href:string,title:string,type:string>>, collections array<string>,"
-    " context struct<matched:bigint>, numberMatched bigint, features array<string>"
+    " links array<struct<rel:string,href:string,title:string,type:string>>"
+)
+_LISTED = "array<struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2:", SCHEMA) + ">>"
+SCHEMA += (
+    f", collections {_LISTED}, conformsTo array<string>, context struct<matched:bigint>, numberMatched bigint, features array<string>"
 )
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Landed documents with the URL they were read from (their file name without the suffix)."""
-    return spark.read.schema(SCHEMA).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+def read(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Landed documents, one a file or one a line, with the URL they were read from (their file name without the suffix)."""
+    return spark.read.schema(SCHEMA).option("multiLine", not lines).json(path).withColumn("file", F.input_file_name())
 
 
 def collections(docs: DataFrame) -> DataFrame:
     return docs.where(F.coalesce(F.col("type") == "Collection", F.lit(False)) | (F.col("type").isNull() & F.col("extent").isNotNull()))
 
 
+#: Relations of links to a listing of collections, and the most collections of one.
+LISTING_RELS, MOST_LISTED = ("data", "collections", "http://www.opengis.net/def/rel/ogc/1.0/data"), 5000
+
+
+def dispatch(roots: DataFrame) -> DataFrame:
+    """How a root ``(url, ...)`` is read: (url, way, target), a collection itself, a listing at ``target``, or a crawl."""
+    there = lambda l: F.lower(urls.resolve(F.col("url"), l["href"]))
+    lists = F.filter("links", lambda l: F.lower(l["rel"]).isin(*LISTING_RELS) & there(l).rlike("/collections($|[?/])"))
+    found = urls.resolve(F.col("url"), F.try_element_at(lists, F.lit(1))["href"])
+    target = F.coalesce(found, F.when(F.col("conformsTo").isNotNull(), F.concat(urls.strip_slash(F.col("url")), F.lit("/collections"))))
+    one = F.coalesce(F.lower("type") == "collection", F.lit(False))
+    way = F.when(one, "collection").when(target.isNotNull(), "listing").otherwise("crawl")
+    return roots.select("url", way.alias("way"), F.when(~one, target).alias("target"))
+
+
+def listing(docs: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Collections listed inline by ``docs(url, collections)``, replaced by ``fetched(url, id, title)`` at their self link.
+
+    What couldn't be fetched keeps its inline copy; of one listing MOST_LISTED entries count.
+    """
+    rows = docs.select(F.col("url").alias("base"), F.posexplode("collections").alias("at", "c")).where(F.col("at") < MOST_LISTED)
+    self_link = F.try_element_at(F.filter("c.links", lambda l: F.lower(l["rel"]) == "self"), F.lit(1))["href"]
+    rows = rows.select("base", "at", F.col("c.id").alias("inline_id"), F.col("c.title").alias("inline_title"), urls.resolve(F.col("base"), self_link).alias("self"))
+    got = fetched.select(F.col("url").alias("self"), F.col("id").alias("new_id"), F.col("title").alias("new_title")).dropDuplicates(["self"])
+    kept = rows.join(got, "self", "left")
+    return kept.select(
+        "base", F.coalesce("new_id", "inline_id").alias("id"), F.when(F.col("new_id").isNotNull(), F.col("new_title")).otherwise(F.col("inline_title")).alias("title")
+    )
+
+
 def item_count(docs: DataFrame) -> DataFrame:
     """Matched items as the context says, else the number matched, else the features at hand."""
     n = F.when(F.col("features").isNotNull(), F.size("features").cast("long"))

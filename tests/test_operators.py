@@ -1,9 +1,16 @@
 from __future__ import annotations
 
+import math
+import random
+import re
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
-from mapquarry.operators import evaluate, providers, sessions, tables, topics
+from mapquarry.operators import evaluate, lexical, providers, sessions, tables, topics
 from mapquarry.operators import retrieve as R
+from mapquarry.operators.components import components
 from mapquarry.plans import discover as D
 from mapquarry.plans.catalog import Catalog
 from mapquarry.streaming import durations
@@ -18,9 +25,10 @@ def test_ties_and_ranges(spark):
 
 
 def test_portals_and_parameters():
-    assert R.check_portals(None) is None and R.check_portals({"a": True}) is None and R.check_portals({"a": True, "b": False}) == ["a"]
+    ids = {"a": "1", "b": "2"}
+    assert R.portal_sources(None) is None and R.portal_sources({"a": True, "b": True}, ids) is None and R.portal_sources({"a": True, "b": False}, ids) == ["1"] and R.portal_sources({"a": True, "z": True}, ids) == ["1"]
     with pytest.raises(ValueError):
-        R.check_portals({"a": False})
+        R.portal_sources({"a": False})
     with pytest.raises(ValueError):
         D.Parameters(similarity=0.1).check()
     assert D.Parameters(weights={"Topic": 0.0}).normalised() == D.WEIGHTS
@@ -60,8 +68,9 @@ def test_tables(spark):
 
 def test_metrics(spark):
     ranked = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 1, 1)], "query_id long, rank int, rel int")
-    got = {r.query_id: r.ndcg for r in evaluate.ndcg(ranked).collect()}
-    assert got[2] == 1.0 and got[1] == pytest.approx(0.63093, abs=1e-5)
+    pool = spark.createDataFrame([(1, 1, 1), (1, 0, 9), (2, 2, 1), (2, 1, 3), (3, 1, 2), (4, 0, 5)], "query_id long, rel int, n long")
+    got = {r.query_id: r.ndcg for r in evaluate.ndcg(ranked, pool, 3).collect()}
+    assert got == {1: pytest.approx(0.63093, abs=1e-5), 2: pytest.approx(1 / (3 + 0.63093 + 0.5), abs=1e-5), 3: 0.0, 4: 0.0}
     total = spark.createDataFrame([(1, 2), (2, 1), (3, 0)], "query_id long, total long")
     assert {r.query_id: r.recall for r in evaluate.recall(ranked, total).collect()} == {1: 0.5, 2: 1.0, 3: 0.0}
     res = spark.createDataFrame([(1, "Topic", "a", "a"), (1, "Time", None, None), (2, "Topic", "a", "b")], "query_id long, dim string, got string, want string")
@@ -98,3 +107,84 @@ def test_stream_over_several_batches_equals_batch(spark, sf, tmp_path):
     got = spark.read.schema(durations.OUT).parquet(str(tmp_path / "out"))
     want = sessions.durations(sessions.status_feed(e))
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_turn_index_of_a_conversation_without_turns(spark):
+    turns = spark.createDataFrame([(1, 0), (1, 1), (2, 4)], "conv_id long, turn long")
+    known = spark.createDataFrame([(1,), (2,), (3,)], "conv_id long")
+    assert {tuple(r) for r in sessions.next_index(turns, known).collect()} == {(1, 2), (2, 5), (3, 0)}
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("x", "x"), ("a", "b"), (None, "q")], "a string, b string")
+    got = {tuple(r) for r in components(edges).collect()}
+    assert got == {(f"n{i:03}", "n000") for i in range(1, 61)} | {("b", "a")} and components(edges.limit(0)).count() == 0
+
+
+def test_similar_names_equal_brute_force(spark):
+    rng = random.Random(1)
+    name = lambda: " ".join(sorted({rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))}))
+    left, right = sorted({name() for _ in range(80)}), sorted({name() for _ in range(80)})
+    want = {(a, b) for a in left for b in right if 5 * len(set(a.split()) & set(b.split())) >= 3 * len(set(a.split()) | set(b.split()))}
+    got = topics.similar(spark.createDataFrame([(x,) for x in left], "canonical string"), spark.createDataFrame([(x,) for x in right], "topic string"))
+    assert {(r.canonical, r.topic) for r in got.collect()} == want and len(want) > 20
+
+
+def test_blocks_of_queries_meet_every_row(spark):
+    asked, rows = spark.range(25).withColumnRenamed("id", "q"), spark.range(40).withColumnRenamed("id", "r")
+    for most in (100, 7):
+        got = [tuple(r) for r in R.in_blocks(asked, rows, "q", "r", most).select("q", "r").collect()]
+        assert len(got) == len(set(got)) == 1000
+
+
+def test_range_join_of_crowded_cells(spark, monkeypatch):
+    rng = random.Random(3)
+    box = lambda i: (i, rng.uniform(-180, 170), rng.uniform(-90, 80))
+    spaces = [(i, w, s, w + rng.uniform(0, 10), s + rng.uniform(0, 10)) for i, w, s in map(box, range(300))] + [(300 + i, 5.0, 5.0, 6.0, 6.0) for i in range(50)]
+    asked = [(i, w, s, w + 15, s + 15) for i, w, s in map(box, range(40))] + [(99, 0.0, 0.0, 20.0, 20.0)]
+    want = {(q, d) for q, a, b, x, y in asked for d, w, s, e, n in spaces if w <= x and e >= a and s <= y and n >= b}
+    monkeypatch.setattr(R, "CELL_ROWS", 8)
+    got = R.range_join(spark.createDataFrame(asked, "query_id long, qw double, qs double, qe double, qn double"), spark.createDataFrame(spaces, "dataset_id long, west double, south double, east double, north double"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_pruned_search_equals_plain_scores(spark):
+    """Stop words in every text: pruning never changes the best documents."""
+    rng = random.Random(9)
+    vocabulary = ["the", "of", "and"] * 30 + [f"w{i}" for i in range(120)]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 60)))) for i in range(400)] + [(900, None), (901, "!?")]
+    asked = [(i, "The of, and " + " ".join(rng.choice(vocabulary) for _ in range(8))) for i in range(30)] + [(77, "unknownword"), (78, "the")]
+    tf = {i: Counter(re.findall("[a-z0-9]+", (t or "").lower())) for i, t in docs}
+    tf = {i: c for i, c in tf.items() if c}
+    mean, df = sum(c.total() for c in tf.values()) / len(tf), Counter(t for c in tf.values() for t in c)
+    got = lexical.bm25(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string"), 5).collect()
+    for q, text in asked:
+        scores = {}
+        for t in set(re.findall("[a-z0-9]+", text.lower())) & set(df):
+            for i, c in tf.items():
+                if c[t]:
+                    scores[i] = scores.get(i, 0) + math.log(1 + (len(tf) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / mean))
+        want = sorted(((-round(v, 6), i) for i, v in scores.items()))[:5]
+        assert sorted((-r.score, r.doc_id) for r in got if r.query_id == q) == [(pytest.approx(s), i) for s, i in want]
+
+
+def test_embedded_candidates_and_fallbacks(spark, sf):
+    nodes = spark.createDataFrame([("a", "red", [1.0, 0.0]), ("b", "blue", [0.9, 0.1]), ("c", "green", [-1.0, 0.0]), ("d", "none", None)], "id string, name string, embedding array<double>")
+    assert {r.id for r in D.candidates(nodes, "red", 0.5).collect()} == {"a"}
+    assert {r.id for r in D.candidates(nodes, "red", 0.5, "Topic", [1.0, 0.0]).collect()} == {"a", "b"}
+    assert {r.id for r in R.vector_candidates(nodes, [1.0, 0.0], 9, -1.5, "exact").collect()} == {"a", "b", "c"}
+    c = Catalog(spark, sf)
+    assert D.discover(c, D.Intent({"Topic": "no such text"})).count() == 0
+
+
+def test_one_execution_of_the_expansions(spark, sf):
+    """The ranked plan reads written sums, not the graph again."""
+    plan = D.discover(Catalog(spark, sf), D.FLAGSHIP)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_custkey" not in plan
+
+
+def test_rows_per_group_are_cut_before_the_shuffle(spark):
+    df = spark.range(100).selectExpr("id % 3 as g", "id")
+    plan = R.top_per_group(df, "g", 2, F.col("id"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") >= 0 and "Partial" in plan

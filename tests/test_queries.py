@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from mapquarry.plans import landed  # noqa: F401  registers its queries
 from mapquarry.plans.queries import QUERIES
 from mapquarry.plans.sql import SQL
 from tests.oracle import assert_same
