@@ -29,12 +29,14 @@ from .scratch import Scratch, sized
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes of distinct text that a scan task holds before it writes its entries.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Entries a bucket holds before it splits; beyond BUCKETS times as many entries buckets grow instead, so
 #: that the driver's directory doesn't: an owner streams its entries, whatever their number.
 CAPACITY, BUCKETS = 2048, 1 << 16
 #: Bits that each count of overfull prefixes adds, and the most bits the directory may use.
 STEP, MAX_DEPTH = 8, 24
+#: Hashes that one task counts.
+GROUP_ROWS = 500_000
 #: Bits of a hash that address the bitmap of repeated hashes (8 MB). Where its bits run out, texts
 #: travel that needn't; no result changes.
 BITMAP = 26
@@ -166,11 +168,11 @@ def route(slots: np.ndarray, depth: int, repeated: np.ndarray):
     return run
 
 
-def bitmap(heads: DataFrame) -> np.ndarray:
-    """Bits of the hashes that more than one entry has. At most ``2**BITMAP`` bits reach the driver."""
+def bitmap(heads: DataFrame, tasks: int) -> np.ndarray:
+    """Bits of the hashes that more than one entry has, counted by ``tasks`` tasks. At most ``2**BITMAP`` bits reach the driver."""
     bit = F.shiftrightunsigned("h", 64 - BITMAP) + 1
     found = (
-        heads.groupBy("h").count().where("count > 1").select(bit.alias("bit"))
+        heads.select("h").repartition(tasks, "h").groupBy("h").count().where("count > 1").select(bit.alias("bit"))
         .groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
     )
     out = np.zeros(1 << (BITMAP - 3), np.uint8)
@@ -239,10 +241,11 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int =
             slot = slot.join(F.broadcast(below), F.shiftright("slot", bits - (bits - 1) // STEP * STEP) == F.col("parent"), "left_semi")
         return {r[0]: r[1] for r in slot.groupBy("slot").count().collect()}
 
-    d = directory(count, max(capacity, heads.count() // BUCKETS))
+    total = heads.count()
+    d = directory(count, max(capacity, total // BUCKETS))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     routed = heads.mapInArrow(
-        route(d.slots, d.depth, bitmap(heads)),
+        route(d.slots, d.depth, bitmap(heads, max(parts, total // GROUP_ROWS))),
         "entry long, h long, n long, best_len long, best_id long, best_row long, sha binary, body binary, bucket int",
     )
     classes = scratch.write(routed.repartition(parts, "bucket").sortWithinPartitions("h").mapInArrow(own, _CLASS))

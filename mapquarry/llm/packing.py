@@ -28,9 +28,9 @@ SENTENCE_CUT, HARD_CUT = 8, 32
 #: A stretch without a sentence end gets a hard cut place each so many ids.
 STRIDE = 16
 #: Ids of documents that a task packs at once; a block ends at a document.
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 20
 #: Words a Python worker remembers the ids of; then it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MARKS = b".,;:!?%*&$#|"
 

@@ -29,8 +29,10 @@ WORDS, SEED = 5, 42
 LEAST, OF = 4, 5
 #: A pair of similarity s shares no band with probability ``(1 - s**ROWS) ** BANDS``: 7e-6 at 0.8.
 BANDS, ROWS = 30, 5
-#: Rows of a tile; a cell holds two tiles.
-TILE = 384
+#: Rows of a tile and, of groups of long texts, its characters; a cell holds two tiles.
+TILE, TILE_CHARS = 384, 2 << 20
+#: Band values that one task groups.
+GROUP_ROWS = 500_000
 _RNG = np.random.default_rng(SEED)
 _MUL = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -108,11 +110,14 @@ def near_components(rows: DataFrame, scratch: Scratch, tile: int = TILE) -> Data
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     rows = rows.select(F.col("key").cast("long"), F.col("text").cast("string"))
     bands = scratch.write(rows.mapInArrow(_bands, "key long, val long"))
-    shared = scratch.write(bands.groupBy("val").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("val", "first"))
+    # almost all values differ, so they are dealt once, to tasks of bounded size, and not counted before
+    tasks = max(width, bands.count() // GROUP_ROWS)
+    shared = scratch.write(bands.repartition(tasks, "val").groupBy("val").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("val", "first"))
     banded = bands.join(small(shared), "val").select(F.col("key").alias("a"), F.col("first").alias("b"))
     stars = _with_roots(components(banded.unionByName(candidates(rows, scratch, WORDS)), scratch), scratch)
     scratch.drop(bands)
-    sizes = stars.groupBy("root").agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    long = rows.select("key", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(small(stars), "key")
+    sizes = long.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("chars") / TILE_CHARS)).alias("tiles"))
     own = F.pmod(F.xxhash64("key", F.lit(7)), F.col("tiles"))
     dealt = (
         stars.join(small(scratch.write(sizes)), "root").withColumn("own", own)

@@ -107,7 +107,7 @@ def test_directory_doubles():
 
 def test_bodies_travel_only_for_repeated_hashes(spark):
     df = spark.createDataFrame([(i, i % 7 if i < 20 else i) for i in range(200)], "e long, k long").select(F.xxhash64("k").alias("h"))
-    bits = exactdup.bitmap(df)
+    bits = exactdup.bitmap(df, 3)
     assert int(np.unpackbits(bits).sum()) == 7
 
 
