@@ -3,8 +3,8 @@
 Each scan task tokenizes its documents in the order read and cuts the stream of ids into windows
 of at most ``LENGTH`` ids. Windows end at documents or sentences, and inside stretches that have
 neither; the program minimises padding plus a penalty for each cut inside a document. The
-least ``cost[i] + position[i]`` of the cuts in reach is kept in a monotone queue; windows whose length is a
-power of two, which aren't padded, are a few more transitions. Nothing is shuffled. A task holds
+least ``cost[i] + position[i]`` of the cuts in reach is kept in a monotone queue; some windows whose length is
+a power of two, which aren't padded, are a few more transitions. Nothing is shuffled. A task holds
 the ids of BLOCK_IDS tokens and one document, however long.
 """
 
@@ -25,12 +25,15 @@ from .scratch import sized
 LENGTH, END = 4096, 2
 #: Cost in padding tokens of a cut at a sentence, and of one inside a sentence.
 SENTENCE_CUT, HARD_CUT = 8, 32
+#: Lengths of unpadded windows that the program tries; it costs time to try all powers of two, and
+#: ``halve_tail`` cuts what stays padded at any of them.
+FREE = (512, 1024, 2048)
 #: A stretch without a sentence end gets a hard cut place each so many ids.
 STRIDE = 16
 #: Ids of documents that a task packs at once; a block ends at a document.
 BLOCK_IDS = 1 << 20
 #: Words a Python worker remembers the ids of; then it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MARKS = b".,;:!?%*&$#|"
 
@@ -126,15 +129,15 @@ def cut_places(lengths: np.ndarray, ends: np.ndarray, stride: int = STRIDE) -> t
     return at, np.array([0, HARD_CUT, SENTENCE_CUT, 0])[kind[at]]
 
 
-def choose_cuts(at: np.ndarray, penalty: np.ndarray, most: int = LENGTH) -> list[int]:
+def choose_cuts(at: np.ndarray, penalty: np.ndarray, most: int = LENGTH, free: tuple[int, ...] = FREE) -> list[int]:
     """Cut positions, first and last included, of least padding plus penalties.
 
-    A window is charged its ``padding``. The monotone queue holds the places in reach in order of
-    ``cost + position``; places a power of two before are tried by themselves.
+    A window is charged ``most - length``, those of the lengths ``free`` nothing. The monotone queue holds
+    the places in reach in order of ``cost + position``; places a free length before are tried by themselves.
     """
     pos, pen = at.tolist(), penalty.tolist()
     ends, begins = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for width in (1 << k for k in range(most.bit_length()) if 1 << k <= most):
+    for width in free:
         i = np.searchsorted(at, at - width)
         j = np.flatnonzero(at[i] == at - width)
         ends.append(j)
