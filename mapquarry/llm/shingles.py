@@ -4,7 +4,9 @@
    of 0.8 fingerprints differ in about ten bits, more than can be probed, so bands of minima of the
    hashed shingles name the others; rows that share a band are joined, and the components of all
    these links are the only places where links can be.
-2. A component goes to cells of bounded size that hold each two of its rows together at least once.
+2. A component goes to cells of bounded size. One of several tiles is dealt to them at random first, twice;
+   rows that turn out linked are a class, and classes that fill several tiles need no comparison within.
+   Then cells hold each two of a component's other rows together at least once.
 3. A cell intersects the whole shingle sets of its rows and returns a spanning forest of the pairs
    whose similarity reaches the threshold, in whole numbers.
 """
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import forest, runs, starts
@@ -116,17 +118,66 @@ def near_components(rows: DataFrame, scratch: Scratch, tile: int = TILE) -> Data
     banded = bands.join(small(shared), "val").select(F.col("key").alias("a"), F.col("first").alias("b"))
     stars = _with_roots(components(banded.unionByName(candidates(rows, scratch, WORDS)), scratch), scratch)
     scratch.drop(bands)
-    long = rows.select("key", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(small(stars), "key")
-    sizes = long.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("chars") / TILE_CHARS)).alias("tiles"))
-    own = F.pmod(F.xxhash64("key", F.lit(7)), F.col("tiles"))
-    dealt = (
-        stars.join(small(scratch.write(sizes)), "root").withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        .select("key", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    held = rows.select("key", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(small(stars), "key")
+    held = scratch.write(held)
+    sizes = small(scratch.write(held.groupBy("root").agg(_tiles(tile, F.lit(True)).alias("tiles"))))
+    placed = held.join(sizes, "root")
+    first = _cell_links(rows, _two_deals(placed.where("tiles > 1")), scratch)
+    classes = _with_roots(components(first, scratch), scratch).withColumnRenamed("root", "class")
+    rest = _cell_links(rows, _between_classes(held.join(small(classes), "key", "left"), scratch, tile), scratch)
+    return _with_roots(components(first.unionByName(rest), scratch), scratch)
+
+
+def _tiles(tile: int, of: Column) -> Column:
+    """Tiles that hold a group's rows where ``of``, by their number and their characters."""
+    n, chars = F.count(F.when(of, 1)), F.coalesce(F.sum(F.when(of, F.col("chars"))), F.lit(0))
+    return F.greatest(F.ceil(n / tile), F.ceil(chars / TILE_CHARS))
+
+
+def _two_deals(placed: DataFrame) -> DataFrame:
+    """Each row of a group of several tiles to one of them under two hashes.
+
+    Rows that meet in a tile and are copies become one class, and the second deal mixes the classes of
+    the first, so a large group of real copies is nearly one class for two copies a row.
+    """
+    deal = [F.xxhash64(F.lit(s), "root", F.pmod(F.xxhash64("key", F.lit(s)), F.col("tiles"))) for s in (11, 12)]
+    return placed.select("key", F.explode(F.array(*deal)).alias("cell"))
+
+
+def _between_classes(held: DataFrame, scratch: Scratch, tile: int) -> DataFrame:
+    """Cells that hold each two rows of a group, but for two of one class that fills several tiles.
+
+    Such a class is connected already. It has tiles of its own behind those of the other rows, and its
+    rows go to all but these; the other rows go to all tiles.
+    """
+    held = held.withColumn("class", F.coalesce("class", "key"))
+    by_class = held.groupBy("root", "class").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), _tiles(tile, F.lit(True)).alias("own"))
+    by_class = scratch.write(by_class)
+    large = by_class.where("own > 1")
+    behind = Window.partitionBy("root").orderBy("class")
+    large = large.withColumn("begin", F.sum("own").over(behind) - F.col("own")).select("root", "class", "own", "begin")
+    pooled = F.col("own") <= 1
+    count = lambda what, by: F.ceil(F.coalesce(F.sum(F.when(pooled, F.col(what))), F.lit(0)) / by)
+    groups = by_class.groupBy("root").agg(
+        F.greatest(count("n", tile), count("chars", TILE_CHARS)).alias("pool"),
+        F.coalesce(F.sum(F.when(~pooled, F.col("own"))), F.lit(0)).alias("behind"),
     )
+    at = held.join(small(scratch.write(groups)), "root").join(small(scratch.write(large)), ["root", "class"], "left")
+    begin, end, last = F.col("pool") + F.col("begin"), F.col("pool") + F.col("begin") + F.col("own"), F.col("pool") + F.col("behind") - 1
+    to = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+    others = F.when(F.col("own").isNull(), to(F.lit(0).cast("long"), last)).otherwise(F.concat(to(F.lit(0).cast("long"), begin - 1), to(end, last)))
+    mine = F.pmod(F.xxhash64("key", F.lit(7)), F.coalesce("own", "pool")) + F.when(F.col("own").isNull(), 0).otherwise(begin)
+    return (
+        at.select("key", "root", mine.alias("mine"), F.explode(others).alias("other"))
+        .select("key", F.xxhash64(F.lit(13), "root", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
+    )
+
+
+def _cell_links(rows: DataFrame, dealt: DataFrame, scratch: Scratch) -> DataFrame:
+    """Spanning forests of the links within each cell of ``dealt(key, cell)``."""
+    width = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     cells = rows.join(small(scratch.write(dealt)), "key").select("cell", "key", "text")
-    links = cells.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(_link, "a long, b long")
-    return _with_roots(components(links, scratch), scratch)
+    return scratch.write(cells.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(_link, "a long, b long"))
 
 
 def small(rows: DataFrame) -> DataFrame:

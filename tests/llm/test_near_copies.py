@@ -57,3 +57,38 @@ def test_components_in_small_cells_equal_brute_force(spark):
         got = shingles.near_components(df, Scratch(spark, "test"), tile).collect()
         assert {(r.key, r.root) for r in got} == {(i, x) for i, x in enumerate(label) if list(label).count(x) > 1}
     assert shingles.near_components(df.limit(0), Scratch(spark, "test")).count() == 0
+
+
+def test_large_classes_are_not_dealt_to_their_own_tiles(spark):
+    """Two large classes, one of them in one tile less, and single rows: all pairs but those within a large class meet."""
+    kind = [0] * 400 + [1] * 90 + [None] * 45
+    rows = [(i, 10, 0, k) for i, k in enumerate(kind)] + [(600 + i, 10, 1, 600) for i in range(60)]
+    held = spark.createDataFrame(rows, "key long, chars int, root long, class long")
+    dealt = shingles._between_classes(held, Scratch(spark, "test"), 20).collect()
+    cells = {}
+    for r in dealt:
+        cells.setdefault(r.cell, set()).add(r.key)
+    met = {(a, b) for keys in cells.values() for a in keys for b in keys if a < b}
+    wanted = {(a, b) for a in range(535) for b in range(a + 1, 535) if kind[a] is None or kind[a] != kind[b]}
+    assert wanted <= met
+    assert not any(r.key >= 600 for r in dealt)
+    tiles = 20 + 5 + 3
+    assert len(dealt) == 400 * (tiles - 20) + 90 * (tiles - 5) + 45 * tiles
+
+
+def test_a_group_of_copies_costs_a_few_cells_a_row(spark):
+    rng = random.Random(8)
+    base, texts = words(rng, 100), []
+    for i in range(600):
+        t = list(base)
+        t[i % 100] = rng.choice("xyz")
+        texts.append(" ".join(t))
+    scratch = Scratch(spark, "test")
+    sent = []
+    deal, shingles._cell_links = shingles._cell_links, lambda rows, dealt, s: (sent.append(dealt.count()), deal(rows, dealt, s))[1]
+    try:
+        got = shingles.near_components(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), scratch, 20).collect()
+    finally:
+        shingles._cell_links = deal
+    assert len(got) == 600 and {r.root for r in got} == {0}
+    assert sent[0] == 1200 and sent[1] < 4 * 600
