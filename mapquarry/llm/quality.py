@@ -92,6 +92,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def gradient(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float) -> np.ndarray:
+    """Of the risk by weights and bias; where the negative risk is below zero, that which ascends it alone."""
+    zp, zu = xp @ w + b, xu @ w + b
+    sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
+    negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
+    d_neg = np.append(xu.T @ su / len(xu) - prior * (xp.T @ sp) / len(xp), su.mean() - prior * sp.mean())
+    d_pos = prior * np.append(xp.T @ (sp - 1) / len(xp), (sp - 1).mean())
+    return d_pos + d_neg if negative >= 0 else -d_neg
+
+
 def fit(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = 100, seed: int = 5) -> Model:
     """Mini-batch Adam on the non-negative risk with the logistic loss.
 
@@ -110,11 +120,7 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = 100, seed: int
         for k in range(0, len(u), 512):
             xu = u[up[k : k + 512]]
             xp = p[rng.integers(len(p), size=max(1, min(len(p), 512)))]
-            sp, su = 1 / (1 + np.exp(-np.clip(xp @ w + b, -30, 30))), 1 / (1 + np.exp(-np.clip(xu @ w + b, -30, 30)))
-            negative = np.mean(np.logaddexp(0, xu @ w + b)) - prior * np.mean(np.logaddexp(0, xp @ w + b))
-            d_neg = np.append(xu.T @ su / len(xu) - prior * (xp.T @ sp) / len(xp), su.mean() - prior * sp.mean())
-            d_pos = prior * np.append(xp.T @ (sp - 1) / len(xp), (sp - 1).mean())
-            g = d_pos + d_neg if negative >= 0 else -d_neg
+            g = gradient(xp, xu, w, b, prior)
             g[:-1] += 1e-5 * w
             step += 1
             mw, vw = 0.9 * mw + 0.1 * g, 0.999 * vw + 0.001 * g * g

@@ -360,3 +360,28 @@ def test_domains(spark):
     assert [tuple(r) for r in got] == [("example.com", "com"), ("x.co.uk", "co.uk"), ("x.co.uk", "co.uk"), ("co.uk", "co.uk"), ("10.1.2.3", ""), ("[::1]", ""), ("localhost", "localhost"), ("a.com.au", "com.au"), ("com.example", "example"), ("", "")]
     keys = spark.createDataFrame([("u:p@h.com:80",), ("h.com.",), ("h.com.:1",)], "h string").select(urlrep.key_of(F.col("h"))).collect()
     assert {r[0] for r in keys} == {"h.com"}
+
+
+def test_quality_gradient_equals_differences_of_the_risk():
+    """Sums written row by row, differentiated numerically, on both sides of the non-negative bound."""
+    rng, seen = np.random.default_rng(2), set()
+    softplus = lambda z: math.log1p(math.exp(-abs(z))) + max(z, 0.0)
+
+    def risks(xp, xu, v, prior):
+        score = lambda x: sum(a * c for a, c in zip(x, v[:-1], strict=True)) + v[-1]
+        positive = prior * sum(softplus(-score(x)) for x in xp) / len(xp)
+        return positive, sum(softplus(score(x)) for x in xu) / len(xu) - prior * sum(softplus(score(x)) for x in xp) / len(xp)
+
+    for scale in (0.1, 3.0):
+        for _ in range(10):
+            xp, xu, v, prior = rng.normal(1, 1, (6, 4)), rng.normal(-1, 1, (9, 4)), rng.normal(0.5, scale, 5), float(rng.uniform(0.2, 0.9))
+            negative = risks(xp, xu, v, prior)[1]
+            seen.add(negative >= 0)
+            objective = (lambda r: r[0] + r[1]) if negative >= 0 else (lambda r: -r[1])
+            slow = []
+            for i in range(5):
+                e = np.zeros(5)
+                e[i] = 1e-5
+                slow.append((objective(risks(xp, xu, v + e, prior)) - objective(risks(xp, xu, v - e, prior))) / 2e-5)
+            assert np.allclose(quality.gradient(xp, xu, v[:-1], v[-1], prior), slow, atol=1e-6)
+    assert seen == {True, False}
