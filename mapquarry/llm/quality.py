@@ -2,7 +2,8 @@
 
 A linear scorer over surface statistics and hashed character shapes minimises the non-negative
 unbiased risk ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))``: trusted positives, unlabelled texts
-and a class prior ``pi`` estimated from the labelled share of positives.
+and a class prior ``pi`` estimated from these two alone by best bin estimation: above some score held-out
+unlabelled rows are nearly all positive, so the ratio of the shares of both kinds there is the prior.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from .scratch import sized
 POSITIVES, UNLABELLED = 3000, 6000
 SHAPES = 1024
 PIECE = 1 << 18
+#: Splits over which the class prior is averaged, rounds in which it is refined, and the error allowed to a bin.
+SPLITS, ROUNDS, ERROR = 3, 2, 0.1
+#: With fewer rows of a kind a held-out half says too little, and the labelled share of positives is the prior.
+HALVED = 40
 #: A score of at least this predicts a good text.
 THRESHOLD = 0.3
 
@@ -129,6 +134,32 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = 100, seed: int
     return Model(mean, scale, w, float(b), prior)
 
 
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Prior from the scores of held-out rows: the ratio of shares above the score where its upper bound is least."""
+    positive, unlabelled = np.sort(positive), np.sort(unlabelled)
+    at = np.unique(positive)
+    p, u = 1 - np.searchsorted(positive, at) / len(positive), 1 - np.searchsorted(unlabelled, at) / len(unlabelled)
+    slack = np.sqrt(np.log(4 / ERROR) / 2) * (len(positive) ** -0.5 + len(unlabelled) ** -0.5)
+    best = np.argmin((u + slack) / p)
+    return float(np.clip(u[best] / p[best], 0.05, 0.95))
+
+
+def estimate_prior(p: np.ndarray, u: np.ndarray, first: float = 0.5, epochs: int = 40) -> float:
+    """Class prior of ``u``: scorers fitted to one half of the rows judge the other half.
+
+    Each round's prior is that of the next round's risk; the last round's, averaged over splits, counts.
+    """
+    found = []
+    for seed in range(SPLITS):
+        rng, prior = np.random.default_rng(seed), first
+        for _ in range(ROUNDS):
+            a, b = rng.permutation(len(p)), rng.permutation(len(u))
+            model = fit(p[a[: len(p) // 2]], u[b[: len(u) // 2]], prior, epochs)
+            prior = best_bin(model.score(p[a[len(p) // 2 :]]), model.score(u[b[len(u) // 2 :]]))
+        found.append(prior)
+    return float(np.mean(found))
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [features(t).tobytes() for t in b.column(1).to_pylist()]
@@ -138,8 +169,9 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, eligible: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, quality)`` rows where ``eligible``.
 
-    The prior is the share of positives among labelled eligible rows, kept within [0.05, 0.95].
-    None when there is no trusted positive.
+    The prior is estimated from both kinds of rows (``estimate_prior``); under ``HALVED`` rows of a kind it is
+    the share of positives among labelled eligible rows. Either is kept within [0.05, 0.95]. None when
+    there is no trusted positive.
     """
     sized(docs.sparkSession)
     known = labels.where(eligible & F.col("quality").isNotNull())
@@ -159,7 +191,9 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column, positives: int =
     kind = np.array([k for k, _ in got])
     if not (kind == 1).any():
         return None
-    return fit(x[kind == 1], x[kind == 0] if (kind == 0).any() else x, float(np.clip(good / n, 0.05, 0.95)))
+    p, u = x[kind == 1], x[kind == 0] if (kind == 0).any() else x
+    prior = estimate_prior(p, u) if min(len(p), len(u)) >= HALVED else float(np.clip(good / n, 0.05, 0.95))
+    return fit(p, u, prior)
 
 
 def scorer(model: Model | None):

@@ -385,3 +385,14 @@ def test_quality_gradient_equals_differences_of_the_risk():
                 slow.append((objective(risks(xp, xu, v + e, prior)) - objective(risks(xp, xu, v - e, prior))) / 2e-5)
             assert np.allclose(quality.gradient(xp, xu, v[:-1], v[-1], prior), slow, atol=1e-6)
     assert seen == {True, False}
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_is_found_without_negatives(share):
+    """Two clouds that overlap a little: positives and a mixture alone give the mixture's share."""
+    rng = np.random.default_rng(3)
+    cloud = lambda n, at: rng.normal(at, 1.0, size=(n, 4)).astype(np.float32)
+    p = cloud(1500, 1.5)
+    u = np.concatenate([cloud(int(3000 * share), 1.5), cloud(3000 - int(3000 * share), -1.5)])
+    assert abs(quality.estimate_prior(p, u) - share) < 0.06
+    assert quality.best_bin(np.ones(50), np.ones(50)) == 0.95 and quality.best_bin(np.ones(50), np.zeros(50)) == 0.05
