@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embdedup, exactdup, html, langid, mixing, packing, pii, quality, simhash, urlrep
+from . import bpe, collocations, embdedup, exactdup, html, langid, mixing, packing, pii, quality, simhash, turns, urlrep
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,11 +79,24 @@ def op10_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_suffix_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_viterbi_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damage(_table(spark, sf_dir, "conversations")))
+
+
+def op13_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_feistel_pseudonyms, op2_block_rules_text, op3_simhash_pigeonhole, op4_pca_tiles, op5_ecoc_language, op6_pu_quality,
-        op7_host_reputation, op8_extendible_hash, op9_mix_sources, op10_window_packing,
+        op7_host_reputation, op8_extendible_hash, op9_mix_sources, op10_window_packing, op11_suffix_collocations, op12_viterbi_turns, op13_merge_replay,
     )
 }
 
@@ -154,4 +168,18 @@ SQL: dict[str, str] = {
       t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce(z.level * weight, 2.0::DOUBLE * source_size)) AS target FROM l, z),
       r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
       SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT) AS taken FROM r""",
+    "op11_suffix_collocations": rf"""WITH p AS (SELECT coalesce(lang, '{collocations.UNKNOWN}') AS lang,
+        unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+      w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]'), lambda x: x <> '') AS t FROM p),
+      g AS (SELECT lang, k, unnest(list_transform(range(1, len(t) - k + 2), lambda i: array_to_string(t[i : i + k - 1], ' '))) AS phrase FROM w, range(1, {collocations.MOST + 1}) AS r(k) WHERE len(t) >= k),
+      f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+      n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+      often AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS t FROM f WHERE f >= {collocations.LEAST}),
+      cuts AS (SELECT lang, k, phrase, f AS a, c, array_to_string(t[: c], ' ') AS head, array_to_string(t[c + 1 :], ' ') AS rest FROM often, range(1, {collocations.MOST}) AS r(c) WHERE c < k),
+      z AS (SELECT cuts.*, x.f AS l, y.f AS r, n.n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score FROM cuts JOIN often x ON x.lang = cuts.lang AND x.phrase = head
+        JOIN often y ON y.lang = cuts.lang AND y.phrase = rest JOIN n ON n.lang = cuts.lang),
+      best AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+      inner_ AS (SELECT lang, phrase, max(f) AS longer FROM (SELECT lang, f, unnest(list_transform(range(1, k - v + 2), lambda i: array_to_string(t[i : i + v - 1], ' '))) AS phrase FROM often, range(2, {collocations.MOST}) AS r(v) WHERE v < k) GROUP BY ALL),
+      kept AS (SELECT best.* FROM best LEFT JOIN inner_ USING (lang, phrase) WHERE coalesce(100 * longer < 100 * a, true))
+      SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM kept WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= {collocations.TOP}""",
 }
