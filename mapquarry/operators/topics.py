@@ -9,12 +9,13 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions.similarity import jaro_winkler, token_jaccard
 from .components import components
-from .tables import active, materialise
+from .merges import followed
+from .tables import active
 
 #: Gate to the decision provider: frequency, Jaro-Winkler and token Jaccard of the best hit.
 GATE = (5, 0.90, 0.60)
-#: Hops of merge redirects that are followed, and topics of a group shown at once.
-HOPS, CHUNK = 20, 24
+#: Topics of a group shown at once.
+CHUNK = 24
 
 
 def frequencies(pending: DataFrame, topics: DataFrame) -> DataFrame:
@@ -123,17 +124,13 @@ def chunks(grouped: DataFrame, name: Column, size: int = CHUNK) -> DataFrame:
 
 
 def redirects(merges: DataFrame) -> DataFrame:
-    """``merges(src, dst)`` -> final target of each source by pointer jumping, at most ``HOPS`` hops.
+    """``merges(src, dst)`` without an order -> the target of each source after at most ``HOPS`` hops.
 
-    The first target of a source counts (least one); a source that leads back to itself is skipped.
+    The first target of a source counts (least one); a source that leads back to itself is skipped. Decisions that were
+    taken one after the other go through ``merges.ordered``.
     """
     hop = merges.where("src != dst").groupBy("src").agg(F.min("dst").alias("dst"))
-    at, jumps = hop, 1
-    while jumps < HOPS:
-        nxt = at.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        at = materialise(at.join(nxt, "dst", "left").select("src", F.coalesce("next", "dst").alias("dst")))
-        jumps *= 2
-    return at.where("src != dst")
+    return followed(hop).where("src != dst")
 
 
 def apply_merges(edges: DataFrame, final: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import geo, times, urls
 from ..functions import similarity as M
 from ..functions import text as X
 from ..operators import evaluate, evidence, lexical, providers, sessions, tables, topics
+from ..operators import merges as MG
 from ..operators import retrieve as R
 from . import discover as D
 from .catalog import Catalog
@@ -402,6 +403,25 @@ def apply_merge_redirect(c: Catalog) -> DataFrame:
     return topics.apply_merges(c.has_topic, topics.redirects(merges(c)))
 
 
+def decisions(c: Catalog) -> DataFrame:
+    """Each dataset with several topics proposes to merge its first and its last topic, one way or the other, with some confidence."""
+    ends = c.has_topic.groupBy(F.col("dataset_id").alias("seq")).agg(F.min("entity_id").alias("a"), F.max("entity_id").alias("b")).where("a < b")
+    odd = F.col("seq") % 2 == 1
+    return ends.select("seq", F.when(odd, F.col("b")).otherwise(F.col("a")).alias("src"), F.when(odd, F.col("a")).otherwise(F.col("b")).alias("dst"), (F.col("seq") * 7919 % 1000 / 1000).alias("confidence"))
+
+
+@query
+def topic_merges_ordered(c: Catalog) -> DataFrame:
+    """What became of each merge decision when all are taken in their order."""
+    return MG.ordered(decisions(c))[0]
+
+
+@query
+def topic_merge_places(c: Catalog) -> DataFrame:
+    """Topics of the datasets after those merges."""
+    return topics.apply_merges(c.has_topic, MG.ordered(decisions(c))[1])
+
+
 @query
 def alias_union(c: Catalog) -> DataFrame:
     t = c.topic.select("id", "name", F.array(F.upper("name"), F.lit(" ")).alias("aliases"))

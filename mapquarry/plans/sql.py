@@ -96,6 +96,17 @@ def graph(body: str, *more: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join([GRAPH, *more])} {body}"
 
 
+HOP = "list_reduce([{x}] || list_transform(range(20), lambda i: ''), lambda c, x: coalesce(m[c], c))"
+#: Decisions in turn; m maps merged topics to their targets.
+TURNS = f"""decision AS (SELECT seq, CASE WHEN seq % 2 = 1 THEN b ELSE a END AS src, CASE WHEN seq % 2 = 1 THEN a ELSE b END AS dst, (seq * 7919 % 1000) / 1000 AS confidence
+  FROM (SELECT dataset_id AS seq, min(entity_id) AS a, max(entity_id) AS b FROM has_topic GROUP BY 1) WHERE a < b),
+turn AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) AS k, seq, src, dst FROM decision WHERE confidence >= 0.85),
+taken AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS source, NULL::VARCHAR AS target, MAP {{'': ''}} AS m
+  UNION ALL SELECT k, seq, source, target, CASE WHEN source = target THEN m ELSE map_concat(m, MAP {{source: target}}) END FROM
+    (SELECT turn.k, turn.seq, m, {HOP.format(x="src")} AS source, {HOP.format(x="dst")} AS target FROM taken JOIN turn ON turn.k = taken.k + 1))"""
+
+
+
 def gathered(table: str, name: str) -> str:
     return f"(SELECT dataset_id AS id, array_to_string(list_sort(list(DISTINCT entity_id)), ',') AS {name} FROM {table} GROUP BY 1) {name}_ USING (id)"
 
@@ -210,6 +221,11 @@ SQL: dict[str, str] = {
         "grouped AS (SELECT id, min(other) AS grp FROM reach GROUP BY 1)",
         recursive=True,
     ),
+    "topic_merges_ordered": graph(
+        """SELECT seq, 'low' AS outcome, NULL AS source, NULL AS target FROM decision WHERE confidence < 0.85 UNION ALL
+        SELECT seq, CASE WHEN source = target THEN 'same' ELSE 'merged' END, CASE WHEN source <> target THEN source END, CASE WHEN source <> target THEN target END FROM taken WHERE k > 0""",
+        TURNS, recursive=True,
+    ),
     "merge_redirects": graph("SELECT src, dst FROM final WHERE src <> dst", FINAL, recursive=True),
     "apply_merge_redirect": graph("SELECT DISTINCT dataset_id, coalesce(dst, entity_id) AS entity_id FROM has_topic LEFT JOIN final ON src = entity_id", FINAL, recursive=True),
     "alias_union": graph("SELECT id, array_to_string(list_sort(list(DISTINCT a)), ',') AS aliases FROM (SELECT coalesce(dst, id) AS id, upper(name) AS a FROM topic LEFT JOIN final ON src = id UNION SELECT dst, name FROM topic JOIN final ON src = id) GROUP BY 1", FINAL, recursive=True),
