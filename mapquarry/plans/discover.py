@@ -68,19 +68,20 @@ def candidates(nodes: DataFrame, q: str, threshold: float, label: str = "Topic",
     return both.groupBy("id").agg(F.max("score").alias("score"))
 
 
-def text_contributions(catalog: Catalog, intent: Intent, p: Parameters, hard: DataFrame | None) -> DataFrame | None:
-    """(dataset_id, dim, contribution) of datasets linked to any candidate; null where only unscored entities link it."""
+def text_contributions(catalog: Catalog, intent: Intent, p: Parameters, hard: DataFrame | None) -> tuple[DataFrame | None, list[DataFrame]]:
+    """(dataset_id, dim, contribution) of datasets linked to any candidate, null where only unscored entities link it; and the candidates."""
     w = p.normalised()
     nodes = {
         "Topic": (catalog.topic, catalog.has_topic), "Keyword": (catalog.keyword, catalog.has_keyword), "License": (catalog.license, catalog.has_license),
         "Organization": (catalog.organization, catalog.published_by), "Format": (catalog.format, None),
     }
-    out = None
+    out, every = None, []
     for dim, q in intent.text.items():
         links = None
         for kind in ("Topic", "Keyword") if dim == "Topic" and p.keyword_search else (dim,):
             table, edges = nodes[kind]
             found = candidates(table, q, p.similarity, kind, intent.vectors.get(dim), p.vector_top)
+            every.append(found)
             best = R.selection(found, R.SCORED[kind]).select("id", F.lit(True).alias("used"))
             chosen = found.join(best, "id", "left")
             got = R.expand_formats(catalog.has_resource, catalog.has_format, chosen, hard) if kind == "Format" else R.expand(edges, chosen, hard)
@@ -88,60 +89,77 @@ def text_contributions(catalog: Catalog, intent: Intent, p: Parameters, hard: Da
             links = got if links is None else links.unionByName(got)
         part = links.groupBy("dataset_id").agg((F.max("score") * w[dim]).alias("contribution")).select("dataset_id", F.lit(dim).alias("dim"), "contribution")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out, every
 
 
-def contributions(catalog: Catalog, intent: Intent, p: Parameters) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
-    """All weighted contributions, those of the text alone (written, so that each expansion runs once), and the hard set."""
+#: What a dataset whose text holds the topic counts where no entity scores one.
+RESCUE = 0.1
+
+
+@dataclass
+class Scored:
+    """Weighted contributions of all dimensions, the datasets that selected entities link (None: none were asked for), the hard set."""
+
+    rows: DataFrame | None
+    linked: DataFrame | None
+    hard: DataFrame | None
+
+
+def contributions(catalog: Catalog, intent: Intent, p: Parameters) -> Scored:
+    """Text first; where no entity scores a dataset, those whose text holds the topic; then space and time of these and the hard set.
+
+    Text contributions are written, so that each expansion runs once. ``linked`` is None where no entity was
+    selected, and has no rows where none of the selected has a dataset.
+    """
+    if unknown := set(intent.text) - set(WEIGHTS) | set(intent.text) & {"Space", "Time"}:
+        raise ValueError(f"no text search in {', '.join(sorted(unknown))}: keywords go with Topic, sources are ids in sources")
     w = p.normalised()
     hard = R.hard_filter(catalog.space, catalog.time, intent.box, intent.span)
     sources = sorted({*intent.sources, *(R.portal_sources(p.portals, p.portal_ids) or [])})
     if sources:
         chosen = R.source_filter(catalog.provides, sources)
         hard = chosen if hard is None else hard.join(chosen, "dataset_id", "left_semi")
-    text = text_contributions(catalog, intent, p, hard)
+    text, selected = text_contributions(catalog, intent, p, hard)
+    linked = None
     if text is not None:
         text = materialise(text)
+        if not text.isEmpty() or any(not found.isEmpty() for found in selected):
+            linked = text.select("dataset_id").distinct()
+        text = text.where("contribution is not null")
+    if (text is None or text.isEmpty()) and intent.text.get("Topic"):
+        hits = R.text_hits(catalog.dataset, intent.text["Topic"], 150, catalog.has_keyword if p.keyword_search else None)
+        hits = hits.join(hard, "dataset_id", "left_semi") if hard is not None else hits
+        text = materialise(hits.select("dataset_id", F.lit("Topic").alias("dim"), F.lit(RESCUE).alias("contribution")))
     ids = text.select("dataset_id").distinct() if text is not None else None
     if hard is not None:
         ids = hard if ids is None else ids.unionByName(hard).distinct()
-    parts = [] if text is None else [text.where("contribution is not null")]
+    parts = [] if text is None else [text]
     if intent.box and ids is not None:
         parts.append(R.space_contribution(catalog.space, ids, intent.box, w["Space"]))
     if intent.span and ids is not None:
         parts.append(R.time_contribution(catalog.time, ids, intent.span, w["Time"]))
-    return (reduce(DataFrame.unionByName, parts) if parts else None), text, hard
+    return Scored(reduce(DataFrame.unionByName, parts) if parts else None, linked, hard)
 
 
 def discover(catalog: Catalog, intent: Intent, parameters: Parameters | None = None, top: int = TOP) -> DataFrame:
     """Ranked datasets (dataset_id, score, rank), ties at the last rank kept.
 
     Scores are shares of the best sum over all scored datasets, taken before datasets without a
-    selected entity are dropped; scoring uses the first entities of a dimension, the drop all. Where
-    nothing scores, datasets whose text holds the topic count 0.1 each (within the hard set), and where
-    those fail too, the hard set counts 1.0 each.
+    selected entity are dropped; scoring uses the first entities of a dimension, the drop all, and where no
+    entity was selected nothing is dropped. Where no entity scores, datasets whose text holds the topic count 0.1 each
+    beside their space and time; where nothing scores at all, the hard set counts 1.0 each.
     """
     p = parameters or Parameters()
     p.check()
-    rows, text, hard = contributions(catalog, intent, p)
-    ranked = R.total([rows]) if rows is not None else None
-    if ranked is not None and text is not None and not ranked.isEmpty():
-        ranked = ranked.join(text.select("dataset_id").distinct(), "dataset_id", "left_semi")
-    elif ranked is None or ranked.isEmpty():
-        ranked = fallback(catalog, intent, p, hard)
+    found = contributions(catalog, intent, p)
+    ranked = R.total([found.rows]) if found.rows is not None else None
+    if (ranked is None or ranked.isEmpty()) and found.hard is not None:
+        ranked = found.hard.select("dataset_id", F.lit(1.0).alias("score"))
     if ranked is None:
         return catalog.dataset.select(F.col("id").alias("dataset_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    if found.linked is not None:
+        ranked = ranked.join(found.linked, "dataset_id", "left_semi")
     key = F.round("score", 6)
     best = R.top_with_ties(ranked, top, key)
     # at most ``top`` rows and the ties of the last one meet in this window
     return best.select("dataset_id", key.alias("score"), F.rank().over(Window.orderBy(F.desc(key))).alias("rank"))
-
-
-def fallback(catalog: Catalog, intent: Intent, p: Parameters, hard: DataFrame | None) -> DataFrame | None:
-    """Scores of a request that nothing scored: (dataset_id, score), or None without topic text and hard filters."""
-    if intent.text.get("Topic"):
-        hits = R.text_hits(catalog.dataset, intent.text["Topic"], 150, catalog.has_keyword if p.keyword_search else None)
-        hits = materialise(hits.join(hard, "dataset_id", "left_semi") if hard is not None else hits)
-        if not hits.isEmpty():
-            return R.total([hits.select("dataset_id", F.lit("Topic").alias("dim"), F.lit(0.1).alias("contribution"))])
-    return hard.select("dataset_id", F.lit(1.0).alias("score")) if hard is not None else None

@@ -254,6 +254,18 @@ def discover_hard_only(c: Catalog) -> DataFrame:
     return D.discover(c, D.Intent({"Topic": "no such text"}, sources=["ASIA"]))
 
 
+@query
+def discover_rescue_with_box(c: Catalog) -> DataFrame:
+    """No entity holds the text: datasets whose own text does count 0.1 beside space and time, which the whole hard set has."""
+    return D.discover(c, D.Intent({"Topic": "not specified"}, BOX, SPAN))
+
+
+@query
+def discover_unknown_topic_with_box(c: Catalog) -> DataFrame:
+    """Nothing holds the text: the hard set by its space and time."""
+    return D.discover(c, D.Intent({"Topic": "no such text"}, BOX, SPAN))
+
+
 REGIONS = {"africa": "AFRICA", "america": "AMERICA", "asia": "ASIA", "europe": "EUROPE", "east": "MIDDLE EAST"}
 
 
@@ -267,8 +279,7 @@ def discover_portals(c: Catalog) -> DataFrame:
 def raw_scores(c: Catalog) -> DataFrame:
     """Contributions of the flagship request by dimension, with the scores before weighting."""
     p = D.Parameters()
-    rows, _, _ = D.contributions(c, D.FLAGSHIP, p)
-    return R.raw_scores(rows, p.normalised()).select("dataset_id", "dim", six("contribution").alias("contribution"), six("raw").alias("raw"))
+    return R.raw_scores(D.contributions(c, D.FLAGSHIP, p).rows, p.normalised()).select("dataset_id", "dim", six("contribution").alias("contribution"), six("raw").alias("raw"))
 
 
 # ---- ranking ---------------------------------------------------------------------------------

@@ -96,6 +96,9 @@ def graph(body: str, *more: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join([GRAPH, *more])} {body}"
 
 
+#: Space and time of the hard set; ranks of sums.
+PLACED = f"SELECT dataset_id, {F1} * 0.2::DOUBLE AS c FROM space WHERE dataset_id IN {HARD} AND {F1} > 0 UNION ALL SELECT dataset_id, {TF1} * 0.2::DOUBLE FROM time_ WHERE dataset_id IN {HARD} AND {TF1} > 0"
+RANKED = "SELECT dataset_id, score, rank FROM (SELECT *, rank() OVER (ORDER BY score DESC) AS rank FROM (SELECT dataset_id, round(total / (SELECT max(total) FROM sums), 6) AS score FROM sums)) WHERE rank <= 20"
 HOP = "list_reduce([{x}] || list_transform(range(20), lambda i: ''), lambda c, x: coalesce(m[c], c))"
 #: Decisions in turn; m maps merged topics to their targets.
 TURNS = f"""decision AS (SELECT seq, CASE WHEN seq % 2 = 1 THEN b ELSE a END AS src, CASE WHEN seq % 2 = 1 THEN a ELSE b END AS dst, (seq * 7919 % 1000) / 1000 AS confidence
@@ -138,6 +141,12 @@ SQL: dict[str, str] = {
     ),
     "raw_scores": graph("SELECT dataset_id, dim, round(c, 6) AS contribution, round(least(1.0::DOUBLE, c / w), 6) AS raw FROM parts_", *FLAG),
     "discover_fallback": graph("SELECT id AS dataset_id, 1.0::DOUBLE AS score, 1 AS rank FROM dataset WHERE contains(lower(title), 'not specified') OR contains(lower(notes), 'not specified') OR id IN (SELECT dataset_id FROM has_keyword WHERE contains(lower(entity_id), 'not specified')) ORDER BY id LIMIT 150"),
+    "discover_rescue_with_box": graph(
+        RANKED, f"""hits AS (SELECT id AS dataset_id FROM dataset WHERE contains(lower(title), 'not specified') OR contains(lower(notes), 'not specified')
+          OR id IN (SELECT dataset_id FROM has_keyword WHERE contains(lower(entity_id), 'not specified')) ORDER BY id LIMIT 150)""",
+        f"sums AS (SELECT dataset_id, sum(c) AS total FROM ({PLACED} UNION ALL SELECT dataset_id, 0.1::DOUBLE FROM hits WHERE dataset_id IN {HARD}) GROUP BY 1)",
+    ),
+    "discover_unknown_topic_with_box": graph(RANKED, f"sums AS (SELECT dataset_id, sum(c) AS total FROM ({PLACED}) GROUP BY 1)"),
     "discover_hard_only": graph("SELECT dataset_id, 1.0::DOUBLE AS score, 1 AS rank FROM provides WHERE entity_id = 'ASIA'"),
     "discover_portals": graph(
         f"""SELECT dataset_id, score, rank FROM (SELECT *, rank() OVER (ORDER BY score DESC) AS rank FROM (SELECT dataset_id, round(s / max(s) OVER (), 6) AS score FROM
@@ -235,8 +244,9 @@ SQL: dict[str, str] = {
     "subgraph_edges": graph("SELECT edge_id, src, type, dst FROM edges", EDGES),
     "subgraph_nodes": graph("SELECT node, string_split(node, ':')[1] AS label FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges)", EDGES),
     "subgraph_filter": graph(
-        "SELECT edge_id, src, type, dst FROM edges WHERE src IN (SELECT node FROM kept) OR type = 'HAS_FORMAT' AND src IN (SELECT dst FROM edges WHERE type = 'HAS_RESOURCE' AND src IN (SELECT node FROM kept))",
-        EDGES, f"kept AS (SELECT 'Dataset:' || dataset_id AS node FROM {HARD})",
+        """SELECT e.edge_id, e.src, e.type, e.dst FROM edges e SEMI JOIN kept ON kept.node = e.src
+        UNION SELECT e.edge_id, e.src, e.type, e.dst FROM edges e SEMI JOIN (SELECT r.dst FROM edges r SEMI JOIN kept ON kept.node = r.src WHERE r.type = 'HAS_RESOURCE') h ON h.dst = e.src WHERE e.type = 'HAS_FORMAT'""",
+        EDGES.replace("edges AS (", "edges AS MATERIALIZED (", 1), f"kept AS (SELECT 'Dataset:' || dataset_id AS node FROM {HARD})",
     ),
     "resource_formats": graph("SELECT resource_id, array_to_string(list_sort(list(DISTINCT entity_id)), ',') AS formats FROM has_format GROUP BY 1"),
     "canonicalize_topic": f"SELECT p_partkey, trim(regexp_replace(lower({RAW}), '[^a-z0-9]+', ' ', 'g')) AS topic, trim(regexp_replace(lower({RAW}), '[^a-z0-9_/-]+', ' ', 'g')) AS keyword, trim(regexp_replace(lower({RAW}), '[ \\t\\n]+', ' ', 'g')) AS format FROM part",
