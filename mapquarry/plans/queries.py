@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,7 @@ from ..functions import text as X
 from ..operators import evaluate, evidence, lexical, providers, sessions, tables, topics
 from ..operators import merges as MG
 from ..operators import retrieve as R
+from ..operators import searchindex as SI
 from . import discover as D
 from .catalog import Catalog
 
@@ -181,6 +184,29 @@ def bm25_topk(c: Catalog) -> DataFrame:
     return lexical.bm25(docs, asked, 5).select("query_id", "doc_id", "score")
 
 
+def fresh(c: Catalog, name: str) -> str:
+    return f"{tables.shared_root(c.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def topic_fulltext(c: Catalog) -> DataFrame:
+    """The eight topics that an index over name, canonical name and aliases finds for each pending name; the alias is the noun first."""
+    t = vocabulary(c).withColumn("aliases", F.array(F.array_join(F.reverse(F.split("name", " ")), " ")))
+    index = SI.build(t, "id", {"name": 2.0, "canonical": 1.5, "aliases": 1.0}, fresh(c, "topics"))
+    asked = c.pending.select(F.col("canonical").alias("query_id")).distinct().withColumn("text", F.col("query_id"))
+    return index.search(asked, 8).select("query_id", F.col("key").alias("topic"), "score")
+
+
+@query
+def dataset_fulltext(c: Catalog) -> DataFrame:
+    """The ten datasets that an index over title, notes and keywords finds for the texts of every hundredth dataset."""
+    kw = c.has_keyword.groupBy(F.col("dataset_id").alias("id")).agg(F.sort_array(F.collect_set("entity_id")).alias("keywords"))
+    d = c.dataset.join(kw, "id", "left")
+    index = SI.build(d, "id", {"title": 2.0, "notes": 1.0, "keywords": 1.5}, fresh(c, "datasets"))
+    asked = d.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", F.substring_index("title", "-", -1), F.array_join("keywords", " ")).alias("text"))
+    return index.search(asked, 10).select("query_id", F.col("key").alias("id"), "score")
+
+
 @query
 def dataset_text_search(c: Catalog) -> DataFrame:
     """Title, description or a keyword holds the text; 150 datasets at most."""
@@ -693,8 +719,6 @@ def topic_decision_provider(c: Catalog) -> DataFrame:
 
 
 def stage_durations_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     from ..streaming import durations
 
     base = f"{tables.shared_root(spark)}/stream-{uuid.uuid4().hex}"

@@ -99,6 +99,18 @@ def graph(body: str, *more: str, recursive: bool = False) -> str:
 #: Space and time of the hard set; ranks of sums.
 PLACED = f"SELECT dataset_id, {F1} * 0.2::DOUBLE AS c FROM space WHERE dataset_id IN {HARD} AND {F1} > 0 UNION ALL SELECT dataset_id, {TF1} * 0.2::DOUBLE FROM time_ WHERE dataset_id IN {HARD} AND {TF1} > 0"
 RANKED = "SELECT dataset_id, score, rank FROM (SELECT *, rank() OVER (ORDER BY score DESC) AS rank FROM (SELECT dataset_id, round(total / (SELECT max(total) FROM sums), 6) AS score FROM sums)) WHERE rank <= 20"
+def fulltext(fields: str, asked: str) -> str:
+    """Scores of all rows for all queries: weighted sums of each field's BM25."""
+    words = "list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+    return f"""word AS (SELECT id, field, weight, len({words}) AS n, unnest({words}) AS term FROM ({fields})),
+      tf AS (SELECT id, field, weight, n, term, count(*) AS tf FROM word GROUP BY ALL),
+      field_ AS (SELECT field, count(*) AS docs, avg(n) AS mean FROM (SELECT DISTINCT id, field, n FROM word) GROUP BY 1),
+      df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
+      asked AS (SELECT DISTINCT query_id, unnest({words}) AS term FROM ({asked})),
+      ranked AS (SELECT query_id, id, round(sum(weight * ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 6) AS score
+        FROM asked JOIN tf USING (term) JOIN df USING (field, term) JOIN field_ USING (field) GROUP BY 1, 2)"""
+
+
 HOP = "list_reduce([{x}] || list_transform(range(20), lambda i: ''), lambda c, x: coalesce(m[c], c))"
 #: Decisions in turn; m maps merged topics to their targets.
 TURNS = f"""decision AS (SELECT seq, CASE WHEN seq % 2 = 1 THEN b ELSE a END AS src, CASE WHEN seq % 2 = 1 THEN a ELSE b END AS dst, (seq * 7919 % 1000) / 1000 AS confidence
@@ -190,6 +202,17 @@ SQL: dict[str, str] = {
         scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 6) AS score
           FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN len_ USING (doc_id), stat GROUP BY 1, 2)
         SELECT query_id, doc_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5""",
+    "topic_fulltext": graph(
+        "SELECT query_id, id AS topic, score FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 8",
+        fulltext("SELECT id, name AS text, 'name' AS field, 2.0::DOUBLE AS weight FROM topic UNION ALL SELECT id, name, 'canonical', 1.5 FROM topic UNION ALL SELECT id, array_to_string(list_reverse(string_split(name, ' ')), ' '), 'aliases', 1.0 FROM topic",
+                 "SELECT DISTINCT canonical AS query_id, canonical AS text FROM pending"),
+    ),
+    "dataset_fulltext": graph(
+        "SELECT query_id, id, score FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10",
+        "kw AS (SELECT dataset_id AS id, array_to_string(list_sort(list(DISTINCT entity_id)), ' ') AS keywords FROM has_keyword GROUP BY 1)",
+        fulltext("SELECT id, title AS text, 'title' AS field, 2.0::DOUBLE AS weight FROM dataset UNION ALL SELECT id, notes, 'notes', 1.0 FROM dataset UNION ALL SELECT id, keywords, 'keywords', 1.5 FROM kw",
+                 "SELECT id AS query_id, concat_ws(' ', string_split(title, '-')[-1], coalesce(keywords, '')) AS text FROM dataset LEFT JOIN kw USING (id) WHERE id % 100 = 0"),
+    ),
     "dataset_text_search": graph("SELECT id, title FROM dataset WHERE contains(lower(title), 'urgent') AND id IN (SELECT dataset_id FROM has_keyword WHERE contains(lower(entity_id), 'brand#11')) OR contains(lower(notes), 'zz') ORDER BY id LIMIT 150"),
     "bbox_f1": graph(f"SELECT dataset_id, round({F1}, 6) AS f1 FROM space"),
     "time_f1": graph(f"SELECT dataset_id, round({TF1}, 6) AS f1 FROM time_"),
