@@ -5,9 +5,9 @@ their first words with prefix doubling and reads the counts of all phrases off t
 so emits each of its phrases once, however often it stands there, and Spark adds the shards up by phrase.
 
 Three passes keep rare phrases out of the shuffle without losing a frequent one: a phrase as frequent as asked
-for has only words, and only word pairs, that are as frequent. Words, then pairs of frequent words, then longer
+for has only words, and only word pairs, that are as frequent. Words, then pairs of frequent words by their hash, then all
 phrases of frequent pairs are counted. Which words and pairs are frequent travels as a bitmap of fixed size; where two
-hashes share a bit, phrases are counted that needn't be, and the exact sums drop them.
+hashes share a bit, phrases are counted that needn't be, and the exact sums of the last pass drop them.
 """
 
 from __future__ import annotations
@@ -139,21 +139,17 @@ def frequent_words(shard: Shard, words: np.ndarray) -> np.ndarray:
 
 
 def frequent_pairs(shard: Shard, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Runs of at least three words whose neighbours all are frequent pairs, -1 between runs."""
+    """Runs of at least two words whose neighbours all are frequent pairs, -1 between runs."""
     seq = frequent_words(shard, words)
     h = shard.hashes()[np.maximum(seq, 0)]
     linked = (seq[:-1] >= 0) & (seq[1:] >= 0)
     linked[linked] = _has(pairs, _pair(h[:-1][linked], h[1:][linked]))
-    left, right = np.append(False, linked), np.append(linked, False)  # with the word before, with the word after
-    inner = left & right
-    used = inner | np.append(inner[1:], False) | np.append(False, inner[:-1])
-    used &= left | right
-    at = np.flatnonzero(used)
+    goes_on = np.append(linked, False)
+    at = np.flatnonzero(goes_on | np.append(False, linked))
     out = np.full(2 * len(at), -1, dtype=np.int64)
     out[::2] = seq[at]
-    # the place behind a word is a break unless the pair goes on
     keep = np.ones(len(out), dtype=bool)
-    keep[1::2] = ~(right[at] & np.append(at[1:] == at[:-1] + 1, False))
+    keep[1::2] = ~goes_on[at]
     return out[keep]
 
 
@@ -167,31 +163,47 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
+    shard = Shard()
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            shard.add(lang, (text or b"").decode("utf-8", "replace").encode())
+            if shard.size >= most:
+                shard.close()
+                yield shard
+                shard = Shard()
+    if shard.size:
+        shard.close()
+        yield shard
+
+
 def counting(phrases: Callable[[Shard], Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]], most: int):
     """Task that emits (lang, phrase, f) of each shard; ``phrases`` gives (n, sequence, places, occurrences)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard()
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard.add(lang, (text or b"").decode("utf-8", "replace").encode())
-                if shard.size >= most:
-                    yield from emitted(shard)
-                    shard = Shard()
-        if shard.size:
-            yield from emitted(shard)
-
-    def emitted(shard: Shard) -> Iterator[pa.RecordBatch]:
-        shard.close()
-        for n, seq, places, times in phrases(shard):
-            for lo in range(0, len(places), 100_000):
-                at = places[lo : lo + 100_000]
-                words = [list(map(shard.word.__getitem__, seq[at + k].tolist())) for k in range(n)]
-                text = words[0] if n == 1 else list(map(b" ".join, zip(*words, strict=True)))
-                langs = list(map(shard.lang.__getitem__, seq[at].tolist()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(times[lo : lo + 100_000], pa.int64())], ["lang", "phrase", "f"]
-                )
+        for shard in shards(batches, most):
+            for n, seq, places, times in phrases(shard):
+                for lo in range(0, len(places), 100_000):
+                    at = places[lo : lo + 100_000]
+                    words = [list(map(shard.word.__getitem__, seq[at + k].tolist())) for k in range(n)]
+                    text = words[0] if n == 1 else list(map(b" ".join, zip(*words, strict=True)))
+                    langs = list(map(shard.lang.__getitem__, seq[at].tolist()))
+                    found = [pa.array(langs, pa.string()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(times[lo : lo + 100_000], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(found, ["lang", "phrase", "f"])
+
+    return run
+
+
+def counting_pairs(words, most: int):
+    """Task that emits (h, f) of each shard's pairs of frequent words, h being the pair's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, most):
+            seq, h = frequent_words(shard, words.value), shard.hashes()
+            for _, places, times in intervals(seq, 2, 2):
+                pair = _pair(h[seq[places]], h[seq[places + 1]]).view(np.int64)
+                for lo in range(0, len(pair), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[lo : lo + 100_000]), pa.array(times[lo : lo + 100_000], pa.int64())], ["h", "f"])
 
     return run
 
@@ -230,30 +242,17 @@ def frequent(docs: DataFrame, scratch: Scratch, least: int, most: int, shard_wor
 
     every = scratch.write(counted(_singles))
     n = every.groupBy("lang").agg(F.sum("f").alias("n"))
-    found = [every.where(F.col("f") >= least).withColumn("words", F.lit(1))]
-    words = spark.sparkContext.broadcast(bitmap(found[0].select(hashed(F.col("lang"), F.col("phrase")).alias("h"))))
-
-    def two(shard: Shard) -> Iterator[tuple]:
-        seq = frequent_words(shard, words.value)
-        yield from ((k, seq, at, times) for k, at, times in intervals(seq, 2, 2))
-
-    pair = scratch.write(counted(two).where(F.col("f") >= least).withColumn("words", F.lit(2)))
-    found.append(pair)
-    if most > 2:
-        first, second = (hashed(F.col("lang"), F.split("phrase", " ")[i]) for i in (0, 1))
-        turned = F.shiftleft(first, 1).bitwiseOR(F.shiftrightunsigned(first, 63))
-        pairs = spark.sparkContext.broadcast(bitmap(pair.select(turned.bitwiseXOR(second).alias("h"))))
-
-        def more(shard: Shard) -> Iterator[tuple]:
-            seq = frequent_pairs(shard, words.value, pairs.value)
-            yield from ((k, seq, at, times) for k, at, times in intervals(seq, 3, most))
-
-        longer = counted(more).where(F.col("f") >= least)
-        found.append(scratch.write(longer.withColumn("words", F.size(F.split("phrase", " ")))))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out, n
+    single = every.where(F.col("f") >= least).withColumn("words", F.lit(1))
+    words = spark.sparkContext.broadcast(bitmap(single.select(hashed(F.col("lang"), F.col("phrase")).alias("h"))))
+    pair = rows.mapInArrow(counting_pairs(words, shard_words), "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    pairs = spark.sparkContext.broadcast(bitmap(pair.where(F.col("f") >= least).select("h")))
+
+    def several(shard: Shard) -> Iterator[tuple]:
+        seq = frequent_pairs(shard, words.value, pairs.value)
+        yield from ((k, seq, at, times) for k, at, times in intervals(seq, 2, most))
+
+    longer = counted(several).where(F.col("f") >= least).withColumn("words", F.size(F.split("phrase", " ")))
+    return single.unionByName(scratch.write(longer)), n
 
 
 def scored(phrases: DataFrame, n: DataFrame) -> DataFrame:
