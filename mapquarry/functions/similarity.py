@@ -81,3 +81,10 @@ def _batch(a: pd.Series, b: pd.Series) -> pd.Series:
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Arrow-batched, as Spark has no built-in; apply it behind the cheap filters."""
     return F.pandas_udf(_batch, "double")(a, b)
+
+
+def letters(name: Column) -> Column:
+    """The name's letters as tokens: a letter with how often it stood before, so that shared tokens count shared letters."""
+    chars = F.split(F.trim(name), "")
+    plain = F.filter(chars, lambda c: c != "")
+    return F.transform(plain, lambda c, i: F.concat(c, F.size(F.filter(F.slice(plain, 1, i), lambda d: d == c)).cast("string")))

@@ -476,10 +476,9 @@ SQL["search_by_label"] = graph("""SELECT 'Topic' AS label, id FROM topic WHERE c
 @query
 def vector_candidates(c: Catalog) -> DataFrame:
     """Index scores (1 + cosine) / 2 over a threshold, 25 at most."""
-    from .queries import probe
-
     nodes = c.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return R.vector_candidates(nodes, probe(c), 25, 0.55)
+    asked = nodes.where("id = 0").select("embedding").limit(1).collect()
+    return R.vector_candidates(nodes, asked[0][0], 25, 0.55) if asked else nodes.select("id", F.lit(0.0).alias("score")).limit(0)
 
 
 SQL["vector_candidates"] = """SELECT id, score FROM (SELECT vec_id AS id, round((1 + list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))) / 2, 6) AS score FROM embeddings)

@@ -11,10 +11,11 @@ from pyspark.sql.window import Window
 from ..functions import geo, times, urls
 from ..functions import similarity as M
 from ..functions import text as X
-from ..operators import evaluate, evidence, lexical, providers, sessions, tables, topics
+from ..operators import evaluate, evidence, lexical, names, providers, sessions, tables, topics
 from ..operators import merges as MG
 from ..operators import retrieve as R
 from ..operators import searchindex as SI
+from ..operators import vectorindex as VI
 from . import discover as D
 from .catalog import Catalog
 
@@ -28,6 +29,10 @@ def query(f):
     return f
 
 
+def fresh(c: Catalog, name: str) -> str:
+    return f"{tables.shared_root(c.spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def six(c):
     return F.round(c, 6)
 
@@ -143,23 +148,22 @@ def token_jaccard(c: Catalog) -> DataFrame:
 
 @query
 def jaro_winkler_gate(c: Catalog) -> DataFrame:
-    """Every topic name asked against all topic names, in blocks; scores of at least 0.9, where both engines' forms agree.
-
-    No shared token or letter is a bound for this similarity, so nothing is blocked by a key.
-    """
+    """Topic names that score at least 0.9, found by the letters that such names must share; both engines' forms agree there."""
     t = c.topic.select(F.col("name").alias("a"))
-    pairs = R.in_blocks(t, t.withColumnRenamed("a", "b"), "a", "b").where("a < b")
-    return pairs.select("a", "b", six(M.jaro_winkler(F.col("a"), F.col("b"))).alias("score")).where("score >= 0.9")
+    return names.alike(t, t.withColumnRenamed("a", "b"), 0.9, within=True)
 
 
-def probe(c: Catalog) -> list[float]:
-    return list(c.table("embeddings").where("vec_id = 0").select("embedding").first()[0])
+@query
+def pending_names_alike(c: Catalog) -> DataFrame:
+    """Pending names and topic names that score at least 0.8."""
+    return names.alike(c.pending.select(F.col("canonical").alias("a")), c.topic.select(F.col("name").alias("b")), 0.8)
 
 
 @query
 def cosine_topk(c: Catalog) -> DataFrame:
-    e, q = c.table("embeddings"), F.array(*[F.lit(float(x)) for x in probe(c)])
-    scored = e.select("vec_id", six(M.cosine(F.col("embedding"), q)).alias("score"))
+    e = c.table("embeddings")
+    q = e.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
+    scored = e.join(F.broadcast(q)).select("vec_id", six(M.cosine(F.col("embedding"), F.col("q"))).alias("score"))
     return scored.orderBy(F.desc("score"), "vec_id").limit(10)
 
 
@@ -177,6 +181,14 @@ def cosine_topk_per_query(c: Catalog) -> DataFrame:
     return neighbours(c, 5)
 
 
+@query
+def vector_index_topk(c: Catalog) -> DataFrame:
+    """Ten neighbours of each vector whose id is divisible by 100, by an index over all vectors; ``cosine_topk_per_query`` is the exact way."""
+    e = c.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = VI.build(e, fresh(c, "vectors"))
+    return index.search(e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), e, 10).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+
+
 @query
 def bm25_topk(c: Catalog) -> DataFrame:
     docs = c.table("documents").select("doc_id", "text")
@@ -184,10 +196,6 @@ def bm25_topk(c: Catalog) -> DataFrame:
     return lexical.bm25(docs, asked, 5).select("query_id", "doc_id", "score")
 
 
-def fresh(c: Catalog, name: str) -> str:
-    return f"{tables.shared_root(c.spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def topic_fulltext(c: Catalog) -> DataFrame:
     """The eight topics that an index over name, canonical name and aliases finds for each pending name; the alias is the noun first."""

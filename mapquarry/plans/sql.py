@@ -62,12 +62,13 @@ MERGES = "(SELECT src, dst FROM (SELECT id AS src, lead(id) OVER (PARTITION BY s
 SIMILAR = """alike AS (SELECT *, len(list_intersect(a, b)) / len(list_distinct(a || b))::DOUBLE AS jaccard FROM
   (SELECT canonical, string_split(canonical, ' ') AS a FROM (SELECT DISTINCT canonical FROM pending)) JOIN (SELECT id AS topic, string_split(id, ' ') AS b FROM topic) ON len(list_intersect(a, b)) / len(list_distinct(a || b))::DOUBLE >= 0.6::DOUBLE)"""
 # Jaro-Winkler letter by letter: transpositions are halves here, which the engine's own function rounds down.
-RESOLVED = f"""hit AS (SELECT canonical, arg_min(topic, (-jaccard, topic)) AS topic FROM alike GROUP BY 1),
-letters AS (SELECT canonical AS a, topic AS b, greatest(0, greatest(length(canonical), length(topic)) // 2 - 1) AS reach, 1 AS i, []::BIGINT[] AS used, '' AS mine FROM hit
+JARO = """letters AS (SELECT canonical AS a, topic AS b, greatest(0, greatest(length(canonical), length(topic)) // 2 - 1) AS reach, 1 AS i, []::BIGINT[] AS used, '' AS mine FROM hit
   UNION ALL SELECT a, b, reach, i + 1, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END, CASE WHEN j IS NULL THEN mine ELSE mine || substr(a, i, 1) END FROM
   (SELECT *, list_filter(range(greatest(1, i - reach), least(length(b), i + reach) + 1), lambda x: substr(b, x, 1) = substr(a, i, 1) AND NOT list_contains(used, x))[1] AS j FROM letters WHERE i <= length(a))),
 jaro AS (SELECT a, b, CASE WHEN m = 0 THEN 0.0 ELSE (m / length(a) + m / length(b) + (m - t) / m) / 3.0::DOUBLE END AS jaro, CASE WHEN substr(a, 1, 4) = substr(b, 1, 4) THEN 4 WHEN substr(a, 1, 3) = substr(b, 1, 3) THEN 3 WHEN substr(a, 1, 2) = substr(b, 1, 2) THEN 2 WHEN substr(a, 1, 1) = substr(b, 1, 1) THEN 1 ELSE 0 END AS front
-  FROM (SELECT a, b, len(used)::DOUBLE AS m, len(list_filter(range(1, len(used) + 1), lambda k: substr(mine, k, 1) <> substr(b, list_sort(used)[k], 1))) / 2.0::DOUBLE AS t FROM letters WHERE i = length(a) + 1)),
+  FROM (SELECT a, b, len(used)::DOUBLE AS m, len(list_filter(range(1, len(used) + 1), lambda k: substr(mine, k, 1) <> substr(b, list_sort(used)[k], 1))) / 2.0::DOUBLE AS t FROM letters WHERE i = length(a) + 1))"""
+RESOLVED = f"""hit AS (SELECT canonical, arg_min(topic, (-jaccard, topic)) AS topic FROM alike GROUP BY 1),
+{JARO},
 resolved AS (SELECT canonical, freq, CASE WHEN canonical IN (SELECT id FROM topic) THEN canonical WHEN ok THEN topic END AS topic, CASE WHEN canonical IN (SELECT id FROM topic) THEN 'existing' WHEN ok THEN 'decide' ELSE 'create' END AS action
   FROM (SELECT f.canonical, f.freq, hit.topic, coalesce(freq >= 5 AND jaro + front * 0.1::DOUBLE * (1 - jaro) >= 0.9::DOUBLE, false) AS ok FROM {FREQ} f LEFT JOIN hit USING (canonical) LEFT JOIN jaro ON a = canonical AND b = topic))"""
 FINAL = f"""walk AS (SELECT src, dst, 1 AS d FROM {MERGES} UNION ALL SELECT w.src, m.dst, d + 1 FROM walk w JOIN {MERGES} m ON w.dst = m.src WHERE d < 40),
@@ -192,6 +193,10 @@ SQL: dict[str, str] = {
     "lexical_score": graph("""SELECT id, round(least(1.0::DOUBLE, len(list_intersect(q, c)) / len(list_distinct(q || c))::DOUBLE + CASE WHEN starts_with(name, 'red widget new') OR starts_with('red widget new', name) THEN 0.2 WHEN contains(name, 'red widget new') OR contains('red widget new', name) THEN 0.15 ELSE 0.0 END::DOUBLE), 6) AS score
         FROM (SELECT id, name, string_split(name, ' ') AS c, ['red', 'widget', 'new'] AS q FROM topic)"""),
     "token_jaccard": graph("SELECT canonical, round(len(list_intersect(string_split(canonical, ' '), ['economy', 'red', 'widget'])) / len(list_distinct(string_split(canonical, ' ') || ['economy', 'red', 'widget']))::DOUBLE, 6) AS score FROM (SELECT DISTINCT canonical FROM pending)"),
+    "pending_names_alike": graph(
+        "SELECT a, b, round(jaro + front * 0.1::DOUBLE * (1 - jaro), 6) AS score FROM jaro WHERE round(jaro + front * 0.1::DOUBLE * (1 - jaro), 6) >= 0.8::DOUBLE",
+        "hit AS (SELECT DISTINCT canonical, topic.id AS topic FROM pending, topic)", JARO, recursive=True,
+    ),
     "jaro_winkler_gate": graph("SELECT a.name AS a, b.name AS b, round(jaro_winkler_similarity(a.name, b.name), 6) AS score FROM topic a JOIN topic b ON a.name < b.name WHERE round(jaro_winkler_similarity(a.name, b.name), 6) >= 0.9"),
     "cosine_topk": "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10",
     "cosine_topk_per_query": f"WITH {NEAR} SELECT query_id, vec_id, score, rank::INT AS rank FROM near",
