@@ -44,7 +44,8 @@ class Words:
     """Ids by words between ASCII white space; equal to the tokenizer's own ids for whole texts.
 
     The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are its
-    words' ids in turn; marks behind a word of letters are a token run of their own.
+    words' ids in turn; marks behind a word are a token run of their own if its last character, as the tokenizer
+    normalises it, is a letter to it.
     """
 
     def __init__(self, path: str):
@@ -59,6 +60,15 @@ class Words:
         for token, i in vocab.items():
             self.ends[i] = token.removesuffix("</w>")[-1:] in (".", "!", "?", "…")
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[str, bool] = {}
+
+    def _letter(self, char: str) -> bool:
+        """Whether marks behind this character are a run of their own; asked once a character."""
+        if char not in self.letters:
+            plain = self.tokenizer.normalizer.normalize_str(char)
+            runs = self.tokenizer.pre_tokenizer.pre_tokenize_str(plain + ",") if plain else []
+            self.letters[char] = len(runs) > 1 and len(plain) == 1 and runs[-1][1] == (len(plain), len(plain) + 1)
+        return self.letters[char]
 
     def _encode(self, text: str) -> list[int]:
         """The tokenizer's ids, without the offsets that it also finds for single texts."""
@@ -95,7 +105,7 @@ class Words:
             stems = {}
             for w in new:
                 stem = w.rstrip(MARKS)
-                if len(stem) < len(w) and stem.decode("utf-8", "surrogatepass").isalpha():
+                if len(stem) < len(w) and (word := stem.decode("utf-8", "surrogatepass")).isalpha() and self._letter(word[-1]):
                     stems[w] = (stem, w[len(stem) :])
             parts = (new - stems.keys()).union(*stems.values()).difference(self.known)
             self._learn(sorted(parts))
