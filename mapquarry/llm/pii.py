@@ -146,13 +146,15 @@ def _phone(m: Column, key: Column) -> Column:
 def _phone_world(m: Column, key: Column) -> Column:
     """Country code, separators, a trunk zero and the first national digit (the number plan's kind) stay.
 
-    A number has 7 to 15 digits and at least 4 of them after those that stay.
+    A number has 7 to 15 digits and at least 4 of them after those that stay. A North American number is the same
+    value with and without its +1 and separators, so it goes the way of those.
     """
     digits = only(m, "[^0-9]")
+    american = m.startswith("+") & digits.rlike("^1[2-9][0-9]{2}[2-9][0-9]{6}$")
     head = F.regexp_extract(digits, rf"^(?:{CODES}|[0-9]{{3}})0?[0-9]", 0)
     tail = F.substr(digits, F.length(head) + 1, F.length(digits))
     good = F.length(digits).between(7, 15) & (F.length(head) > 0) & (F.length(tail) >= 4)
-    return F.when(good, refill(m, "0-9", F.concat(head, permute(tail, 10, key, "world")))).otherwise(m)
+    return F.when(american, _phone(m, key)).when(good, refill(m, "0-9", F.concat(head, permute(tail, 10, key, "world")))).otherwise(m)
 
 
 def _ssn(m: Column, key: Column) -> Column:
@@ -175,7 +177,11 @@ def _ip(m: Column, key: Column) -> Column:
 
 
 def _date(m: Column, key: Column) -> Column:
-    """Calendar dates of 1700-2099 with the year first or last; of two readings day first is tried last."""
+    """Calendar dates of 1700-2099 with the year first or last; of two readings day first is tried last.
+
+    Separators, order and leading zeros stay. A day or month written with one digit gets a second one where the new date
+    needs it: all spellings of a date are one value, which comes before the width.
+    """
     p = F.split(m, "[-/.]")
     year_first = F.length(p[0]) == 4
     y = F.when(year_first, p[0]).otherwise(p[2]).cast("int")
