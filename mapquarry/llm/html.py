@@ -3,14 +3,17 @@
 Pass 1 labels blocks by link density, stop-word density and length: good, bad, or undecided when
 too short or too mixed to tell. Where a block stands is a feature of these rules: an article, main
 or content-named container lowers the density a block needs and text outside it needs more;
-page furniture (navigation, forms, comments) is bad. Pass 2 gives undecided blocks the label of the
+page furniture (navigation, forms, comments) is bad. An element whose class or id merely contains a furniture word
+(no-sidebar, has-comments) is furniture too, unless the page's good text is inside it. Pass 2 gives undecided blocks the label of the
 nearest decided neighbours, first those of the same section of the page.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,13 +58,18 @@ HEAD_PARTS = frozenset("base link meta noscript script style template title".spl
 #: Pass 1: shares of linked text and of stop words, and lengths in characters.
 LINKS_MOST, STOP_LOW, STOP_HIGH, SHORT, LONG = 0.5, 0.15, 0.28, 70, 200
 
+#: Quotes count only behind an equals sign; nothing is tried twice, so a page of any kind is scanned in one go.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)(?:>|\Z)",
+    re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_ATTRIBUTE = re.compile(r"(?<![^\s/\"'>])([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
 _HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
 _NOTICE = re.compile(r"\s*(?:©|\(c\)|copyright\b)", re.I)
 _NAME = re.compile(r"[a-z]+")
+#: Good text outside the elements that only contain a furniture word, as a share of what the greatest holds, that shows them to be furniture.
+OUTSIDE = 0.1
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -73,19 +81,28 @@ class Block:
     furniture: bool
     content: int  # 3 in an article element, 2 in main, 1 in a container named like content, 0 elsewhere
     heading: bool = False
+    mark: int = 0  # innermost open element whose name contains a furniture word, 0 for none
     label: str = ""
     rule: str = ""  # what decided: links, place, notice, density, length, neighbour or default
 
 
+def names(attributes: str) -> list[str]:
+    """Classes and ids in lower case."""
+    return [x for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for x in (a or b or c).lower().split()]
+
+
 def named(attributes: str, marks: frozenset[str]) -> bool:
-    return any(
-        name.lower() in ("class", "id") and not marks.isdisjoint(_NAME.findall((a or b or c).lower())) for name, a, b, c in _ATTRIBUTE.findall(attributes)
-    )
+    return any(not marks.isdisjoint(_NAME.findall(x)) for x in names(attributes))
+
 
+def marks_furniture(element: str, attributes: str) -> bool:
+    """Whether an element is furniture by its role, because it is hidden, or because a class or id is a furniture word.
 
-def marks_furniture(attributes: str) -> bool:
-    if named(attributes, MARKS):
-        return True
+    An article's classes often list its topics; it is furniture only if one begins with such a word (comment-body).
+    """
+    for x in names(attributes):
+        if x in MARKS or element in CONTENT and _NAME.findall(x)[:1] and _NAME.findall(x)[0] in MARKS:
+            return True
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "role" and value.strip() in ROLES or name == "aria-hidden" and value == "true":
@@ -93,6 +110,38 @@ def marks_furniture(attributes: str) -> bool:
     return name_is_hidden(attributes)
 
 
+def settle(found: list[Block], parents: list[int]) -> None:
+    """Decide which elements whose names contain a furniture word are furniture: not those around the page's good text.
+
+    From outside in, the one with most good text is let go while hardly any stands outside of all.
+    """
+    level = max((b.content for b in found if not b.furniture), default=0)
+    judged = [first_pass(b, level) for b in found]
+    good = [len(b.text) * (label == "good") for b, (label, _) in zip(found, judged, strict=True)]
+    if not any(good):
+        good = [len(b.text) * (rule not in ("links", "place", "notice")) for b, (_, rule) in zip(found, judged, strict=True)]
+    own = [0] * len(parents)
+    for b, n in zip(found, good, strict=True):
+        own[b.mark] += n
+    within = list(own)
+    below: list[list[int]] = [[] for _ in parents]
+    for i in range(len(parents) - 1, 0, -1):
+        below[parents[i]].append(i)
+        if parents[i]:
+            within[parents[i]] += within[i]
+    outside, let_go = own[0], {0}
+    heap = [(-within[i], i) for i in below[0]]
+    heapq.heapify(heap)
+    while heap and outside < -OUTSIDE * heap[0][0]:
+        _, i = heapq.heappop(heap)
+        let_go.add(i)
+        outside += own[i]
+        for j in below[i]:
+            heapq.heappush(heap, (-within[j], j))
+    for b in found:
+        b.furniture = b.furniture or b.mark not in let_go
+
+
 def name_is_hidden(attributes: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", attributes, re.I)) if "hidden" in attributes or "display" in attributes else False
 
@@ -100,7 +149,9 @@ def name_is_hidden(attributes: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, with the share of linked text and the kind of place they stand in."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # name, hidden, furniture, content
+    stack: list[tuple[str, bool, bool, int, int]] = []  # name, hidden, furniture, content, mark
+    opened: Counter[str] = Counter()
+    parents = [0]  # of each mark
     parts: list[str] = []
     linked = section = 0
     anchor: int | None = None  # depth of the stack at the open link
@@ -109,11 +160,16 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text and not (stack and stack[-1][1]):
-            top = stack[-1] if stack else ("", False, False, 0)
-            out.append(Block(text, linked, section, top[2], top[3], any(x[0] in HEADINGS for x in stack[-2:])))
+            top = stack[-1] if stack else ("", False, False, 0, 0)
+            out.append(Block(text, linked, section, top[2], top[3], any(x[0] in HEADINGS for x in stack[-2:]), top[4]))
         parts.clear()
         linked = 0
 
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     at, size = 0, len(page)
     while at <= size:
         m = _TOKEN.search(page, at)
@@ -134,25 +190,25 @@ def blocks(page: str) -> list[Block]:
                 close()
             if name == "a":
                 anchor = None
-            if any(s[0] == name for s in stack):
-                was = stack[-1][2]
-                while stack.pop()[0] != name:
+            if opened[name]:
+                was = stack[-1][2], stack[-1][4]
+                while pop() != name:
                     pass
-                section += was != bool(stack and stack[-1][2])
+                section += was != ((stack[-1][2], stack[-1][4]) if stack else (False, 0))
                 if anchor is not None and len(stack) < anchor:
                     anchor = None
                 if name in FURNITURE or name in CONTENT or name == "section":
                     section += 1
             continue
         if stack and stack[-1][0] == "head" and name not in HEAD_PARTS:
-            stack.pop()
+            pop()
         if name == "br":
             parts.append(" ")
             continue
         if name in BLOCK:
             close()
             if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
+                pop()
                 if anchor is not None and len(stack) < anchor:
                     anchor = None
         if name in FURNITURE or name in CONTENT or name == "section":
@@ -166,14 +222,22 @@ def blocks(page: str) -> list[Block]:
         if name == "a":
             anchor = len(stack) if _HREF.search(m[3]) else None
             continue
-        up = stack[-1] if stack else ("", False, False, 0)
-        content = max(up[3], CONTENT.get(name, 0), int(name not in ("body", "html") and named(m[3], CONTENT_MARKS)))
+        up = stack[-1] if stack else ("", False, False, 0, 0)
+        page_itself = name in ("body", "html")
+        content = max(up[3], CONTENT.get(name, 0), int(not page_itself and named(m[3], CONTENT_MARKS)))
         # a header inside an article is its title; elsewhere it is the site's
-        furniture = up[2] or name in FURNITURE and not (name == "header" and content > 1) or name not in ("body", "html") and marks_furniture(m[3])
+        furniture = up[2] or name in FURNITURE and not (name == "header" and content > 1) or not page_itself and marks_furniture(name, m[3])
+        mark = up[4]
+        if not furniture and not page_itself and name not in CONTENT and named(m[3], MARKS):
+            parents.append(mark)
+            mark = len(parents) - 1
         if name in BLOCK or name in HIDDEN or name in FURNITURE:
-            section += furniture != up[2]
-            stack.append((name, up[1] or name in HIDDEN, furniture, content))
+            section += (furniture, mark) != (up[2], up[4])
+            stack.append((name, up[1] or name in HIDDEN, furniture, content, mark))
+            opened[name] += 1
     close()
+    if len(parents) > 1:
+        settle(out, parents)
     return out
 
 
@@ -185,12 +249,12 @@ def stop_share(text: str) -> float:
 def first_pass(b: Block, level: int) -> tuple[str, str]:
     """Label and rule. ``level`` is the best content level on the page, 0 if no container is named.
 
-    Inside content few stop words make a block good, and a long one without them stays undecided;
-    outside an article or main element even prose is at most undecided.
+    Inside content few stop words make a block good, and a long one without them stays undecided, as does a linked one
+    of an article (its sources); outside an article or main element even prose is at most undecided.
     """
     size, inside = len(b.text), bool(level) and b.content >= level
     if b.linked > LINKS_MOST * size:
-        return "bad", "links"
+        return ("", "") if inside and level > 1 and not b.furniture else ("bad", "links")
     if b.furniture:
         return "bad", "place"
     if not inside and size < LONG and _NOTICE.match(b.text):
