@@ -4,10 +4,13 @@
    of 0.8 fingerprints differ in about ten bits, more than can be probed, so bands of minima of the
    hashed shingles name the others; rows that share a band are joined, and the components of all
    these links are the only places where links can be.
-2. A component goes to cells of bounded size. One of several tiles is dealt to them at random first, twice;
+2. A component of several tiles may be texts that share no more than a passage, so it is formed anew by a prefix filter:
+   rows of similarity 0.8 share one of the fifth of their shingles that comes first in any order, and with
+   rare shingles first a common passage comes last. Texts that only share it then have nothing in common.
+3. A component goes to cells of bounded size. One of several tiles is dealt to them at random first, twice;
    rows that turn out linked are a class, and classes that fill several tiles need no comparison within.
    Then cells hold each two of a component's other rows together at least once.
-3. A cell intersects the whole shingle sets of its rows and returns a spanning forest of the pairs
+4. A cell intersects the whole shingle sets of its rows and returns a spanning forest of the pairs
    whose similarity reaches the threshold, in whole numbers.
 """
 
@@ -35,6 +38,9 @@ BANDS, ROWS = 30, 5
 TILE, TILE_CHARS = 384, 2 << 20
 #: Band values that one task groups.
 GROUP_ROWS = 500_000
+#: Bits of a shingle that name its slot in the table of how common shingles are (a byte a slot, 1 MB). Any table keeps
+#: all links; a good one keeps candidates few.
+SLOTS = 20
 _RNG = np.random.default_rng(SEED)
 _MUL = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -68,6 +74,56 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(vals.view(np.int64))], ["key", "val"])
 
 
+def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles one of which any set of similarity ``LEAST / OF`` shares: the first by how common their slots are."""
+    n = len(shingles) - -(-LEAST * len(shingles) // OF) + 1
+    order = np.argsort(common[(shingles >> np.uint64(64 - SLOTS)).astype(np.int64)], kind="stable")  # ties by hash
+    return shingles[order[:n]]
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            found = np.concatenate([shingle_set(t) for t in b.column(1).to_pylist()])
+            slot, n = np.unique((found >> np.uint64(64 - SLOTS)).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
+
+
+def _prefixes(common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                found = [prefix(shingle_set(t), common.value) for t in b.column(1).to_pylist()]
+                keys = np.repeat(b.column(0).to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(found).view(np.int64))], ["key", "val"])
+
+    return run
+
+
+def sharing(values: DataFrame, scratch: Scratch, tasks: int) -> DataFrame:
+    """``values(key, val)`` -> links (a, b) of each row with the first that has the same value."""
+    shared = scratch.write(values.repartition(tasks, "val").groupBy("val").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("val", "first"))
+    return values.join(small(shared), "val").select(F.col("key").alias("a"), F.col("first").alias("b"))
+
+
+def refined(rows: DataFrame, held: DataFrame, scratch: Scratch, tile: int, width: int) -> DataFrame:
+    """``held(key, root, chars)`` with its components of several tiles formed anew by the prefix filter; rows left alone go."""
+    sizes = scratch.write(held.groupBy("root").agg(_tiles(tile, F.lit(True)).alias("tiles")).where("tiles > 1").select("root"))
+    if sizes.isEmpty():
+        return held
+    crowded = scratch.write(held.join(small(sizes), "root", "left_semi"))
+    texts = rows.join(small(crowded.select("key")), "key", "left_semi")
+    slots = texts.mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    common = np.zeros(1 << SLOTS, np.uint8)
+    for r in slots.select("slot", F.floor(F.log2("n")).cast("int").alias("n")).toLocalIterator():
+        common[r["slot"]] = r["n"] + 1
+    values = scratch.write(texts.mapInArrow(_prefixes(rows.sparkSession.sparkContext.broadcast(common)), "key long, val long"))
+    anew = _with_roots(components(sharing(values, scratch, max(width, values.count() // GROUP_ROWS)), scratch), scratch)
+    scratch.drop(values)
+    again = crowded.drop("root").join(small(anew), "key").select(*held.columns)
+    return scratch.write(held.join(small(sizes), "root", "left_anti").unionByName(again))
+
+
 def linked_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of sets that reach the threshold."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -113,13 +169,11 @@ def near_components(rows: DataFrame, scratch: Scratch, tile: int = TILE) -> Data
     rows = rows.select(F.col("key").cast("long"), F.col("text").cast("string"))
     bands = scratch.write(rows.mapInArrow(_bands, "key long, val long"))
     # almost all values differ, so they are dealt once, to tasks of bounded size, and not counted before
-    tasks = max(width, bands.count() // GROUP_ROWS)
-    shared = scratch.write(bands.repartition(tasks, "val").groupBy("val").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("val", "first"))
-    banded = bands.join(small(shared), "val").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    banded = sharing(bands, scratch, max(width, bands.count() // GROUP_ROWS))
     stars = _with_roots(components(banded.unionByName(candidates(rows, scratch, WORDS)), scratch), scratch)
     scratch.drop(bands)
     held = rows.select("key", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(small(stars), "key")
-    held = scratch.write(held)
+    held = refined(rows, scratch.write(held), scratch, tile, width)
     sizes = small(scratch.write(held.groupBy("root").agg(_tiles(tile, F.lit(True)).alias("tiles"))))
     placed = held.join(sizes, "root")
     first = _cell_links(rows, _two_deals(placed.where("tiles > 1")), scratch)

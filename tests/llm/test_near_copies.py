@@ -92,3 +92,34 @@ def test_a_group_of_copies_costs_a_few_cells_a_row(spark):
         shingles._cell_links = deal
     assert len(got) == 600 and {r.root for r in got} == {0}
     assert sent[0] == 1200 and sent[1] < 4 * 600
+
+
+def test_texts_with_one_passage_in_common_are_not_compared(spark):
+    """1,200 texts, half of each the same passage and none a near copy, next to two pairs of copies: hardly a cell is dealt."""
+    rng = random.Random(11)
+    passage = words(rng, 100)
+    texts = [" ".join(words(rng, 25) + passage + words(rng, 65)) for _ in range(1200)]
+    texts[700], texts[900] = texts[3] + " more", texts[4] + " more"
+    sent = []
+    deal, shingles._cell_links = shingles._cell_links, lambda rows, dealt, s: (sent.append(dealt.count()), deal(rows, dealt, s))[1]
+    try:
+        got = shingles.near_components(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), Scratch(spark, "test"), 20).collect()
+    finally:
+        shingles._cell_links = deal
+    assert {(r.key, r.root) for r in got} == {(3, 3), (700, 3), (4, 4), (900, 4)}
+    assert sum(sent) < 100
+
+
+def test_any_two_sets_of_similarity_0_8_share_a_prefix():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for size in [*range(1, 30), 100, 301]:
+        common = rng.integers(0, 5, 1 << shingles.SLOTS).astype(np.uint8)
+        one = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+        for keep in range(len(one) + 1):
+            for more in {0, 1, len(one) // 8}:
+                two = np.unique(np.concatenate([one[:keep], rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
+                shared = len(np.intersect1d(one, two))
+                if len(two) and 5 * shared >= 4 * (len(one) + len(two) - shared):
+                    assert len(np.intersect1d(shingles.prefix(one, common), shingles.prefix(two, common)))
