@@ -124,7 +124,8 @@ def selections(c: Column) -> Column:
 
 #: Elements whose content isn't shown, tags that end a line, references in the order they are decoded.
 HIDDEN = ("script", "style")
-ENDS_LINE = "br br/ hr hr/ /p /div /dt /dd /li /h1 /h2 /h3 /h4 /h5 /h6 /pre".split()
+ENDS_LINE = "/p /div /dt /dd /li /h1 /h2 /h3 /h4 /h5 /h6 /pre".split()
+RULES = "^[bh]r\\s*/?$"
 REFERENCES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"}
 
 
@@ -132,19 +133,22 @@ def html_to_text(c: Column) -> Column:
     """Visible text with block ends as line ends and the six common references decoded.
 
     A page without its hidden elements is split where tags may end. Each piece is text up to its first
-    ``<`` and a tag behind it, which becomes a line end or nothing; a piece without a tag keeps its ``>``.
+    ``<`` and a tag behind it, which becomes a line end or nothing; a piece without a tag keeps its ``>``. The
+    pieces are bound once, so the work grows with the page's length.
     """
     shown = F.regexp_replace(c, f"(?is)<({'|'.join(HIDDEN)})[^>]*>.*?</\\1>", " ")
-    pieces = F.split(shown, ">", -1)
 
-    def visible(piece: Column, i: Column) -> Column:
+    def visible(piece: Column) -> Column:
         at = F.instr(piece, "<")
-        tag = F.regexp_replace(F.lower(F.substr(piece, at + 1, F.length(piece))), "\\s+(?=/?$)", "")
-        line = F.when(tag.isin(*ENDS_LINE) | tag.startswith("pre"), "\n").otherwise("")
-        text = F.when(at.between(1, F.length(piece) - 1), F.concat(F.substr(piece, F.lit(1), at - 1), line)).otherwise(F.concat(piece, F.lit(">")))
-        return F.when(i == F.size(pieces) - 1, piece).otherwise(text)
+        tag = F.lower(F.substr(piece, at + 1, F.length(piece)))
+        line = F.when(tag.isin(*ENDS_LINE) | tag.startswith("pre") | tag.rlike(RULES), "\n").otherwise("")
+        return F.when(at.between(1, F.length(piece) - 1), F.concat(F.substr(piece, F.lit(1), at - 1), line)).otherwise(F.concat(piece, F.lit(">")))
 
-    text = reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), REFERENCES.items(), F.array_join(F.transform(pieces, visible), ""))
+    def joined(pieces: Column) -> Column:
+        return F.concat(F.array_join(F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), visible), ""), F.element_at(pieces, -1))
+
+    whole = F.transform(F.array(F.split(shown, ">", -1)), joined)[0]
+    text = reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), REFERENCES.items(), whole)
     return F.trim(F.regexp_replace(text, "[\\t\\x0B\\f\\r\\n]+", "\n"), F.lit(" \n"))
 
 

@@ -97,3 +97,20 @@ def test_labels(spark):
         b=text.label_block(body, "abstract:", ["Purpose:"]), n=text.label_value(body, "Nothing:"),
     )
     assert r == {"t": "My map", "all": ["a", "b"], "w": -1000.5, "b": "Long text here", "n": None}
+
+
+def test_html_to_text_grows_with_the_page_and_knows_its_tags(spark):
+    import time
+
+    def took(n):
+        page = spark.createDataFrame([("<p>ab</p>" * n,)], "html string").repartition(1).cache()
+        page.count()
+        began = time.time()
+        assert page.select(text.html_to_text(F.col("html")).alias("t")).first()["t"] == "\n".join(["ab"] * n)
+        return time.time() - began
+
+    took(10)
+    assert took(8_000) < 2 and took(64_000) < 8
+    pages = [("a</p >b", "ab"), ("a<br />b<HR>c<br\t/>d", "a\nb\nc\nd"), ("a<pre x>b</pre>c", "a\nb\nc"), ("1 > 0<b>x</b>", "1 > 0x"), ("<>a", "<>a"), ("", ""), (None, None), ("a<script>x</script >b</script>c", "a c")]
+    got = spark.createDataFrame([(h,) for h, _ in pages], "html string").select("html", text.html_to_text(F.col("html")).alias("t")).collect()
+    assert [r["t"] for r in got] == [t for _, t in pages]
