@@ -15,7 +15,7 @@ from ..functions import text as X
 from ..functions import times, urls
 from ..operators import retrieve as R
 from ..operators import sessions, tables
-from ..sources import ckan, fgdc, stac
+from ..sources import ckan, fgdc, paged, stac
 from .catalog import Catalog
 from .queries import found, query, six, topic_links
 from .sql import F1, LINKS, SQL, graph
@@ -61,6 +61,29 @@ def packages(c: Catalog) -> DataFrame:
     return ckan.read(c.spark, land(c, rows, "json"), lines=True)
 
 
+@query
+def ckan_pages(c: Catalog) -> DataFrame:
+    """Datasets of a paged search of 40 a page, landed as a crawl leaves them, with an empty page behind the end."""
+    o = c.table("orders")
+    n = o.agg(F.count("*").alias("count"))
+    start = F.expr("o_orderkey div 40 * 40").alias("start")
+    package = F.struct(F.concat(F.lit("ds-"), "o_orderkey").alias("id"), F.concat_ws(" ", F.lit("order"), "o_orderkey").alias("title"))
+    found = o.groupBy(start).agg(F.sort_array(F.collect_list(package)).alias("results"))
+    answer = lambda rows: F.to_json(F.struct(F.struct("count", rows.alias("results")).alias("result"))).alias("value")
+    pages = found.join(F.broadcast(n)).select("start", answer(F.col("results")))
+    nothing = F.slice(F.array(package), 1, 0)
+    behind = n.withColumn("o_orderkey", F.lit(0).cast("long")).select(F.col("count").alias("start"), answer(nothing))
+    path = f"{tables.shared_root(c.spark)}/pages-{uuid.uuid4().hex}"
+    pages.unionByName(behind).write.partitionBy("start").text(path)
+    read = paged.crawled(paged.scan(c.spark, path))
+    found_ = F.from_json("package", "id string, title string")
+    return read.select("start", "place", found_["id"].alias("id"), found_["title"].alias("title"))
+
+
+SQL["ckan_pages"] = """SELECT o_orderkey // 40 * 40 AS start, row_number() OVER (PARTITION BY o_orderkey // 40 ORDER BY 'ds-' || o_orderkey) - 1 AS place,
+  'ds-' || o_orderkey AS id, 'order ' || o_orderkey AS title FROM orders"""
+
+
 @query
 def ckan_space_time(c: Catalog) -> DataFrame:
     env = ckan.envelope(packages(c))
