@@ -16,6 +16,8 @@ from ..operators import merges as MG
 from ..operators import retrieve as R
 from ..operators import searchindex as SI
 from ..operators import vectorindex as VI
+from ..sources import sinks
+from ..streaming import states
 from . import discover as D
 from .catalog import Catalog
 
@@ -726,6 +728,55 @@ def topic_decision_provider(c: Catalog) -> DataFrame:
     return providers.answer(freq(c).where("freq >= 5"), "canonical", "decision", providers.create_topic)
 
 
+def messages(c: Catalog) -> DataFrame:
+    """Messages of conversations made from the events: their users talk, kinds come from type and number."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = F.col("event_type")
+    kind = (
+        F.when(e == "view", "status").when(e == "click", "turn").when(e == "purchase", "intent").when(e == "error", F.when(k % 3 == 0, "subscribe").when(k % 3 == 1, "unsubscribe").otherwise("question"))
+        .otherwise(F.when(k % 4 == 0, "reset").otherwise("answer"))
+    )
+    name = F.concat(F.lit("dim"), (k % 5).cast("string"))
+    return c.table("events").select(F.col("user_id").alias("conv_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), name.alias("name"), F.concat(F.lit("v"), "event_id").alias("value"))
+
+
+@query
+def conversation_states(c: Catalog) -> DataFrame:
+    return states.states(messages(c))
+
+
+@query
+def statuses_delivered(c: Catalog) -> DataFrame:
+    return states.statuses(messages(c))
+
+
+@query
+def conversation_states_stream(c: Catalog) -> DataFrame:
+    """The same states from a stream of three files, one a batch."""
+    base = fresh(c, "states")
+    rows = messages(c)
+    cuts = [x for x in rows.select(F.percentile_approx("at", [1 / 3, 2 / 3], 1000).alias("p")).first()["p"] or []]
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows.where((F.lit(True) if lo is None else F.col("at") > lo) & (F.lit(True) if hi is None else F.col("at") <= hi))
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return states.latest(states.run(c.spark, f"{base}/in", f"{base}/out", f"{base}/check"))
+
+
+@query
+def conversation_turns_sink(c: Catalog) -> DataFrame:
+    """Conversations streamed into the keyed sink, and once more under other batch numbers: known turns stay as they are."""
+    base = fresh(c, "turns")
+    rows = turns(c).select(F.col("conv_id").alias("conversation_id"), (F.col("turn") / 4 + 1).cast("int").alias("question_index"), F.col("turn").cast("int").alias("turn_index"), "role", "text")
+    rows.write.parquet(f"{base}/in")
+    sink = sinks.turn_sink(c.spark, f"{base}/turns")
+    for check, change in (("first", lambda b: b), ("second", lambda b: b.withColumn("text", F.lit("changed")))):
+        source = c.spark.readStream.schema(sinks.TURNS).parquet(f"{base}/in")
+        last = 0 if check == "first" else 1000
+        q = source.writeStream.foreachBatch(lambda b, n, change=change, last=last: sink.write(change(sinks.turns(b)), n + last)).option("checkpointLocation", f"{base}/{check}").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return sink.read()
+
+
 def stage_durations_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import durations
 

@@ -112,6 +112,17 @@ def fulltext(fields: str, asked: str) -> str:
         FROM asked JOIN tf USING (term) JOIN df USING (field, term) JOIN field_ USING (field) GROUP BY 1, 2)"""
 
 
+MESSAGES = """message AS (SELECT user_id AS conv_id, epoch_us(ts) AS at_, event_id AS seq, 'dim' || k % 5 AS name, 'v' || event_id AS value, CASE event_type WHEN 'view' THEN 'status' WHEN 'click' THEN 'turn' WHEN 'purchase' THEN 'intent'
+  WHEN 'error' THEN ['subscribe', 'unsubscribe', 'question'][(k % 3 + 1)::INT] ELSE CASE WHEN k % 4 = 0 THEN 'reset' ELSE 'answer' END END AS kind FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events)),
+paused AS (SELECT *, coalesce(at_ - lag(at_) OVER (PARTITION BY conv_id ORDER BY at_, seq) > 86400000000, false) AS pause FROM message),
+counted AS (SELECT *, sum(pause::BIGINT) OVER w AS visit, sum((pause OR kind = 'reset')::BIGINT) OVER w AS epoch, sum((kind = 'reset')::BIGINT) OVER w AS question FROM paused WINDOW w AS (PARTITION BY conv_id ORDER BY at_, seq))"""
+STATES = """SELECT conv_id, max(at_) AS "at", arg_max(seq, (at_, seq)) AS seq, max(question)::BIGINT AS question, coalesce((SELECT string_agg(name || '=' || value, ';' ORDER BY name) FROM (SELECT name, arg_max(value, (at_, seq)) AS value FROM now_ n WHERE n.conv_id = c.conv_id AND kind = 'intent' GROUP BY 1)), '') AS intent,
+  (SELECT CASE WHEN arg_max(kind, (at_, seq)) = 'question' THEN arg_max(value, (at_, seq)) END FROM now_ n WHERE n.conv_id = c.conv_id AND kind IN ('question', 'answer')) AS pending,
+  (SELECT count(*) FROM now_ n WHERE n.conv_id = c.conv_id AND kind = 'turn') AS turns, (SELECT arg_max(value, (at_, seq)) FROM now_ n WHERE n.conv_id = c.conv_id AND kind = 'turn') AS last_turn,
+  coalesce((SELECT arg_max(kind, (at_, seq)) = 'subscribe' FROM here_ n WHERE n.conv_id = c.conv_id AND kind IN ('subscribe', 'unsubscribe')), false) AS subscribed FROM counted c GROUP BY conv_id"""
+NOW = "now_ AS (SELECT * FROM counted QUALIFY epoch = max(epoch) OVER (PARTITION BY conv_id)), here_ AS (SELECT * FROM counted QUALIFY visit = max(visit) OVER (PARTITION BY conv_id))"
+
+
 HOP = "list_reduce([{x}] || list_transform(range(20), lambda i: ''), lambda c, x: coalesce(m[c], c))"
 #: Decisions in turn; m maps merged topics to their targets.
 TURNS = f"""decision AS (SELECT seq, CASE WHEN seq % 2 = 1 THEN b ELSE a END AS src, CASE WHEN seq % 2 = 1 THEN a ELSE b END AS dst, (seq * 7919 % 1000) / 1000 AS confidence
@@ -263,6 +274,11 @@ SQL: dict[str, str] = {
         SELECT seq, CASE WHEN source = target THEN 'same' ELSE 'merged' END, CASE WHEN source <> target THEN source END, CASE WHEN source <> target THEN target END FROM taken WHERE k > 0""",
         TURNS, recursive=True,
     ),
+    "conversation_states": f"WITH {MESSAGES}, {NOW} {STATES}",
+    "conversation_states_stream": f"WITH {MESSAGES}, {NOW} {STATES}",
+    "statuses_delivered": f"""WITH {MESSAGES} SELECT conv_id, at_ AS "at", seq, name, value FROM (SELECT *, last_value(CASE WHEN kind IN ('subscribe', 'unsubscribe') THEN kind END IGNORE NULLS)
+      OVER (PARTITION BY conv_id, visit ORDER BY at_, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS feed FROM counted) WHERE kind = 'status' AND feed = 'subscribe'""",
+    "conversation_turns_sink": "SELECT conv_id AS conversation_id, (turn // 4 + 1)::INT AS question_index, turn::INT AS turn_index, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE turn >= 1",
     "merge_redirects": graph("SELECT src, dst FROM final WHERE src <> dst", FINAL, recursive=True),
     "apply_merge_redirect": graph("SELECT DISTINCT dataset_id, coalesce(dst, entity_id) AS entity_id FROM has_topic LEFT JOIN final ON src = entity_id", FINAL, recursive=True),
     "alias_union": graph("SELECT id, array_to_string(list_sort(list(DISTINCT a)), ',') AS aliases FROM (SELECT coalesce(dst, id) AS id, upper(name) AS a FROM topic LEFT JOIN final ON src = id UNION SELECT dst, name FROM topic JOIN final ON src = id) GROUP BY 1", FINAL, recursive=True),

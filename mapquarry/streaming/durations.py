@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.sessions import status_feed
@@ -50,8 +49,3 @@ def run_once(spark: SparkSession, path: str, out: str, checkpoint: str) -> DataF
     q = stream(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(OUT).parquet(out)
-
-
-def activity(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """Status changes per window and status; rows later than the watermark are dropped."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
