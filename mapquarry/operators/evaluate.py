@@ -39,10 +39,10 @@ def recall(ranked: DataFrame, relevant: DataFrame, k: int = 20) -> DataFrame:
     )
 
 
-def exact_intent_match(results: DataFrame) -> DataFrame:
-    """Share of queries whose parsed dimensions all equal the truth: ``results(query_id, dim, got, want)``."""
-    each = results.groupBy("query_id").agg(F.bool_and(F.col("got").eqNullSafe(F.col("want"))).alias("ok"))
-    return each.agg(F.avg(F.col("ok").cast("double")).alias("eimr"))
+def exact_intent_match(results: DataFrame, *by: str) -> DataFrame:
+    """Share of queries whose parsed dimensions all equal the truth: ``results(query_id, dim, got, want)``, whole or by columns of a query."""
+    each = results.groupBy("query_id", *by).agg(F.bool_and(F.col("got").eqNullSafe(F.col("want"))).alias("ok"))
+    return each.groupBy(*by).agg(F.avg(F.col("ok").cast("double")).alias("eimr"))
 
 
 def mean_by(rows: DataFrame, level: str, metric: str) -> DataFrame:

@@ -23,6 +23,17 @@ def bundles(datasets: DataFrame, relations: dict[str, DataFrame]) -> DataFrame:
     return out.select("id", "title", *[F.coalesce(n, F.lit("")).alias(n) for n in relations])
 
 
+def without_vectors(rows: DataFrame, name: str = "embedding") -> DataFrame:
+    """``rows`` without the vector, at the top and one level deep in structs and maps of properties."""
+    out = rows.drop(name)
+    for f in out.schema.fields:
+        if f.dataType.typeName() == "struct" and name in f.dataType.names:
+            out = out.withColumn(f.name, F.col(f.name).dropFields(name))
+        elif f.dataType.typeName() == "map" and f.dataType.keyType.typeName() == "string":
+            out = out.withColumn(f.name, F.map_filter(f.name, lambda k, v: k != name))
+    return out
+
+
 def citation(title: Column, sources: Column, times: Column) -> Column:
     """``title. source. begin/end.`` of what is known."""
     known = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(c, F.lit("."))) for c in (title, sources, times)]

@@ -10,15 +10,18 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import times, urls
+from ..operators import answers, calls, evaluate, evidence, providers, sessions, tables
+from ..operators import merges as MG
 from ..operators import retrieve as R
-from ..operators import sessions, tables
-from ..sources import ckan, fgdc, paged, stac
+from ..sources import ckan, fgdc, paged, sinks, stac
 from .catalog import Catalog
-from .queries import found, query, six, topic_links
-from .sql import F1, LINKS, SQL, graph
+from .discover import FLAGSHIP, discover
+from .queries import decisions, found, query, six, topic_links
+from .sql import F1, LINKS, SQL, TURNS, graph
 from .sql import found as found_sql
 
 
@@ -515,3 +518,127 @@ def raw_dimension_scores(c: Catalog) -> DataFrame:
 
 
 SQL["raw_dimension_scores"] = graph(f"SELECT dataset_id, round(least(1.0::DOUBLE, max(score)), 6) AS raw FROM {LINKS} GROUP BY 1")
+
+
+# ---- calls, answers, evidence ----------------------------------------------------------------
+
+
+def _embed(texts: list[str]) -> list[list[float]]:
+    """Numbers of a text's letters; refuses batches with a text of low priority."""
+    if any("LOW" in t for t in texts):
+        raise ValueError("refused")
+    return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+@query
+def embedding_states(c: Catalog) -> DataFrame:
+    """One round over the datasets: every seventh has a blank text, every eleventh was left in progress, every fifth is done."""
+    k = F.col("id")
+    text = F.when(k % 7 == 0, " ").otherwise(F.col("title"))
+    known = F.when(k % 5 == 0, F.array(F.lit(1.0)))
+    status = F.when(k % 5 == 0, "DONE").when(k % 11 == 0, "IN_PROGRESS")
+    none = F.lit(None).cast("string")
+    nodes = c.dataset.select("id", text.alias("text"), known.alias("embedding"), status.alias("embedding_status"), none.alias("embedding_at"), none.alias("embedding_error"))
+    got = calls.embedded(nodes, _embed, F.lit("now"), attempts=2, pause=lambda s: None)
+    return got.select("id", "embedding_status", "embedding_at", F.col("embedding")[0].alias("first"), F.col("embedding_error").isNotNull().alias("failed"))
+
+
+SQL["embedding_states"] = graph("""SELECT id, s AS embedding_status, CASE WHEN id % 5 <> 0 THEN 'now' END AS embedding_at, CASE WHEN id % 5 = 0 THEN 1.0 WHEN s = 'DONE' THEN length(title) END::DOUBLE AS first, s = 'FAILED' AS failed
+  FROM (SELECT *, CASE WHEN id % 5 = 0 THEN 'DONE' WHEN id % 7 = 0 THEN 'SKIPPED' WHEN contains(title, 'LOW') THEN 'FAILED' ELSE 'DONE' END AS s FROM dataset)""")
+
+_ANSWERS = ("continue", "2, 1 and 2", "Hitl selection no. 3", "COLD BOLT", "the cold gear please", "Format = GeoJSON ", "nothing of these", "7 or 12")
+
+
+@query
+def hitl_answers(c: Catalog) -> DataFrame:
+    """The first five topics of a colour offered to each turn, and what its answer makes of them."""
+    offered = c.topic.where(F.col("name").startswith("cold")).orderBy("id").limit(5).agg(F.sort_array(F.collect_list(F.struct("id", "name"))).alias("candidates"))
+    asked = c.table("conversations").select("conv_id", "turn", of(_ANSWERS, F.col("turn") + F.col("conv_id")).alias("answer"), (F.col("turn") / 10.0).alias("confidence"))
+    got = answers.resolved(asked.join(F.broadcast(offered)))  # one row
+    return got.select("conv_id", "turn", F.array_join("ids", ",").alias("ids"), "value", "needs_clarification", six("new_confidence").alias("new_confidence"))
+
+
+SQL["hitl_answers"] = graph(f"""SELECT conv_id, turn, CASE k WHEN 0 THEN array_to_string(ids, ',') WHEN 1 THEN ids[2] || ',' || ids[1] WHEN 2 THEN ids[3] WHEN 3 THEN list_filter(ids, lambda x: x = 'cold bolt')[1] WHEN 4 THEN list_filter(ids, lambda x: contains('the cold gear please', x))[1] END AS ids,
+  CASE k WHEN 0 THEN ids[1] WHEN 1 THEN ids[2] WHEN 2 THEN ids[3] WHEN 3 THEN coalesce(list_filter(ids, lambda x: x = 'cold bolt')[1], 'COLD BOLT') WHEN 4 THEN coalesce(list_filter(ids, lambda x: contains('the cold gear please', x))[1], 'the cold gear please') WHEN 5 THEN 'GeoJSON' ELSE a END AS value,
+  k >= 6 OR k = 3 AND NOT list_contains(ids, 'cold bolt') OR k = 4 AND NOT list_contains(ids, 'cold gear') AS needs_clarification,
+  round(CASE WHEN k = 0 THEN 0.8 WHEN k IN (1, 2) OR k = 3 AND list_contains(ids, 'cold bolt') OR k = 4 AND list_contains(ids, 'cold gear') THEN 1.0 WHEN k = 5 THEN greatest(turn / 10.0, 0.95) ELSE turn / 10.0 END::DOUBLE, 6) AS new_confidence
+  FROM (SELECT conv_id, turn, (turn + conv_id) % 8 AS k, {of_sql(_ANSWERS, "(turn + conv_id)")} AS a FROM conversations), (SELECT list_sort(list(id)) AS ids FROM (SELECT id FROM topic WHERE starts_with(name, 'cold') ORDER BY id LIMIT 5))""")
+
+
+@query
+def exact_intent_match_by_level(c: Catalog) -> DataFrame:
+    """Orders as queries with three parsed fields, some read wrongly: the share of each priority with all of them right."""
+    o = c.table("orders")
+    read = lambda name, got, want: F.struct(F.lit(name).alias("dim"), got.cast("string").alias("got"), want.cast("string").alias("want"))
+    dims = F.explode(F.array(
+        read("status", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderstatus")), F.col("o_orderstatus")),
+        read("priority", F.substring("o_orderpriority", 1, 1), F.when(F.col("o_custkey") % 4 == 0, "1").otherwise(F.substring("o_orderpriority", 1, 1))),
+        read("unknown", F.lit(None), F.lit(None)),
+    )).alias("d")
+    results = o.select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("level"), dims).select("query_id", "level", "d.*")
+    return evaluate.exact_intent_match(results, "level").select("level", six("eimr").alias("eimr"))
+
+
+SQL["exact_intent_match_by_level"] = """SELECT o_orderpriority AS level, round(avg((o_orderkey % 9 <> 0 AND (o_custkey % 4 <> 0 OR substr(o_orderpriority, 1, 1) = '1'))::INT::DOUBLE), 6) AS eimr FROM orders GROUP BY 1"""
+
+
+@query
+def evidence_context(c: Catalog) -> DataFrame:
+    """Context lines of the flagship request's datasets, by score and id."""
+    ranked = discover(c, FLAGSHIP).join(c.dataset.withColumnRenamed("id", "dataset_id"), "dataset_id")
+    numbered = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "dataset_id")))  # the request's best rows
+    return evidence.context(numbered)
+
+
+SQL["evidence_context"] = SQL["discover_flagship"].replace("SELECT dataset_id, score, rank FROM (", """SELECT string_agg(r || '. ' || title || ' | ' || notes, chr(10) ORDER BY r) AS context FROM (SELECT title, notes, row_number() OVER (ORDER BY score DESC, dataset_id) AS r FROM (SELECT dataset_id, score, rank FROM (""", 1) + ") JOIN dataset ON id = dataset_id) WHERE r <= 20"
+
+
+@query
+def embedding_texts(c: Catalog) -> DataFrame:
+    """Texts that datasets are embedded by: title, notes and keywords, blank ones left out, 6000 characters at most; vectors never leave."""
+    kw = c.has_keyword.groupBy(F.col("dataset_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("entity_id")), " ").alias("keywords"))
+    d = c.dataset.withColumns({"embedding": F.array(F.lit(0.5)), "notes": F.when(F.col("id") % 3 == 0, "  ").otherwise(F.col("notes"))}).join(kw, "id", "left")
+    text = X.embedding_text(F.col("title"), F.col("notes"), F.repeat("keywords", 200))
+    return evidence.without_vectors(d.withColumn("text", text)).select("id", F.length("text").alias("n"), F.sha1("text").alias("sha1"))
+
+
+SQL["embedding_texts"] = graph("""SELECT id, length(t) AS n, sha1(t) AS sha1 FROM (SELECT id, substr(concat_ws(chr(10), title, CASE WHEN id % 3 <> 0 THEN notes END, repeat(keywords, 200)), 1, 6000) AS t
+  FROM dataset LEFT JOIN (SELECT dataset_id AS id, array_to_string(list_sort(list(DISTINCT entity_id)), ' ') AS keywords FROM has_keyword GROUP BY 1) USING (id))""")
+
+
+@query
+def bundle_choice(c: Catalog) -> DataFrame:
+    """A model's choice of datasets by price, with wrong ids and ranks in it: ten known ones by its rank, with three reasons at most."""
+    o = c.table("orders")
+    ranked = o.select(F.col("o_orderkey").alias("dataset_id"))
+    made = o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(40).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")) - 3)
+    wrong = F.when(F.col("rank") % 5 == 0, -F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey"))
+    choices = made.select(wrong.alias("dataset_id"), "rank", F.split(F.lit("a,b,c,d"), ",").alias("reasons"))
+    return providers.select_top(ranked, choices, 10).select("dataset_id", F.col("rank").cast("long").alias("rank"), F.array_join("reasons", ",").alias("reasons"))
+
+
+SQL["bundle_choice"] = """SELECT o_orderkey AS dataset_id, rank, 'a,b,c' AS reasons FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 3 AS rank FROM orders QUALIFY rank <= 37) WHERE rank > 0 AND rank % 5 <> 0 ORDER BY rank LIMIT 10"""
+
+
+@query
+def keyword_lists(c: Catalog) -> DataFrame:
+    """Keyword names of each dataset as a list, and whether any holds the text."""
+    got = c.has_keyword.groupBy("dataset_id").agg(F.sort_array(F.collect_set("entity_id")).alias("names"))
+    return got.select("dataset_id", F.array_join("names", ",").alias("names"), F.exists("names", lambda n: F.lower(n).contains("#11")).alias("any"))
+
+
+SQL["keyword_lists"] = graph("""SELECT dataset_id, array_to_string(list_sort(list(DISTINCT entity_id)), ',') AS names, bool_or(contains(lower(entity_id), '#11')) AS "any" FROM has_keyword GROUP BY 1""")
+
+
+@query
+def merge_log(c: Catalog) -> DataFrame:
+    """The log of the ordered merges as a CSV with a header, with quotes and commas in its reasons, read back."""
+    told = MG.ordered(decisions(c))[0].where("outcome = 'merged'")
+    path = f"{tables.shared_root(c.spark)}/log-{uuid.uuid4().hex}"
+    sinks.write_merge_log(told.select("seq", "source", "target", F.concat(F.lit('the "same", '), "source").alias("reason")), path)
+    return c.spark.read.csv(path, header=True, quote='"', escape='"', schema="seq long, source string, target string, reason string")
+
+
+SQL["merge_log"] = graph("""SELECT seq, source, target, 'the "same", ' || source AS reason FROM taken WHERE k > 0 AND source <> target""", TURNS, recursive=True)
+
+SQL["topic_decision_provider"] = graph("SELECT canonical, freq, 'create' AS decision, NULL::VARCHAR AS decision_error FROM (SELECT canonical, count(DISTINCT dataset_id) AS freq FROM pending GROUP BY 1) WHERE freq >= 5")
