@@ -9,18 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def gathered(edges: DataFrame, name: str) -> DataFrame:
-    """Entities of each dataset as one sorted string; aggregated before any join, so relations don't multiply."""
-    return edges.groupBy("dataset_id").agg(F.array_join(F.sort_array(F.collect_set("entity_id")), ",").alias(name))
-
-
 def bundles(datasets: DataFrame, relations: dict[str, DataFrame]) -> DataFrame:
-    ids = datasets.select(F.col("id").alias("dataset_id"))
-    out = datasets
-    for name, edges in relations.items():
-        got = gathered(edges.join(ids, "dataset_id", "left_semi"), name).withColumnRenamed("dataset_id", "id")
-        out = out.join(got, "id", "left")
-    return out.select("id", "title", *[F.coalesce(n, F.lit("")).alias(n) for n in relations])
+    """``datasets(id, title, ...)`` with each relation's entities as one sorted string, empty without any.
+
+    All relations go through one shuffle as (dataset, relation, entity); sets are collected per dataset and relation, so
+    relations don't multiply. Only links of ``datasets`` count.
+    """
+    every = reduce(DataFrame.unionByName, [e.select("dataset_id", F.lit(k).alias("_kind"), F.col("entity_id").cast("string").alias("entity_id")) for k, e in enumerate(relations.values())])
+    held = [F.array_join(F.sort_array(F.collect_set(F.when(F.col("_kind") == k, F.col("entity_id")))), ",").alias(name) for k, name in enumerate(relations)]
+    got = every.groupBy(F.col("dataset_id").alias("id")).agg(*held)
+    return datasets.select("id", "title").join(got, "id", "left").select("id", "title", *[F.coalesce(n, F.lit("")).alias(n) for n in relations])
 
 
 def without_vectors(rows: DataFrame, name: str = "embedding") -> DataFrame:
@@ -45,7 +43,10 @@ def node(kind: str, key: Column) -> Column:
 
 
 def subgraph_edges(ids: DataFrame, links: Sequence[tuple[str, str, DataFrame]], has_resource: DataFrame, has_format: DataFrame) -> DataFrame:
-    """Edges of the chosen datasets: to their entities, to their resources and from those to formats."""
+    """Edges of the chosen datasets: to their entities, to their resources and from those to formats.
+
+    Each relation is a set of links, so edges differ without being compared. ``ids`` has each dataset once.
+    """
     near = lambda df: df.join(ids, "dataset_id", "left_semi")
     edge = lambda df, kind, a, b: df.select(a.alias("src"), F.lit(kind).alias("type"), b.alias("dst"))
     res = near(has_resource)
@@ -53,8 +54,7 @@ def subgraph_edges(ids: DataFrame, links: Sequence[tuple[str, str, DataFrame]],
     parts.append(edge(res, "HAS_RESOURCE", node("Dataset", F.col("dataset_id")), node("Resource", F.col("resource_id"))))
     hop = has_format.join(res.select("resource_id").distinct(), "resource_id", "left_semi")
     parts.append(edge(hop, "HAS_FORMAT", node("Resource", F.col("resource_id")), node("Format", F.col("entity_id"))))
-    every = reduce(DataFrame.unionByName, parts).distinct()
-    return every.select(F.sha1(F.concat_ws("|", "src", "type", "dst")).alias("edge_id"), "src", "type", "dst")
+    return reduce(DataFrame.unionByName, parts).select(F.sha1(F.concat_ws("|", "src", "type", "dst")).alias("edge_id"), "src", "type", "dst")
 
 
 def subgraph_nodes(edges: DataFrame) -> DataFrame:

@@ -65,8 +65,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[s
 
 
 def insert_missing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Insert that does nothing on conflict."""
-    return old.unionByName(new.dropDuplicates(list(keys)).join(old, list(keys), "left_anti"))
+    """Insert that does nothing on conflict; of new rows of one key that differ the greatest is inserted, so reruns agree."""
+    others = [c for c in new.columns if c not in keys]
+    one = last_wins(new, keys, F.struct(*others)).select(*new.columns) if others else new.distinct()
+    return old.unionByName(one.join(old, list(keys), "left_anti"))
 
 
 def changed(rows: DataFrame, updates: DataFrame, key: str, column: str, guard: Column | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions import times, urls
+from ..functions import times, urls, variants
 from ..operators import answers, calls, evaluate, evidence, providers, sessions, tables
 from ..operators import merges as MG
 from ..operators import retrieve as R
@@ -642,3 +642,75 @@ def merge_log(c: Catalog) -> DataFrame:
 SQL["merge_log"] = graph("""SELECT seq, source, target, 'the "same", ' || source AS reason FROM taken WHERE k > 0 AND source <> target""", TURNS, recursive=True)
 
 SQL["topic_decision_provider"] = graph("SELECT canonical, freq, 'create' AS decision, NULL::VARCHAR AS decision_error FROM (SELECT canonical, count(DISTINCT dataset_id) AS freq FROM pending GROUP BY 1) WHERE freq >= 5")
+
+
+# ---- two pages, objects of any shape ---------------------------------------------------------
+
+
+def _summaries(c: Catalog) -> DataFrame:
+    """A summary page an order: some blank, some without a link, some whose metadata page is missing or empty."""
+    k = F.col("o_orderkey")
+    html = F.when(k % 13 == 0, " ").when(k % 17 == 0, "<p>no such link</p>").otherwise(F.concat(F.lit('<a href="FullMetadataDisplay.aspx?file='), F.when(k % 19 == 0, -k).otherwise(k).cast("string"), F.lit('&x=1">m</a>')))
+    return c.table("orders").select(k.alias("dataset"), F.concat(F.lit("Provider "), k % 3).alias("provider"), F.concat(F.lit("http://h/uci/DataSummary.aspx?dataset="), k).alias("url"), html.alias("html"))
+
+
+def _metadata_pages(c: Catalog) -> DataFrame:
+    k = F.col("o_orderkey")
+    title = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("<h2 class=t> Order\n"), k.cast("string"), F.lit(" </h2>")))
+    by = F.when(k % 4 != 0, F.concat(F.lit("<dt>Originator: Clerk "), (k % 10).cast("string"), F.lit("</dt>"))).otherwise("")
+    html = F.when(k % 23 == 0, "").otherwise(F.concat(title, by, F.lit("<dt>Theme_Keyword: "), "o_orderstatus", F.lit("</dt>")))
+    return c.table("orders").select(F.concat(F.lit("http://h/uci/FullMetadataDisplay.aspx?file="), k.cast("string")).alias("url"), html.alias("html"))
+
+
+@query
+def fgdc_mapped(c: Catalog) -> DataFrame:
+    """Datasets of summary pages that lead to their metadata."""
+    got, _ = fgdc.mapped(_summaries(c), _metadata_pages(c))
+    return got.select("dataset", "title", F.array_join("originators", ",").alias("originators"), F.array_join("keywords", ",").alias("keywords"), "metadata_url")
+
+
+_FAULT = "CASE WHEN k % 13 = 0 THEN 'summary is empty' WHEN k % 17 = 0 THEN 'no link to metadata' WHEN k % 19 = 0 THEN 'metadata page is missing' WHEN k % 23 = 0 THEN 'metadata page is empty' END"
+SQL["fgdc_mapped"] = f"""SELECT k AS dataset, CASE WHEN k % 5 = 0 THEN 'dataset ' || k ELSE 'Order ' || k END AS title, CASE WHEN k % 4 = 0 THEN 'provider ' || (k % 3) ELSE 'clerk ' || (k % 10) END AS originators,
+  lower(o_orderstatus) AS keywords, 'http://h/uci/FullMetadataDisplay.aspx?file=' || k AS metadata_url FROM (SELECT *, o_orderkey AS k FROM orders) WHERE {_FAULT} IS NULL"""
+
+
+@query
+def fgdc_rejects(c: Catalog) -> DataFrame:
+    """Summary pages that give no dataset, with the cause."""
+    return fgdc.mapped(_summaries(c), _metadata_pages(c))[1].select("dataset", "cause", F.col("metadata_url").isNotNull().alias("linked"))
+
+
+SQL["fgdc_rejects"] = f"SELECT k AS dataset, cause, k % 13 <> 0 AND k % 17 <> 0 AS linked FROM (SELECT k, {_FAULT} AS cause FROM (SELECT o_orderkey AS k FROM orders)) WHERE cause IS NOT NULL"
+
+
+@query
+def replies_parsed(c: Catalog) -> DataFrame:
+    """Replies with prose around them, numbers as texts, objects within objects, a reason alone or none, cut ones and none at all."""
+    k, n = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    raw = (
+        F.when(k % 6 == 0, F.concat(F.lit('Sure: {"id": '), n, F.lit(', "rank": 2, "reasons": ["a", 1, null, {"b": true}]} as asked')))
+        .when(k % 6 == 1, F.concat(F.lit('{"choice": {"id": "'), n, F.lit('"}, "rank": "7", "reasons": "only this"}'))).when(k % 6 == 2, F.concat(F.lit('{"id": '), n, F.lit(', "rank"')))
+        .when(k % 6 == 3, F.concat(F.lit('{"id": '), n, F.lit(', "rank": "high", "reasons": []}'))).when(k % 6 == 4, "nothing suits")
+    )
+    v = F.col("v")
+    rows = c.table("orders").select(k.alias("order"), variants.reply(raw).alias("v"))
+    return rows.select("order", variants.first(v, ["$.id", "$.choice.id"], "bigint").alias("id"), variants.field(v, "$.rank", "bigint").alias("rank"), F.array_join(variants.listed(v, "$.reasons"), "|").alias("reasons"))
+
+
+SQL["replies_parsed"] = """SELECT o_orderkey AS "order", CASE WHEN k IN (0, 1, 3) THEN o_orderkey END AS id, CASE k WHEN 0 THEN 2 WHEN 1 THEN 7 END::BIGINT AS rank,
+  CASE k WHEN 0 THEN 'a|1|{"b":true}' WHEN 1 THEN 'only this' ELSE '' END AS reasons FROM (SELECT o_orderkey, o_orderkey % 6 AS k FROM orders)"""
+
+
+@query
+def extras_any_shape(c: Catalog) -> DataFrame:
+    """Extras as a list with a repeated key, as an object, with nested values, as a text and missing, all read as one map."""
+    k, n = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    raw = (
+        F.when(k % 5 == 0, F.concat(F.lit('[{"key": "a", "value": "old"}, {"key": "b", "value": {"n": [1, 2]}}, {"key": "a", "value": '), n, F.lit('}, {"key": "c"}, {"value": 1}]')))
+        .when(k % 5 == 1, F.concat(F.lit('{"a": "'), n, F.lit('", "b": null, "c": [true]}'))).when(k % 5 == 2, '"text"').when(k % 5 == 3, '[{"key": "a"')
+    )
+    m = variants.entries(F.try_parse_json(raw))
+    return c.table("orders").select(k.alias("order"), m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c"), F.size(m).alias("n"))
+
+
+SQL["extras_any_shape"] = """SELECT o_orderkey AS "order", CASE WHEN k < 2 THEN o_orderkey::VARCHAR END AS a, CASE k WHEN 0 THEN '{"n":[1,2]}' END AS b, CASE k WHEN 1 THEN '[true]' END AS c, CASE WHEN k < 2 THEN 2 ELSE 0 END AS n FROM (SELECT o_orderkey, o_orderkey % 5 AS k FROM orders)"""

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import geo, times, urls
 from ..functions import similarity as M
 from ..functions import text as X
-from ..operators import evaluate, evidence, lexical, names, providers, sessions, tables, topics
+from ..operators import clustered, evaluate, evidence, lexical, names, providers, sessions, tables, topics
 from ..operators import merges as MG
 from ..operators import retrieve as R
 from ..operators import searchindex as SI
@@ -52,6 +52,14 @@ def bbox_filter(c: Catalog) -> DataFrame:
     return R.hard_filter(c.space, c.time, BOX, None)
 
 
+@query
+def bbox_clustered(c: Catalog) -> DataFrame:
+    """The same filter over boxes that were written along a space-filling curve."""
+    path = fresh(c, "boxes")
+    clustered.write(c.space, path)
+    return clustered.overlapping(c.spark, path, BOX).select("dataset_id")
+
+
 @query
 def time_overlap_filter(c: Catalog) -> DataFrame:
     return R.hard_filter(c.space, c.time, None, SPAN)

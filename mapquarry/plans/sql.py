@@ -187,6 +187,7 @@ SQL: dict[str, str] = {
         ))
     ),
     "bbox_filter": graph(f"SELECT dataset_id FROM space WHERE {BOXED}"),
+    "bbox_clustered": graph(f"SELECT dataset_id FROM space WHERE {BOXED}"),
     "time_overlap_filter": graph(f"SELECT dataset_id FROM time_ WHERE {SPANNED}"),
     "bbox_time_filter": graph(f"SELECT dataset_id FROM {HARD}"),
     "source_filter": graph("SELECT dataset_id FROM provides WHERE entity_id IN ('ASIA', 'EUROPE')"),

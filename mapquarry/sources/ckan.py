@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions import text as X
 from ..functions import times
+from ..operators.tables import last_wins
 
 S = "string"
 _NAMED = "struct<id:string,name:string,title:string,type:string,description:string,image_url:string>"
@@ -52,6 +53,11 @@ def envelope(packages: DataFrame) -> DataFrame:
     )
 
 
+def last(rows: DataFrame, key: str) -> DataFrame:
+    """One row a key. A dump has no order of its own, so of rows that differ the greatest counts, and reruns agree."""
+    return last_wins(rows, [key], F.struct(*[c for c in rows.columns if c != key]))
+
+
 def tables(env: DataFrame) -> dict[str, DataFrame]:
     """Node and relationship tables of the envelope; keyed sets, ready to upsert."""
     kw = env.select(F.col("id").alias("dataset_id"), F.explode("keywords").alias("k"))
@@ -59,16 +65,16 @@ def tables(env: DataFrame) -> dict[str, DataFrame]:
     org = env.where("organization is not null")
     lic = env.where("license.license_id is not null")
     return {
-        "dataset": env.select("id", "name", "title", "notes", "url").dropDuplicates(["id"]),
+        "dataset": last(env.select("id", "name", "title", "notes", "url"), "id"),
         "space": env.where("space is not null").select(F.col("id").alias("dataset_id"), "space.*"),
         "time": env.select(F.col("id").alias("dataset_id"), "time.*"),
-        "license": lic.select("license.*").dropDuplicates(["license_id"]),
+        "license": last(lic.select("license.*"), "license_id"),
         "has_license": lic.select(F.col("id").alias("dataset_id"), F.col("license.license_id").alias("entity_id")).distinct(),
-        "organization": org.select("organization.*").dropDuplicates(["id"]),
+        "organization": last(org.select("organization.*"), "id"),
         "published_by": org.select(F.col("id").alias("dataset_id"), F.col("organization.id").alias("entity_id")).distinct(),
-        "keyword": kw.select("k.*").dropDuplicates(["id"]),
+        "keyword": last(kw.select("k.*"), "id"),
         "has_keyword": kw.select("dataset_id", F.col("k.id").alias("entity_id")).distinct(),
-        "resource": rs.select("r.id", "r.name", "r.url", "r.size").dropDuplicates(["id"]),
+        "resource": last(rs.select("r.id", "r.name", "r.url", "r.size"), "id"),
         "has_resource": rs.select("dataset_id", F.col("r.id").alias("resource_id")).distinct(),
         "has_format": rs.select(F.col("r.id").alias("resource_id"), F.concat(F.lit("format:"), "r.format").alias("entity_id")).distinct(),
     }

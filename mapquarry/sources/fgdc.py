@@ -22,8 +22,8 @@ def listing(pages: DataFrame) -> DataFrame:
     return pages.select("provider", "ordinal", ids).groupBy("dataset").agg(F.min_by("provider", "ordinal").alias("provider"))
 
 
-def metadata(pages: DataFrame) -> DataFrame:
-    """Title, originators, abstract, box, closed time, keywords and license of ``pages(url, html)``."""
+def metadata(pages: DataFrame, *keep: str) -> DataFrame:
+    """Title, originators, abstract, box, closed time, keywords and license of ``pages(url, html)``; columns of ``keep`` stay beside them."""
     text = X.html_to_text(F.col("html"))
     one = lambda label: X.label_value(F.col("body"), label)
     num = lambda side: X.label_double(F.col("body"), f"{side}_Bounding_Coordinate:")
@@ -36,7 +36,7 @@ def metadata(pages: DataFrame) -> DataFrame:
     )
     access, use = one("Access_Constraints:"), one("Use_Constraints:")
     return pages.withColumn("body", text).select(
-        "url", one("Title:").alias("title"),
+        *keep, "url", one("Title:").alias("title"),
         F.array_distinct(F.transform(X.label_value(F.col("body"), "Originator:", True), lambda o: X.canonical_org(o, True))).alias("originators"),
         X.label_block(F.col("body"), "Abstract:", ["Purpose:", "Supplemental_Information:", "Time_Period_of_Content:"]).alias("notes"),
         F.when(geo.valid(w, s, e, n, ordered=True), F.struct(w.alias("west"), s.alias("south"), e.alias("east"), n.alias("north"))).alias("space"),
@@ -45,6 +45,40 @@ def metadata(pages: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed value: links to a dataset's metadata page.
+METADATA = "(?i)FullMetadataDisplay\\.aspx\\?file=[^\"'&#\\s>]+"
+#: Why a summary page gives no dataset.
+NO_SUMMARY, NO_LINK, NO_PAGE, EMPTY = "summary is empty", "no link to metadata", "metadata page is missing", "metadata page is empty"
+
+
+def metadata_link(base: Column, html: Column) -> Column:
+    """The first link to a metadata page, absolute; null without one."""
+    found = F.regexp_extract(html, METADATA, 0)
+    return F.when(found != "", urls.resolve(base, found))
+
+
+def mapped(summaries: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``summaries(dataset, provider, url, html)`` and metadata ``pages(url, html)`` -> datasets, and rejects with their cause.
+
+    A summary leads to its dataset's metadata by link. A summary that doesn't is rejected with its cause and stays out of the
+    datasets; the others aren't held up by it. A dataset without a title is named by its number, one without an
+    originator by its provider. Of several pages under one address the first by content counts, so that reruns agree.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    led = summaries.select("dataset", "provider", F.col("url").alias("summary_url"), blank("html").alias("_blank"), metadata_link(F.col("url"), F.col("html")).alias("url"))
+    known = pages.groupBy("url").agg(F.min("html").alias("html"), F.lit(True).alias("_there"))
+    both = led.join(known, "url", "left")
+    cause = F.when(F.col("_blank"), NO_SUMMARY).when(F.col("url").isNull(), NO_LINK).when(F.col("_there").isNull(), NO_PAGE).when(blank("html"), EMPTY)
+    judged = both.withColumn("cause", cause)
+    rejects = judged.where("cause is not null").select("dataset", "summary_url", F.col("url").alias("metadata_url"), "cause")
+    head = F.regexp_extract("html", "(?is)<h2[^>]*>\\s*(.*?)\\s*</h2>", 1)
+    good = judged.where("cause is null").select("dataset", "provider", "summary_url", "url", "html", X.clean(head).alias("_head"))
+    read = metadata(good, "dataset", "provider", "summary_url", "_head")
+    title = F.coalesce(F.when(F.col("_head") != "", F.col("_head")), F.when(F.col("title") != "", F.col("title")), F.concat(F.lit("dataset "), F.col("dataset").cast("string")))
+    by = F.when((F.size("originators") == 0) & ~blank("provider"), F.array(X.canonical_org(F.col("provider"), True))).otherwise(F.col("originators"))
+    return read.withColumns({"title": title, "originators": by}).withColumnRenamed("url", "metadata_url").drop("_head"), rejects
+
+
 def topic_text(meta: DataFrame) -> DataFrame:
     """Text for topic extraction: title, notes and 18 keywords at most, 2500 characters."""
     words = F.filter("keywords", lambda k: k.isNotNull())

@@ -11,7 +11,7 @@ from ..functions import geo
 from ..functions import text as X
 from ..functions import times
 from ..functions import urls
-from ..operators.tables import materialise
+from ..operators.tables import last_wins, materialise
 
 MAX_DEPTH = 6
 SCHEMA = (
@@ -58,7 +58,7 @@ def listing(docs: DataFrame, fetched: DataFrame) -> DataFrame:
     rows = docs.select(F.col("url").alias("base"), F.posexplode("collections").alias("at", "c")).where(F.col("at") < MOST_LISTED)
     self_link = F.try_element_at(F.filter("c.links", lambda l: F.lower(l["rel"]) == "self"), F.lit(1))["href"]
     rows = rows.select("base", "at", F.col("c.id").alias("inline_id"), F.col("c.title").alias("inline_title"), urls.resolve(F.col("base"), self_link).alias("self"))
-    got = fetched.select(F.col("url").alias("self"), F.col("id").alias("new_id"), F.col("title").alias("new_title")).dropDuplicates(["self"])
+    got = last_wins(fetched.select(F.col("url").alias("self"), F.col("id").alias("new_id"), F.col("title").alias("new_title")), ["self"], F.struct("new_id", "new_title"))
     kept = rows.join(got, "self", "left")
     return kept.select(
         "base", F.coalesce("new_id", "inline_id").alias("id"), F.when(F.col("new_id").isNotNull(), F.col("new_title")).otherwise(F.col("inline_title")).alias("title")
