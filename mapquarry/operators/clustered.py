@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def curve(sides: dict[str, Column], bits: int = BITS) -> Column:
         cell = F.floor(F.least(F.greatest((sides[name] - low) / width, F.lit(0.0)), F.lit(1 - 2.0 ** -(bits + 1))) * (1 << bits)).cast("long")
         for b in range(bits):
             out = out + F.shiftleft(F.shiftright(cell, b).bitwiseAND(F.lit(1).cast("long")), 4 * b + 3 - k)
-    return out
+    return F.when(reduce(lambda a, b: a & b, [sides[name].isNotNull() for name in SIDES]), out)
 
 
 def write(boxes: DataFrame, path: str, files: int | None = None, row_group: int = ROW_GROUP) -> None:
