@@ -169,11 +169,11 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
 
     Whole texts are read. A null text, or one without a letter, is ``und`` with score 0 and
     ambiguous; so is every text when there was nothing to learn from. Columns of ``docs`` that
-    clash with the three new names are dropped. An empty table gives none.
+    clash with the three new names, in any case, are dropped. An empty table gives none.
     """
     sized(docs.sparkSession)
     new = ("lang_pred", "lang_score", "lang_ambiguous")
-    base = docs.select(*[F.col(f"`{c}`") for c in (keep or docs.columns) if c not in new])
+    base = docs.select(*[F.col(f"`{c}`") for c in (keep or docs.columns) if c.lower() not in new])
     kinds = zip(new, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)
     schema = T.StructType([*base.schema.fields, *[T.StructField(n, k) for n, k in kinds]])
     return base.mapInArrow(predictor(model), schema)

@@ -28,6 +28,7 @@ def shared_root(spark: SparkSession) -> str:
 def sized(spark: SparkSession, records: int = 1000) -> None:
     """Bound the rows of an Arrow batch, so that long texts don't fill a Python worker.
 
+    Plans run after this call returns, so the bound stays set for the session; larger ones are lowered, smaller ones kept.
     Also names this package's folder to Python workers, which matters in sessions that were
     started elsewhere; clusters install the package or ship it with ``--py-files``.
     """
