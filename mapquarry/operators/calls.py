@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import on_workers
+
 #: Rows of a call, calls in flight in a partition, attempts, first pause in seconds, its growth and its bound, characters of an error that are kept.
 BATCH, IN_FLIGHT, ATTEMPTS, PAUSE, GROWTH, LONGEST, ERROR = 96, 24, 6, 0.8, 1.8, 12.0, 1200
 
@@ -51,6 +53,7 @@ def ask(
 
     ``answer`` is the type of an answer. Columns of those names in ``rows`` are replaced.
     """
+    on_workers(rows.sparkSession)
     kept = rows.drop("answer", "status", "attempts", "error")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .tables import drop, materialise
+from .tables import drop, materialise, on_workers
 
 #: Least confidence of a decision that is carried out, redirects that are followed from one topic.
 CONFIDENCE, HOPS = 0.85, 20
@@ -211,6 +211,7 @@ def ordered(decisions: DataFrame, least: float = CONFIDENCE, hops: int = HOPS, b
     topics that ended elsewhere. Groups in which more than ``hops`` redirects stand in a row are replayed one decision after
     the other by one task each, which holds one place a topic. An empty table gives two.
     """
+    on_workers(decisions.sparkSession)
     rows = decisions.select(F.col("seq").cast("long"), F.col("src").cast("string"), F.col("dst").cast("string"), "confidence")
     blank = (F.trim(F.coalesce("src", F.lit(""))) == "") | (F.trim(F.coalesce("dst", F.lit(""))) == "")
     early = F.when(F.coalesce(F.col("confidence") < least, F.lit(True)), "low").when(blank, "missing").when(F.col("src") == F.col("dst"), "same")

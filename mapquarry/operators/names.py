@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.similarity import jaro_winkler, letters
-from .tables import drop, materialise
+from .tables import drop, materialise, on_workers
 
 
 def least_matches(least: float) -> float:
@@ -63,6 +63,7 @@ def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
 def alike(left: DataFrame, right: DataFrame, least: float = 0.9, within: bool = False) -> DataFrame:
     """Pairs ``(a, b, score)`` of names with a Jaro-Winkler score, to six digits, of at least ``least``; ``within`` one table those with a < b."""
+    on_workers(left.sparkSession)
     found = candidates(left, right, least - 1e-6)
     pairs = materialise(found.where("a < b") if within else found)
     scored = materialise(pairs.select("a", "b", F.round(jaro_winkler(F.col("a"), F.col("b")), 6).alias("score")).where(F.col("score") >= least))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import free
+
 #: Rows of a model call.
 BATCH = 12
 
@@ -67,12 +69,13 @@ def reserve(rows: DataFrame, limit: int, now: Column, stuck_after: str = "1 HOUR
 
     ``rows(id, embedding_status, reserved_at, ...)``; least ids first.
     """
-    free = F.col("embedding_status").isNull() | (F.col("embedding_status") == "IN_PROGRESS") & (F.col("reserved_at") < now - F.expr(f"INTERVAL {stuck_after}"))
-    taken = rows.where(free).select("id").orderBy("id").limit(limit).withColumn("_taken", F.lit(True))
+    open_ = F.col("embedding_status").isNull() | (F.col("embedding_status") == "IN_PROGRESS") & (F.col("reserved_at") < now - F.expr(f"INTERVAL {stuck_after}"))
+    mark = free("_taken", rows)
+    taken = rows.where(open_).select("id").orderBy("id").limit(limit).withColumn(mark, F.lit(True))
     marked = rows.join(taken, "id", "left")
     return (
-        marked.withColumn("embedding_status", F.when(F.col("_taken"), "IN_PROGRESS").otherwise(F.col("embedding_status")))
-        .withColumn("reserved_at", F.when(F.col("_taken"), now).otherwise(F.col("reserved_at"))).drop("_taken")
+        marked.withColumn("embedding_status", F.when(F.col(mark), "IN_PROGRESS").otherwise(F.col("embedding_status")))
+        .withColumn("reserved_at", F.when(F.col(mark), now).otherwise(F.col("reserved_at"))).drop(mark)
     )
 
 

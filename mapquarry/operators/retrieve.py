@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, similarity, times
-from .tables import materialise
+from .tables import free, materialise
 
 #: Entities of a dimension that are scored, in order of their score; the union filter uses all.
 SCORED = {"Topic": 100, "Keyword": 100, "Format": 50, "License": 50, "Organization": 50}
@@ -99,13 +99,15 @@ def in_blocks(asked: DataFrame, rows: DataFrame, asked_key: str, row_key: str, m
     their own hash within it, so that no task gets a whole block's rows.
     """
     n = asked.count()
+    block, share = free("_block", asked, rows), free("_share", asked, rows)
     if n <= most:
         zero = F.explode(F.sequence(F.lit(0), F.lit(0)))
-        return rows.withColumn("_block", zero).join(F.broadcast(asked.withColumn("_block", F.lit(0))), "_block").drop("_block")
+        return rows.withColumn(block, zero).join(F.broadcast(asked.withColumn(block, F.lit(0))), block).drop(block)
     blocks, shares = -(-n // most), max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    left = asked.withColumn("_block", F.pmod(F.xxhash64(asked_key), F.lit(blocks))).withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    right = rows.withColumn("_share", F.pmod(F.xxhash64(row_key), F.lit(shares))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return right.join(left, ["_block", "_share"]).drop("_block", "_share")
+    upto = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    left = asked.withColumn(block, F.pmod(F.xxhash64(asked_key), F.lit(blocks))).withColumn(share, upto(shares))
+    right = rows.withColumn(share, F.pmod(F.xxhash64(row_key), F.lit(shares))).withColumn(block, upto(blocks))
+    return right.join(left, [block, share]).drop(block, share)
 
 
 def expand(edges: DataFrame, chosen: DataFrame, hard: DataFrame | None = None) -> DataFrame:
@@ -161,9 +163,10 @@ def linked_to_any(*links: DataFrame) -> DataFrame:
 def top_with_ties(rows: DataFrame, k: int, key: Column | None = None) -> DataFrame:
     """Rows whose score is at least the k-th best. The k-th score comes from a bounded sort, not a global window."""
     key = F.col("score") if key is None else key
-    kept = rows.withColumn("_key", key)
-    last = kept.select("_key").orderBy(F.desc("_key")).limit(k).agg(F.min("_key").alias("t")).first()["t"]
-    return kept.where(F.col("_key") >= F.lit(last)).drop("_key") if last is not None else kept.drop("_key")
+    name = free("_key", rows)
+    kept = rows.withColumn(name, key)
+    last = kept.select(name).orderBy(F.desc(name)).limit(k).agg(F.min(name).alias("t")).first()["t"]
+    return kept.where(F.col(name) >= F.lit(last)).drop(name) if last is not None else kept.drop(name)
 
 
 def top_unique(rows: DataFrame, k: int) -> DataFrame:

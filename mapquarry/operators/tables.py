@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,21 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Name this package's folder to Python workers, which matters in sessions that were started elsewhere; clusters install the package."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = f"{root}:{env.get('PYTHONPATH', '')}".rstrip(":")
+
+
+def free(name: str, *tables: DataFrame) -> str:
+    """``name``, or a longer one that no column of ``tables`` has in any case, for a helper column."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def active(rows: DataFrame, since: str | None = None) -> DataFrame:
     """Rows whose ``status`` is ACTIVE or missing and, with ``since``, whose ``created_at`` string isn't before it."""
     kept = rows.where(F.coalesce("status", F.lit("ACTIVE")) == "ACTIVE")
@@ -55,8 +71,9 @@ def last_wins(rows: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Full outer join by key: new values win; columns in ``keep`` hold the old value where the new is null."""
-    seen = F.col("n._new").isNotNull()
-    joined = old.alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), list(keys), "full_outer")
+    mark = free("_new", old, new)
+    seen = F.col(f"n.{mark}").isNotNull()
+    joined = old.alias("o").join(new.withColumn(mark, F.lit(True)).alias("n"), list(keys), "full_outer")
     cols = [
         (F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c in keep else F.when(seen, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))).alias(c)
         for c in old.columns if c not in keys
@@ -73,6 +90,7 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
 
 def changed(rows: DataFrame, updates: DataFrame, key: str, column: str, guard: Column | None = None) -> DataFrame:
     """Keyed update of one column where ``guard`` holds."""
-    u = updates.select(key, F.col(column).alias("_to"), F.lit(True).alias("_hit"))
-    hit = F.col("_hit").isNotNull() & (guard if guard is not None else F.lit(True))
-    return rows.join(u, key, "left").withColumn(column, F.when(hit, F.col("_to")).otherwise(F.col(column))).select(*rows.columns)
+    to, met = free("_to", rows), free("_hit", rows)
+    u = updates.select(key, F.col(column).alias(to), F.lit(True).alias(met))
+    hit = F.col(met).isNotNull() & (guard if guard is not None else F.lit(True))
+    return rows.join(u, key, "left").withColumn(column, F.when(hit, F.col(to)).otherwise(F.col(column))).select(*rows.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import cosine
 from .retrieve import in_blocks, top_per_group
-from .tables import materialise
+from .tables import materialise, on_workers
 
 #: Vectors that lists and codes are fitted on, by least hash of their id; lists, code slices and codes of a slice at most.
 SAMPLE, LISTS, SLICES, CODES = 20_000, 1024, 16, 256
@@ -114,6 +114,7 @@ def build(rows: DataFrame, path: str, recall: float = RECALL, sample: int = SAMP
     they have no cosine. A list as large as a third of the table is split among tasks like the others.
     """
     spark = rows.sparkSession
+    on_workers(spark)
     plain = rows.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
     n = plain.count()
     picked = [r[0] for r in plain.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").collect()]
@@ -146,6 +147,7 @@ class VectorIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        on_workers(spark)
         stored = spark.read.parquet(f"{path}/model").collect()
         self.model = None
         if stored:

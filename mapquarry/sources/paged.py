@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.tables import materialise
+from ..operators.tables import materialise, on_workers
 
 #: Pages that one partition reads.
 PAGES = 20
@@ -103,6 +103,7 @@ class PagedPackages(DataSource):
 
 def scan(spark: SparkSession, path: str, pages: int = PAGES) -> DataFrame:
     """All landed pages: (start, place, total, package), an empty page with a null package."""
+    on_workers(spark)
     spark.dataSource.register(PagedPackages)
     return spark.read.format(PagedPackages.name()).option("pages", pages).load(path)
 

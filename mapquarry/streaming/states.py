@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+from ..operators.tables import on_workers
+
 MESSAGES = "conv_id long, at long, seq long, kind string, name string, value string"
 #: ``state`` rows tell a conversation's state after a batch, ``status`` rows are delivered, ``expired`` rows tell whose state went.
 OUT = "row string, conv_id long, at long, seq long, name string, value string, question long, intent string, pending string, turns long, last_turn string, subscribed boolean"
@@ -97,6 +99,7 @@ def stream(messages: DataFrame, idle: int = IDLE, late: int | None = None) -> Da
 def run(spark: SparkSession, path: str, out: str, checkpoint: str, files: int = 1, idle: int = IDLE) -> DataFrame:
     """Drain the message files of ``path``, ``files`` a batch, into the Parquet table ``out``; a second call goes on where the first ended."""
     key = "spark.sql.streaming.stateStore.providerClass"
+    on_workers(spark)
     before = spark.conf.get(key)
     spark.conf.set(key, ROCKSDB)
     try:

@@ -188,3 +188,17 @@ def test_rows_per_group_are_cut_before_the_shuffle(spark):
     df = spark.range(100).selectExpr("id % 3 as g", "id")
     plan = R.top_per_group(df, "g", 2, F.col("id"))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("WindowGroupLimit") >= 0 and "Partial" in plan
+
+
+def test_helper_columns_keep_clear_of_like_named_ones(spark):
+    rows = spark.createDataFrame([(1, 3.0, "a", "b", "c", "d", "e"), (2, 1.0, "f", "g", "h", "i", "j")], "id long, score double, _key string, _BLOCK string, _to string, _share string, _new string")
+    from mapquarry.operators import retrieve, tables
+
+    assert [tuple(r) for r in retrieve.top_with_ties(rows, 1).collect()] == [tuple(rows.where("id = 1").first())]
+    asked = spark.createDataFrame([(7, "x")], "q long, _block_ string")
+    got = retrieve.in_blocks(asked, rows, "q", "id")
+    assert got.count() == 2 and set(got.columns) == set(rows.columns) | {"q", "_block_"}
+    done = tables.changed(rows, spark.createDataFrame([(1, "z")], "id long, _to string"), "id", "_to")
+    assert sorted((r["id"], r["_to"]) for r in done.collect()) == [(1, "z"), (2, "h")] and done.columns == rows.columns
+    up = tables.upsert(rows.select("id", "_new"), spark.createDataFrame([(2, "new")], "id long, _new string"), ["id"])
+    assert sorted(map(tuple, up.collect())) == [(1, "e"), (2, "new")]
