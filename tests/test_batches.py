@@ -66,3 +66,21 @@ def test_nearest_equals_all_pairs(spark, monkeypatch):
         want = sorted(scores, key=lambda x: (order(x[1]), x[0]))[:4]
         assert [got[q][k][0] for k in (1, 2, 3, 4)] == [v for v, _ in want]
         assert str([got[q][k][1] for k in (1, 2, 3, 4)]) == str([s for _, s in want])
+
+
+def test_like_boxes_are_joined_once(spark, monkeypatch):
+    """Counts equal those of all pairs, and the pairs of the join don't grow with copies."""
+    spaces = [(i, float(i % 4), 0.0, float(i % 4 + 1), 1.0) for i in range(200)] + [(900, None, 0.0, 1.0, 1.0)]
+    space = spark.createDataFrame(spaces, "dataset_id long, west double, south double, east double, north double")
+    boxes = spark.createDataFrame([(i, float(i % 2), 0.5, float(i % 2) + 0.5, 0.7) for i in range(40)] + [(50, 80.0, 0.0, 81.0, 1.0)], "query_id long, qw double, qs double, qe double, qn double")
+    join, seen = R.range_join, []
+
+    def counted(*args):
+        out = join(*args)
+        seen.append(out.count())
+        return out
+
+    want = sorted((r["query_id"], r["hits"], r["s"]) for r in join(boxes, space).groupBy("query_id").agg(R.F.count("*").alias("hits"), R.F.sum("dataset_id").alias("s")).collect())
+    monkeypatch.setattr(R, "range_join", counted)
+    assert sorted(map(tuple, R.range_counts(boxes, space).collect())) == want and len(want) == 40
+    assert seen == [3]  # pairs of different boxes
