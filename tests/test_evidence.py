@@ -25,3 +25,12 @@ def test_filtered_subgraph_spells_no_edges_of_others(spark, sf):
     """Datasets are filtered before their edges are made: no hash of an edge is shuffled."""
     plan = QUERIES["subgraph_filter"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "edge_id" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_a_dataset_is_one_list_of_links(spark):
+    """Sets of each relation, nulls left out, by one buffer a dataset."""
+    d = spark.createDataFrame([(1, "a"), (2, "b")], "id long, title string")
+    x = spark.createDataFrame([(1, "q"), (1, "p"), (1, "q"), (1, None), (3, "z")], "dataset_id long, entity_id string")
+    got = E.bundles(d, {"x": x, "y": x.where("entity_id = 'p'")})
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "p,q", "p"), (2, "b", "", "")]
+    assert "collect_set" not in got._jdf.queryExecution().executedPlan().toString()
