@@ -66,18 +66,18 @@ def packages(c: Catalog) -> DataFrame:
 
 @query
 def ckan_pages(c: Catalog) -> DataFrame:
-    """Datasets of a paged search of 40 a page, landed as a crawl leaves them, with an empty page behind the end."""
+    """Datasets of a paged search of 40 a page, landed as a crawl leaves them, many answers a file, with an empty page behind the end."""
     o = c.table("orders")
     n = o.agg(F.count("*").alias("count"))
     start = F.expr("o_orderkey div 40 * 40").alias("start")
     package = F.struct(F.concat(F.lit("ds-"), "o_orderkey").alias("id"), F.concat_ws(" ", F.lit("order"), "o_orderkey").alias("title"))
     found = o.groupBy(start).agg(F.sort_array(F.collect_list(package)).alias("results"))
-    answer = lambda rows: F.to_json(F.struct(F.struct("count", rows.alias("results")).alias("result"))).alias("value")
-    pages = found.join(F.broadcast(n)).select("start", answer(F.col("results")))
+    answer = lambda start, rows: F.concat_ws("\t", start, F.to_json(F.struct(F.struct("count", rows.alias("results")).alias("result")))).alias("value")
+    pages = found.join(F.broadcast(n)).select(answer(F.col("start"), F.col("results")))
     nothing = F.slice(F.array(package), 1, 0)
-    behind = n.withColumn("o_orderkey", F.lit(0).cast("long")).select(F.col("count").alias("start"), answer(nothing))
+    behind = n.withColumn("o_orderkey", F.lit(0).cast("long")).select(answer(F.col("count"), nothing))
     path = f"{tables.shared_root(c.spark)}/pages-{uuid.uuid4().hex}"
-    pages.unionByName(behind).write.partitionBy("start").text(path)
+    pages.unionByName(behind).write.text(f"{path}/answers")
     read = paged.crawled(paged.scan(c.spark, path))
     found_ = F.from_json("package", "id string, title string")
     return read.select("start", "place", found_["id"].alias("id"), found_["title"].alias("title"))

@@ -1,13 +1,15 @@
 """Pages of a catalog's package search as a Spark data source.
 
 A crawl lands each answer ``{"result": {"count": ..., "results": [...]}}`` under the offset that it was asked with, in
-``start=<offset>`` folders. The source splits the pages into ranges, one partition each; a partition is nothing but a list of
-files, so reading it again after a failure gives the same rows. A crawl asks for the offset behind what it has, until it
+``start=<offset>`` folders, or many in one file of the folder ``answers``: there a line is an offset, a tab and the answer.
+The source splits the pages into ranges, one partition each; a partition is nothing but a list of files or a range of
+bytes, so reading it again after a failure gives the same rows. A crawl asks for the offset behind what it has, until it
 has ``count`` packages or a page is empty: the same pages count here, whatever else lies in the folder.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Iterator
@@ -20,8 +22,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.tables import materialise, on_workers
 
-#: Pages that one partition reads.
-PAGES = 20
+#: Pages in folders of their own, or bytes of a file of answers, that one partition reads.
+PAGES, BYTES = 20, 8_000_000
+#: Packages of pages in one file that travel as one batch, at least.
+BATCH = 4000
 SCHEMA = "start long, place int, total long, package string"
 
 _START = re.compile(r"(?:^|/)start=([0-9]+)/([^_.][^/]*)$")
@@ -43,9 +47,33 @@ def listed(path: str) -> list[tuple[int, list[str]]]:
     return sorted((start, sorted(names)) for start, names in pages.items())
 
 
+def ranged(path: str, most: int = BYTES) -> list[tuple[str, int, int]]:
+    """Files of answers in order, each cut into ranges of ``most`` bytes."""
+    files, root = _open(path)
+    found = files.get_file_info(fs.FileSelector(f"{root.rstrip('/')}/answers", allow_not_found=True))
+    sized = sorted((info.path, info.size) for info in found if info.type == fs.FileType.File and info.base_name[0] not in "_.")
+    return [(name, lo, min(lo + most, size)) for name, size in sized for lo in range(0, size, most)]
+
+
+def lines(files: fs.FileSystem, name: str, lo: int, hi: int) -> Iterator[bytes]:
+    """Lines of a file that begin at ``lo`` or behind and before ``hi``."""
+    with io.BufferedReader(files.open_input_file(name), 1 << 20) as f:
+        at = 0
+        if lo:
+            f.seek(lo - 1)
+            at = lo - 1 + len(f.readline())
+        while at < hi and (line := f.readline()):
+            at += len(line)
+            if line := line.rstrip(b"\r\n"):
+                yield line
+
+
 def page(files: fs.FileSystem, names: list[str], start: int) -> tuple[int, list]:
     """Total and packages of a page; an answer without a list of results is an error that names its offset."""
-    text = b"".join(files.open_input_stream(n).read() for n in names).decode()
+    return answer(b"".join(files.open_input_stream(n).read() for n in names), start)
+
+
+def answer(text: bytes, start: int) -> tuple[int, list]:
     try:
         result = json.loads(text)["result"]
         packages = result["results"]
@@ -63,25 +91,54 @@ class Range(InputPartition):
         self.path, self.pages = path, pages
 
 
+class Lines(InputPartition):
+    def __init__(self, path: str, name: str, lo: int, hi: int):
+        super().__init__((name, lo))
+        self.path, self.name, self.lo, self.hi = path, name, lo, hi
+
+
+def rows(pages: list[tuple[int, int, list]]) -> pa.RecordBatch:
+    """Packages of pages ``(start, total, packages)``; an empty page has one row without a package, which tells where a crawl ends."""
+    starts, places, totals, texts = [], [], [], []
+    for start, total, packages in pages:
+        text = [json.dumps(p, ensure_ascii=False) for p in packages] or [None]
+        starts += [start] * len(text)
+        places += range(len(text))
+        totals += [total] * len(text)
+        texts += text
+    return pa.RecordBatch.from_arrays(
+        [pa.array(starts, pa.int64()), pa.array(places, pa.int32()), pa.array(totals, pa.int64()), pa.array(texts, pa.string())],
+        ["start", "place", "total", "package"],
+    )
+
+
 class PagesReader(DataSourceReader):
     def __init__(self, path: str, pages: int):
         self.path, self.pages = path, pages
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[InputPartition]:
         every = listed(self.path)
-        return [Range(self.path, every[k : k + self.pages]) for k in range(0, len(every), self.pages)]
+        folders = [Range(self.path, every[k : k + self.pages]) for k in range(0, len(every), self.pages)]
+        return [*folders, *(Lines(self.path, *r) for r in ranged(self.path))]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | Lines) -> Iterator[pa.RecordBatch]:
         files, _ = _open(partition.path)
-        for start, names in partition.pages:
-            total, packages = page(files, names, start)
-            # an empty page has one row without a package, which tells where a crawl ends
-            text = [json.dumps(p, ensure_ascii=False) for p in packages] or [None]
-            n = len(text)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([start] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([total] * n, pa.int64()), pa.array(text, pa.string())],
-                ["start", "place", "total", "package"],
-            )
+        if isinstance(partition, Range):
+            for start, names in partition.pages:
+                yield rows([(start, *page(files, names, start))])
+            return
+        held, n = [], 0
+        for line in lines(files, partition.name, partition.lo, partition.hi):
+            start, tab, text = line.partition(b"\t")
+            if not tab or not start.isdigit():
+                raise ValueError(f"a line without an offset in {partition.name}")
+            held.append((int(start), *answer(text, int(start))))
+            n += len(held[-1][2])
+            if n >= BATCH:
+                yield rows(held)
+                held, n = [], 0
+        if held:
+            yield rows(held)
 
 
 class PagedPackages(DataSource):
@@ -112,14 +169,18 @@ def crawled(landed: DataFrame) -> DataFrame:
     """Packages ``(start, place, package)`` of the pages that a crawl reads from offset 0 on.
 
     The first page's ``total`` says when it ends. Each page leads to the one at its offset plus its packages; it ends at an
-    empty page or a missing one too. Only a row for each page, without packages, is compared.
+    empty page or a missing one too. Only a row for each page, without packages, is compared. An offset landed twice is an error.
     """
-    heads = materialise(landed.groupBy("start").agg(F.count("package").alias("n"), F.max("total").alias("total")))
+    heads = materialise(landed.groupBy("start").agg(F.count("package").alias("n"), F.max("total").alias("total"), F.max("place").alias("last")))
+    twice = heads.where("n > last + 1").agg(F.min("start").alias("start")).first()["start"]
+    if twice is not None:
+        raise ValueError(f"more than one answer at start={twice}")
+    packages = landed.where("package is not null")
     total = heads.where("start = 0").agg(F.max("total").alias("wanted"))  # one row
     jump = heads.where("n > 0").select("start", (F.col("start") + F.col("n")).alias("next"))
     steps = materialise(jump.join(heads.select(F.col("start").alias("next")), "next", "left_semi"))
     if heads.count() == steps.select("next").distinct().count() + 1 and not heads.where("start = 0").isEmpty():
-        on_the_way = heads.select("start")  # each page but the first has one that leads to it
+        read = packages  # each page but the first has one that leads to it
     else:
         on_the_way, jump = heads.where("start = 0").select("start"), steps
         while True:
@@ -129,5 +190,5 @@ def crawled(landed: DataFrame) -> DataFrame:
             on_the_way = materialise(on_the_way.unionByName(new))
             far = jump.select(F.col("start").alias("next"), F.col("next").alias("far"))
             jump = materialise(jump.join(far, "next").select("start", F.col("far").alias("next")))
-    read = landed.where("package is not null").join(on_the_way, "start", "left_semi")
+        read = packages.join(on_the_way, "start", "left_semi")
     return read.join(F.broadcast(total)).where(F.col("start") < F.col("wanted")).select("start", "place", "package")

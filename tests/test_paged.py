@@ -96,3 +96,38 @@ def test_a_lost_partition_is_read_again(tmp_path):
     env = os.environ | {"PYTHONPATH": f"{tmp_path}:{os.environ['PYTHONPATH']}"}
     out = subprocess.run([sys.executable, "-c", script], env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS True" in out.stdout and (tmp_path / "failed").exists(), out.stderr[-2000:]
+
+
+def test_answers_in_one_file_equal_a_crawl(spark, tmp_path, monkeypatch):
+    """Lines cut by ranges of any size are read once each; an offset landed twice and a line without one are errors."""
+    pages = {0: [0, 1, 2], 1: [9], 3: [3, 4, 5], 6: [6], 7: []}
+    text = lambda ids: json.dumps({"result": {"count": 7, "results": [{"id": i, "title": f"ü\u2028\x85 {i}"} for i in ids]}}, ensure_ascii=False)
+    folder = tmp_path / "pages" / "answers"
+    folder.mkdir(parents=True)
+    (folder / "_SUCCESS").write_text("")
+    (folder / "part-0").write_text("".join(f"{k}\t{text(pages[k])}\n" for k in (6, 0, 7)))
+    (folder / "part-1").write_text(f"3\t{text(pages[3])}\r\n\n1\t{text(pages[1])}")
+    for most in (1, 50, 97, paged.BYTES):
+        monkeypatch.setattr(paged.ranged, "__defaults__", (most,))
+        got = paged.crawled(paged.scan(spark, str(tmp_path / "pages"))).orderBy("start", "place").collect() if most > 1 else None
+        reader = paged.PagesReader(str(tmp_path / "pages"), 20)
+        seen = sorted((r["start"], r["place"]) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist())
+        assert seen == [(0, 0), (0, 1), (0, 2), (1, 0), (3, 0), (3, 1), (3, 2), (6, 0), (7, 0)]
+        assert got is None or [json.loads(r["package"])["title"] for r in got] == [f"ü\u2028\x85 {i}" for i in crawl(pages, 7)]
+    (folder / "part-2").write_text(f"3\t{text([3])}\n")
+    with pytest.raises(ValueError, match="start=3"):
+        paged.crawled(paged.scan(spark, str(tmp_path / "pages")))
+    (folder / "part-2").write_text("{}\n")
+    with pytest.raises(Exception, match="without an offset"):
+        paged.scan(spark, str(tmp_path / "pages")).collect()
+
+
+def test_ckan_pages_lands_fewer_files_than_pages(spark, sf, monkeypatch):
+    from mapquarry.plans import landed as L
+    from mapquarry.plans.queries import QUERIES
+
+    paths, scan = [], paged.scan
+    monkeypatch.setattr(L.paged, "scan", lambda spark, path: paths.append(path) or scan(spark, path))
+    n = QUERIES["ckan_pages"](spark, sf).select("start").distinct().count()
+    files = [f for _, _, names in os.walk(paths[0]) for f in names if not f.startswith(("_", "."))]
+    assert n > 30 and len(files) <= 10
