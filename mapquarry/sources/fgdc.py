@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import text as X
 from ..functions import times
 from ..functions import urls
+from ..operators.tables import free
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -24,24 +25,32 @@ def listing(pages: DataFrame) -> DataFrame:
 
 def metadata(pages: DataFrame, *keep: str) -> DataFrame:
     """Title, originators, abstract, box, closed time, keywords and license of ``pages(url, html)``; columns of ``keep`` stay beside them."""
-    text = X.html_to_text(F.col("html"))
-    one = lambda label: X.label_value(F.col("body"), label)
-    num = lambda side: X.label_double(F.col("body"), f"{side}_Bounding_Coordinate:")
-    w, s, e, n = num("West"), num("South"), num("East"), num("North")
-    dates = lambda begin: F.transform(X.label_value(F.col("body"), "Calendar_Date:", True), lambda d: times.fgdc(d, begin))
-    begin, _ = times.fgdc_range(dates(True), times.fgdc(one("Beginning_Date:"), True), F.lit(None), times.fgdc(one("Publication_Date:"), True))
-    _, end = times.fgdc_range(dates(False), times.fgdc(one("Beginning_Date:"), False), times.fgdc(one("Ending_Date:"), False), times.fgdc(one("Publication_Date:"), False))
-    words = F.array_distinct(
-        F.flatten(F.array(*[F.transform(X.label_value(F.col("body"), f"{k}_Keyword:", True), X.canonical_keyword) for k in ("Theme", "Place", "Stratum", "Temporal")]))
-    )
-    access, use = one("Access_Constraints:"), one("Use_Constraints:")
-    return pages.withColumn("body", text).select(
-        *keep, "url", one("Title:").alias("title"),
-        F.array_distinct(F.transform(X.label_value(F.col("body"), "Originator:", True), lambda o: X.canonical_org(o, True))).alias("originators"),
-        X.label_block(F.col("body"), "Abstract:", ["Purpose:", "Supplemental_Information:", "Time_Period_of_Content:"]).alias("notes"),
-        F.when(geo.valid(w, s, e, n, ordered=True), F.struct(w.alias("west"), s.alias("south"), e.alias("east"), n.alias("north"))).alias("space"),
-        begin.alias("begin"), F.greatest(begin, end).alias("end"), words.alias("keywords"),
-        F.when(access.isNotNull() | use.isNotNull(), X.stable_id("lic:", F.coalesce(access, F.lit("")), F.coalesce(use, F.lit("")))).alias("license_id"),
+    # values that are used more than once are columns of a step before, so that a page is searched once for each label
+    name = lambda n: free(f"_{n}", pages)
+    body = name("body")
+    one = lambda label: X.label_value(F.col(body), f"{label}:")
+    many = lambda label: X.label_value(F.col(body), f"{label}:", True)
+    raw = {
+        "title": one("Title"), "by": many("Originator"), "notes": X.label_block(F.col(body), "Abstract:", ["Purpose:", "Supplemental_Information:", "Time_Period_of_Content:"]),
+        **{side[0].lower(): X.label_double(F.col(body), f"{side}_Bounding_Coordinate:") for side in ("West", "South", "East", "North")},
+        "days": many("Calendar_Date"), "from": one("Beginning_Date"), "to": one("Ending_Date"), "out": one("Publication_Date"),
+        "words": F.concat(*[many(f"{k}_Keyword") for k in ("Theme", "Place", "Stratum", "Temporal")]), "access": one("Access_Constraints"), "use": one("Use_Constraints"),
+    }
+    found = pages.select(*keep, "url", X.html_to_text(F.col("html")).alias(body)).select(*keep, "url", *[v.alias(name(k)) for k, v in raw.items()])
+    r = {k: F.col(name(k)) for k in raw}
+
+    day = lambda at, begin: times.fgdc(F.try_element_at(r["days"], F.lit(at)), begin)
+    # of the calendar dates a range looks at the first and the last
+    first, _ = times.fgdc_range(F.array(day(1, True)), times.fgdc(r["from"], True), F.lit(None), times.fgdc(r["out"], True))
+    _, last = times.fgdc_range(F.array(day(1, False), day(-1, False)), times.fgdc(r["from"], False), times.fgdc(r["to"], False), times.fgdc(r["out"], False))
+    begin, end = name("begin"), name("end")
+    found = found.withColumns({begin: first, end: last})
+    sides = [r[x] for x in "wsen"]
+    return found.select(
+        *keep, "url", r["title"].alias("title"), F.array_distinct(F.transform(r["by"], lambda o: X.canonical_org(o, True))).alias("originators"), r["notes"].alias("notes"),
+        F.when(geo.valid(*sides, ordered=True), F.struct(*[x.alias(n) for x, n in zip(sides, ("west", "south", "east", "north"), strict=True)])).alias("space"),
+        F.col(begin).alias("begin"), F.greatest(begin, end).alias("end"), F.array_distinct(F.transform(r["words"], X.canonical_keyword)).alias("keywords"),
+        F.when(r["access"].isNotNull() | r["use"].isNotNull(), X.stable_id("lic:", F.coalesce(r["access"], F.lit("")), F.coalesce(r["use"], F.lit("")))).alias("license_id"),
     )
 
 

@@ -76,3 +76,42 @@ def test_long_listings_are_whole(spark):
     got = stac.listing(docs, fetched)
     assert got.select("id").distinct().count() == got.count() == 6000
     assert [r["id"] for r in got.where("title = 'new'").collect()] == ["5999"]
+
+
+def test_pages_are_searched_once_for_each_label(spark):
+    """Values of a page are bound before dates and boxes use them; of several dates the first and the last count, unreadable ones too."""
+    pages = spark.createDataFrame(
+        [("a", "<p>Calendar_Date: 2020</p><p>Calendar_Date: bad</p><p>Ending_Date: 2021</p>"), ("b", "<p>Calendar_Date: 2019</p><p>Calendar_Date: bad</p>"), ("c", None), ("d", "")], "url string, html string"
+    )
+    made = fgdc.metadata(pages)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("West_Bounding_Coordinate:\\E(?<=") <= 2 and plan.count("Calendar_Date:\\E(?<=") == 1 and plan.count("(script|style)") == 1
+    got = {r["url"]: (r["begin"], r["end"]) for r in made.collect()}
+    assert got == {"a": ("20200101 00:00:00", "20211231 23:59:59"), "b": ("20190101 00:00:00", "20191231 23:59:59"), "c": (None, None), "d": (None, None)}
+
+
+def test_text_equals_a_plain_reader(spark):
+    import random
+    import re
+
+    from mapquarry.functions import text as X
+
+    def plain(html):
+        out, (*pieces, last) = "", re.sub(r"(?is)<(script|style)[^>]*>.*?</\1>", " ", html).split(">")
+        for p in pieces:
+            at = p.find("<")
+            if not 0 <= at < len(p) - 1:
+                out += p + ">"
+                continue
+            tag = p[at + 1 :].lower()
+            out += p[:at] + "\n" * (tag in X.ENDS_LINE or tag.startswith("pre") or bool(re.search(r"^[bh]r[ \t\n\r\x0b\f]*/?(\r\n|[\n\r\x85\u2028\u2029])?\Z", tag)))
+        out += last
+        for k, v in X.REFERENCES.items():
+            out = out.replace(k, v)
+        return re.sub("[\t\x0b\f\r\n]+", "\n", out).strip(" \n")
+
+    rnd = random.Random(3)
+    bits = ["<", ">", "<>", "/p", "</p>", "<BR/>", "<br / >", "<hr/\n>", "<br/\x85>", "<Pre x>", "a", "é😀", " ", "\n", "&amp;lt;", "<script>", "</script>", "</H3>", "<foo <br>", "$1", "\\"]
+    pages = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(13))) for _ in range(3000)] + ["<" * 200_000]
+    got = spark.createDataFrame(enumerate(pages), "k int, html string").select("k", X.html_to_text(F.col("html")).alias("t")).collect()
+    assert [r["t"] for r in sorted(got)] == [plain(p) for p in pages]
