@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
@@ -21,9 +20,12 @@ from ..operators.tables import on_workers
 MESSAGES = "conv_id long, at long, seq long, kind string, name string, value string"
 #: ``state`` rows tell a conversation's state after a batch, ``status`` rows are delivered, ``expired`` rows tell whose state went.
 OUT = "row string, conv_id long, at long, seq long, name string, value string, question long, intent string, pending string, turns long, last_turn string, subscribed boolean"
+ROW = Row(*(c.split()[0] for c in OUT.split(", ")))
 STATE = ["conv_id", "at", "seq", "question", "intent", "pending", "turns", "last_turn", "subscribed"]
 #: Microseconds after which a conversation is idle.
 IDLE = 24 * 3600 * 1_000_000
+#: Files a batch so that all that are there are one.
+ALL = 2**31 - 1
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,19 +35,20 @@ class Conversations(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at long, seq long, question long, pending string, subscribed boolean")
+        # counts of the memory and the timer that waits are kept here too: a batch neither reads the memory nor looks for timers
+        self.last = handle.getValueState("last", "at long, seq long, question long, pending string, subscribed boolean, turns long, last_turn string, timer long")
         self.intent = handle.getMapState("intent", "dim string", "value string")
         self.memory = handle.getListState("memory", "text string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at, seq, question, pending, subscribed = self.last.get() if self.last.exists() else (None, None, 0, None, False)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.last.get()
+        at, seq, question, pending, subscribed, turns, last_turn, timer = known or (None, None, 0, None, False, 0, None, None)
         cleared, dims, said, out = False, {}, [], []
         # the order of time, whatever order the batch has
-        batch = pd.concat(list(rows)).sort_values(["at", "seq"])
-        for now, number, kind, name, value in zip(*(batch[c].tolist() for c in ("at", "seq", "kind", "name", "value")), strict=True):
+        for now, number, kind, name, value in sorted(((r.at, r.seq, r.kind, r.name, r.value) for r in rows), key=lambda r: r[:2]):
             idle = at is not None and now - at > self.idle
             if idle or kind == "reset":
-                cleared, dims, said, pending = True, {}, [], None
+                cleared, dims, said, pending, turns, last_turn = True, {}, [], None, 0, None
                 subscribed = subscribed and not idle
             question += kind == "reset"
             if kind == "intent":
@@ -54,34 +57,36 @@ class Conversations(StatefulProcessor):
                 pending = value if kind == "question" else None
             elif kind == "turn":
                 said.append(value)
+                turns, last_turn = turns + 1, value
             elif kind in ("subscribe", "unsubscribe"):
                 subscribed = kind == "subscribe"
             elif kind == "status" and subscribed:
-                out.append(("status", key[0], now, number, name, value, *[None] * 6))
+                out.append(ROW("status", key[0], now, number, name, value, *[None] * 6))
             at, seq = now, number
-        if cleared:
+        if cleared and known:
             self.intent.clear()
             self.memory.clear()
         for dim, value in dims.items():
             self.intent.updateValue((dim,), (value,))
         if said:
             self.memory.appendList([(x,) for x in said])
-        self.last.update((at, seq, question, pending, subscribed))
-        for timer in list(self.handle.listTimers()):
+        if timer is not None:
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((at + self.idle) // 1000 + 1)
-        known = dict(sorted((k[0], v[0]) for k, v in self.intent.iterator()))
-        held = [r[0] for r in self.memory.get()]
-        out.append(("state", key[0], at, seq, None, None, question, ";".join(f"{k}={'' if v is None else v}" for k, v in known.items()), pending, len(held), held[-1] if held else None, subscribed))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        timer = (at + self.idle) // 1000 + 1
+        self.handle.registerTimer(timer)
+        self.last.update((at, seq, question, pending, subscribed, turns, last_turn, timer))
+        held = dims if cleared or not known else {k[0]: v[0] for k, v in self.intent.iterator()}
+        intent = ";".join(f"{k}={'' if v is None else v}" for k, v in sorted(held.items()))
+        yield from out
+        yield ROW("state", key[0], at, seq, None, None, question, intent, pending, turns, last_turn, subscribed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """What an idle conversation held goes; its count of questions and the time of its last message stay."""
-        at, seq, question, _, _ = self.last.get()
+        at, seq, question, *_ = self.last.get()
         self.intent.clear()
         self.memory.clear()
-        self.last.update((at, seq, question, None, False))
-        yield pd.DataFrame([("expired", key[0], at, seq, None, None, question, "", None, 0, None, False)], columns=[c.split()[0] for c in OUT.split(", ")])
+        self.last.update((at, seq, question, None, False, 0, None, None))
+        yield ROW("expired", key[0], at, seq, None, None, question, "", None, 0, None, False)
 
     def close(self) -> None:
         pass
@@ -93,7 +98,7 @@ def stream(messages: DataFrame, idle: int = IDLE, late: int | None = None) -> Da
     Messages of one conversation must not come before earlier batches' in time.
     """
     timed = messages.withColumn("time", F.timestamp_micros("at")).withWatermark("time", f"{idle if late is None else late} microseconds")
-    return timed.groupBy("conv_id").transformWithStateInPandas(Conversations(idle), OUT, "Append", "EventTime")
+    return timed.groupBy("conv_id").transformWithState(Conversations(idle), OUT, "Append", "EventTime")
 
 
 def run(spark: SparkSession, path: str, out: str, checkpoint: str, files: int = 1, idle: int = IDLE) -> DataFrame:

@@ -80,3 +80,34 @@ def test_batches_and_a_restart_equal_the_batch_plan(spark, tmp_path):
     assert got.where("row = 'expired'").count() > 0
     again = S.run(spark, path, out, check, idle=idle)
     assert again.count() == got.count()  # nothing new, nothing twice
+
+
+def test_a_batch_reads_neither_memory_nor_timers():
+    """What a conversation has said may be long: its count, last text and timer are in the value that is read anyway."""
+
+    class Held:
+        def __init__(self):
+            self.value, self.items, self.added, self.timers, self.clear = None, {}, [], [], lambda: None
+            self.appendList, self.registerTimer, self.deleteTimer = self.added.extend, self.timers.append, self.timers.remove
+
+        getValueState = getMapState = getListState = lambda self, name, *_: self.__dict__.setdefault(f"_{name}", Held())
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def updateValue(self, key, value):
+            self.items[key] = value
+
+        def iterator(self):
+            return iter(self.items.items())
+
+    handle, p = Held(), S.Conversations(HOUR)
+    p.init(handle)
+    p.memory.get = None
+    row = lambda at, kind, name, value: S.Row(at=at, seq=at, kind=kind, name=name, value=value)
+    list(p.handleInputRows((1,), iter([row(2, "turn", None, "b"), row(1, "turn", None, "a")]), None))
+    (last,) = p.handleInputRows((1,), iter([row(3, "intent", "topic", "x"), row(4, "turn", None, "c")]), None)
+    assert (last.turns, last.last_turn, last.intent) == (3, "c", "topic=x") and len(handle.timers) == 1 and len(p.memory.added) == 3
